@@ -1,0 +1 @@
+"""Reserved: all analyses are batch jobs, so no streaming query is defined."""
