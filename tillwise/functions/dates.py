@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -14,10 +15,24 @@ MONTH_FIRST = ("yyyy-M-d", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy")
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
+def _as_date(text: Column, fmt: str) -> Column:
+    """Date of a text shaped like ``fmt``: pieces are reordered to ISO and cast.
+
+    A cast returns NULL for an impossible date without raising, which a
+    formatter would do once per row and format.
+    """
+    fields = re.split(r"[-/]", fmt)
+    pieces = {"yyyy": r"(\d{4})", "M": r"(\d{1,2})", "d": r"(\d{1,2})"}
+    separator = "/" if "/" in fmt else "-"
+    pattern = "^" + separator.join(pieces[f] for f in fields) + "$"
+    iso = "-".join(f"${fields.index(f) + 1}" for f in ("yyyy", "M", "d"))
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date"))
+
+
 def parse_date(col: Column, formats: Sequence[str] = DAY_FIRST) -> Column:
     """Try each format in turn; NULL when none fits."""
     text = F.trim(col)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    return F.coalesce(*[_as_date(text, f) for f in formats])
 
 
 def day_text(col: Column) -> Column:

@@ -1,7 +1,8 @@
 """Cleaning rules and the per-table cleaners composed from them.
 
-Global statistics (quantiles, modes, the conditional age check) enter the plan
-as scalar subqueries: one small value, no join and no trip through the driver.
+Global statistics (modes, newest dates, the conditional age check) enter the plan
+as scalar subqueries: one small value and no join. Quantile bounds are two
+numbers fetched by a job of their own, as with ``approxQuantile``.
 """
 
 from __future__ import annotations
@@ -132,16 +133,26 @@ def trailing_days(df: DataFrame, column: str, days: int = 365) -> DataFrame:
     return df.filter(F.col(column) >= F.date_sub(newest, days))
 
 
-def trim_tails(df: DataFrame, column: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Keep values between two exact quantiles (inclusive)."""
-    bounds = quantiles(df, column, [low, high], names=["lo", "hi"])
-    pair = bounds.select(F.struct("lo", "hi")).scalar()
-    return df.filter(F.col(column).between(pair.getField("lo"), pair.getField("hi")))
+def trim_tails(df: DataFrame, column: str, low: float | None = 0.005, high: float | None = 0.995) -> DataFrame:
+    """Keep values between two exact quantiles (inclusive); ``None`` leaves a side open.
+
+    Like ``approxQuantile``, this runs a job for the two numbers; they enter the
+    plan as literals, so the scan can skip row groups outside them.
+    """
+    probs = [p for p in (low, high) if p is not None]
+    bounds = list(quantiles(df, column, probs).first() or [])
+    value = F.col(column)
+    if not bounds or bounds[0] is None:
+        return df.filter(F.lit(False))
+    if low is not None:
+        df = df.filter(value >= bounds[0])
+    if high is not None:
+        df = df.filter(value <= bounds[-1])
+    return df
 
 
 def trim_top(df: DataFrame, column: str, high: float = 0.99) -> DataFrame:
-    bound = quantiles(df, column, [high], names=["hi"]).scalar()
-    return df.filter(F.col(column) <= bound)
+    return trim_tails(df, column, None, high)
 
 
 def currency_column(df: DataFrame, column: str) -> DataFrame:
@@ -216,7 +227,7 @@ def fill(df: DataFrame, fills: Mapping[str, Column | int | float | str]) -> Data
 def customers(df: DataFrame, names: DataFrame, age_at: str = AGE_PROXY_DATE) -> DataFrame:
     df = require_any(drop_repeats(keep_filled_rows(df)), ["FirstName", "LastName"])
     df = strip_text(df)
-    df = df.withColumn("BirthDate", F.try_to_date(F.col("BirthDate").cast("string")))
+    df = df.withColumn("BirthDate", F.col("BirthDate").cast("string").try_cast("date"))
     df = plausible_age(df, at=age_at)
     df = impute_prefix(impute_gender(df, names))
     df = currency_column(within_domains(df, CUSTOMER_DOMAINS), "AnnualIncome")

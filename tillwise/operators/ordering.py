@@ -71,30 +71,26 @@ def quantiles(
         )
         .select(*keys, "_b", "_before", F.col("_w.i").alias("_i"), F.col("_w.h").alias("_h"), "_rank")
     )
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    needed = hits.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_hb")).distinct()
+    # Only the few buckets holding a wanted rank are ordered, one sort per bucket and rank.
+    inside = (
+        W.partitionBy(*keys, "_b", "_i", "_rank").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     match = F.col("_b") == F.col("_hb")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = (
-        counted.join(needed, match, "left_semi")
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .select(
-            *[F.col(k).alias(f"_r_{k}") for k in keys],
-            F.col("_b").alias("_rb"),
-            "_v",
-            (F.col("_upto") - F.col("_c")).alias("_from"),
-            "_upto",
-        )
+    wanted_buckets = hits.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_b").alias("_hb"),
+        "_i",
+        "_h",
+        "_rank",
+        (F.col("_rank") - F.col("_before")).alias("_at"),
     )
-    locate = (
-        (F.col("_b") == F.col("_rb"))
-        & (F.col("_rank") - F.col("_before") >= F.col("_from"))
-        & (F.col("_rank") - F.col("_before") < F.col("_upto"))
+    points = (
+        counted.join(wanted_buckets, match)
+        .withColumn("_upto", F.sum("_c").over(inside))
+        .filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
     )
-    for k in keys:
-        locate = locate & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    points = hits.join(ranked, locate)
     interpolated = (
         points.groupBy(*keys, "_i")
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_h").alias("_h"))
