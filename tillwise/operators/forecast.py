@@ -178,23 +178,23 @@ def payday_regressor(day: Column) -> dict[str, Column]:
     return {"is_payday": dates.is_payday(day).cast("double")}
 
 
-def dispatch(routes: DataFrame, forecasts: dict[str, DataFrame], fallback: DataFrame, round_to: int = 2) -> DataFrame:
-    """Pick each item's forecast by route; anything not trained falls back to cold start.
+def prefer_trained(forecasts: dict[str, DataFrame], fallback: DataFrame) -> DataFrame:
+    """Each item's forecast from the first method that has one, else cold start."""
+    stacked = fallback.withColumn("model_source", F.lit("ColdStart")).withColumn("_order", F.lit(len(forecasts)))
+    for order, (method, frame) in enumerate(forecasts.items()):
+        part = frame.withColumn("model_source", F.lit(method)).withColumn("_order", F.lit(order))
+        stacked = stacked.unionByName(part)
+    best = F.min("_order").over(W.partitionBy(ITEM))
+    return stacked.withColumn("_best", best).filter(F.col("_order") == F.col("_best")).drop("_order", "_best")
+
+
+def dispatch(forecasts: dict[str, DataFrame], fallback: DataFrame, round_to: int = 2) -> DataFrame:
+    """Trained forecasts where they exist, cold start elsewhere, with labels.
 
     Returns (item, model_source, confidence_level, date, qty) with quantities
     rounded half-even and floored at zero.
     """
-    tagged = None
-    for method, frame in forecasts.items():
-        part = frame.join(routes.filter(F.col("TargetModel") == method).select(ITEM), ITEM, "left_semi").withColumn(
-            "model_source", F.lit(method)
-        )
-        tagged = part if tagged is None else tagged.unionByName(part)
-    cold = fallback.withColumn("model_source", F.lit("ColdStart"))
-    if tagged is not None:
-        cold = cold.join(tagged.select(ITEM).distinct(), ITEM, "left_anti")
-        cold = tagged.unionByName(cold)
-    return cold.select(
+    return prefer_trained(forecasts, fallback).select(
         ITEM,
         "model_source",
         _labels(SALES_CONFIDENCE, F.col("model_source")).alias("confidence_level"),

@@ -17,10 +17,8 @@ QTY = "OrderQuantity"
 
 def grid(daily: DataFrame, items: DataFrame, day: str = DAY) -> DataFrame:
     """Every day between the first and last observed one, for every item."""
-    span = daily.agg(F.struct(F.min(day).alias("a"), F.max(day).alias("b"))).scalar()
-    return items.select(ITEM).distinct().select(
-        F.explode(F.sequence(span.getField("a"), span.getField("b"))).alias(day), ITEM
-    )
+    days = daily.agg(F.sequence(F.min(day), F.max(day))).scalar()
+    return items.select(ITEM).distinct().select(F.explode(days).alias(day), ITEM)
 
 
 def sales_panel(daily: DataFrame, items: DataFrame | None = None, stock_default: Column | None = None) -> DataFrame:

@@ -35,17 +35,21 @@ def moments(
     )
 
 
-def _unpack(flat: np.ndarray, k: int) -> np.ndarray:
-    full = np.zeros((k, k))
-    full[np.triu_indices(k)] = flat
-    return full + np.triu(full, 1).T
+def _kernels():
+    """Small dense helpers, built as closures so that tasks need no local import."""
 
+    def unpack(flat, k: int) -> np.ndarray:
+        full = np.zeros((k, k))
+        full[np.triu_indices(k)] = np.asarray(flat, float)
+        return full + np.triu(full, 1).T
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Solve a symmetric system; rank-deficient ones get the minimum-norm answer."""
-    scale = np.sqrt(np.clip(np.diag(a), 1e-300, None))
-    scaled = a / np.outer(scale, scale)
-    return (np.linalg.pinv(scaled, rcond=1e-11, hermitian=True) @ (b / scale)) / scale
+    def answer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Solve a symmetric system; rank-deficient ones get the minimum-norm answer."""
+        scale = np.sqrt(np.clip(np.diag(a), 1e-300, None))
+        scaled = a / np.outer(scale, scale)
+        return (np.linalg.pinv(scaled, rcond=1e-11, hermitian=True) @ (b / scale)) / scale
+
+    return unpack, answer
 
 
 def solve(gram: DataFrame, keys: Sequence[str], k: int, ridge: Sequence[float] | float = 0.0) -> DataFrame:
@@ -61,14 +65,15 @@ def solve(gram: DataFrame, keys: Sequence[str], k: int, ridge: Sequence[float] |
         ]
     )
     keys = list(keys)
+    unpack, answer = _kernels()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False, name=None):
                 xtx, xty, yy, sy, n = row[len(keys):]
-                a, b = _unpack(np.asarray(xtx, float), k), np.asarray(xty, float)
-                beta = _solve(a + penalty, b)
+                a, b = unpack(xtx, k), np.asarray(xty, float)
+                beta = answer(a + penalty, b)
                 sse = max(float(yy - 2 * beta @ b + beta @ a @ beta), 0.0)
                 spread = yy - sy * sy / n
                 r2 = 1 - sse / spread if spread > 0 else None
@@ -116,13 +121,15 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     k = len(features)
     gram = moments(df.withColumn("_y", F.lit(0.0)), [], features, "_y")
     schema = "feature string, vif double"
+    unpack, _ = _kernels()
+    names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for flat in batch["xtx"]:
-                g = _unpack(np.asarray(flat, float), k)
+                g = unpack(flat, k)
                 values = np.diag(g) * np.diag(np.linalg.pinv(g, hermitian=True))
-                yield pd.DataFrame({"feature": list(features), "vif": values})
+                yield pd.DataFrame({"feature": names, "vif": values})
 
     return gram.select("xtx").mapInPandas(run, schema)
 

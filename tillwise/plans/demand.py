@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillwise.operators import clean, evaluate, forecast, inventory, joins, panel as panels, routing
 from tillwise.operators.panel import DAY, ITEM, QTY
+from tillwise.session import cut_lineage
 
 
 def gather_panel(
@@ -15,25 +16,35 @@ def gather_panel(
     cutoff: str | None = "2016-08-01",
     window_days: int = 365,
 ) -> DataFrame:
-    """Cleaned tables to the dense panel of the last ``window_days``."""
+    """Cleaned tables to the dense panel of the last ``window_days``.
+
+    Routing, training and forecasting all read the panel, so it is written once
+    (reliable checkpoint) instead of being recomputed from the sale lines.
+    """
     recent = sales if cutoff is None else clean.since(sales, DAY, cutoff)
     earliest = recent.agg(F.min("StockDate")).scalar()
     lines = clean.trailing_days(recent, DAY, window_days)
     items = joins.product_items(products, subcategories)
     daily = joins.daily_by_item(lines, items, DAY, [QTY], ["StockDate"])
-    return panels.sales_panel(daily, subcategories, earliest)
+    return cut_lineage(panels.sales_panel(daily, subcategories, earliest))
 
 
 def train_sales(panel: DataFrame, policy: routing.Policy = routing.SALES_POLICY) -> dict[str, DataFrame]:
-    """Route items and fit the models of the two trained routes."""
-    routes = routing.route(routing.metrics(panel), policy).select(ITEM, "TargetModel")
-    tagged = panel.join(routes, ITEM)
+    """Route items and fit the models of the two trained routes.
+
+    Routes and coefficients are small artifacts read by several later steps, so
+    they are written once.
+    """
+    routes = cut_lineage(routing.route(routing.metrics(panel), policy).select(ITEM, "TargetModel"))
+
+    def routed(method: str) -> DataFrame:
+        return panel.join(routes.filter(F.col("TargetModel") == method), ITEM, "left_semi")
+
+    seasonal = forecast.fit_seasonal(routed("Prophet"), regressors=forecast.payday_regressor(F.col(DAY)))
     return {
         "routes": routes,
-        "AutoARIMA": forecast.fit_autoregression(tagged.filter("TargetModel = 'AutoARIMA'")),
-        "Prophet": forecast.fit_seasonal(
-            tagged.filter("TargetModel = 'Prophet'"), regressors=forecast.payday_regressor(F.col(DAY))
-        ),
+        "AutoARIMA": cut_lineage(forecast.fit_autoregression(routed("AutoARIMA"))),
+        "Prophet": cut_lineage(seasonal),
     }
 
 
@@ -46,7 +57,7 @@ def sales_forecast(panel: DataFrame, models: dict[str, DataFrame] | None = None,
             models["Prophet"], panel, horizon, regressors=forecast.payday_regressor(F.col("date"))
         ),
     }
-    return forecast.dispatch(models["routes"], paths, forecast.cold_start(panel, horizon))
+    return forecast.dispatch(paths, forecast.cold_start(panel, horizon))
 
 
 def sales_reports(panel: DataFrame, daily: DataFrame, horizon: int = 30) -> dict[str, DataFrame]:
@@ -64,30 +75,26 @@ def sales_reports(panel: DataFrame, daily: DataFrame, horizon: int = 30) -> dict
 def returns_forecast(panel: DataFrame, sales_daily: DataFrame, horizon: int = 30) -> DataFrame:
     """Expected returns per item, driven by the sales forecast."""
     metrics = routing.metrics(panel, "ReturnQuantity", "ReturnDate", None)
-    routes = routing.route(metrics, routing.RETURNS_POLICY).select(ITEM, "TargetModel")
-    ahead = forecast.future_sales(panel, sales_daily, horizon)
-    lagged = panels.lagged_sales(panel).join(routes, ITEM)
-    arima = lagged.filter("TargetModel = 'AutoARIMA'")
-    prophet = lagged.filter("TargetModel = 'Prophet'")
+    routes = cut_lineage(routing.route(metrics, routing.RETURNS_POLICY).select(ITEM, "TargetModel"))
+    ahead = cut_lineage(forecast.future_sales(panel, sales_daily, horizon))
+    lagged = panels.lagged_sales(panel)
+
+    def routed(method: str) -> DataFrame:
+        return lagged.join(routes.filter(F.col("TargetModel") == method), ITEM, "left_semi")
+
+    seasonal = forecast.fit_seasonal(
+        routed("Prophet"), "ReturnQuantity", "ReturnDate", {"OrderQuantity_Lag1": F.col("OrderQuantity_Lag1")}, min_total=0
+    )
+    recursive = forecast.fit_autoregression(
+        routed("AutoARIMA"), "ReturnQuantity", "ReturnDate", ["OrderQuantity_Lag1"]
+    )
     paths = {
         "AutoARIMA": forecast.autoregression_forecast(
-            forecast.fit_autoregression(arima, "ReturnQuantity", "ReturnDate", ["OrderQuantity_Lag1"]),
-            panel, horizon, "ReturnQuantity", "ReturnDate", ahead,
-        ),
-        "Prophet": forecast.seasonal_forecast(
-            forecast.fit_seasonal(
-                prophet, "ReturnQuantity", "ReturnDate", {"OrderQuantity_Lag1": F.col("OrderQuantity_Lag1")}, min_total=0
-            ),
-            panel, horizon, "ReturnDate", exog=ahead,
+            cut_lineage(recursive), panel, horizon, "ReturnQuantity", "ReturnDate", ahead
         ),
+        "Prophet": forecast.seasonal_forecast(cut_lineage(seasonal), panel, horizon, "ReturnDate", exog=ahead),
     }
-    cold = forecast.cold_start_returns(panel, ahead).withColumn("model_source", F.lit("ColdStart"))
-    trained = None
-    for method, frame in paths.items():
-        part = frame.withColumn("model_source", F.lit(method))
-        trained = part if trained is None else trained.unionByName(part)
-    cold = cold.join(trained.select(ITEM).distinct(), ITEM, "left_anti")
-    return forecast.returns_summary(trained.unionByName(cold))
+    return forecast.returns_summary(forecast.prefer_trained(paths, forecast.cold_start_returns(panel, ahead)))
 
 
 def evaluate_with_fallback(panel: DataFrame, days: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillwise.operators import clean, encoding, evaluate, forecast, inventory, joins, ordering, panel as panels, profile, routing
 from tillwise.plans import demand
+from tillwise.session import cut_lineage
 from workloads.registry import PARTS, Tables, query
 
 ITEM = "SubcategoryName"
@@ -33,6 +34,11 @@ def daily_b(t: Tables) -> DataFrame:
     return joins.daily_by_item(year_sales(t), t.word_items, "OrderDate", ["OrderQuantity"], ["StockDate"])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Panels that several steps of one query read are written once."""
+    return cut_lineage(df)
+
+
 def panel_b(t: Tables) -> DataFrame:
     return panels.sales_panel(daily_b(t), t.word_items)
 
@@ -425,9 +431,7 @@ def _(t: Tables):
 
 
 def cold_daily(t: Tables) -> DataFrame:
-    p = panel_b(t)
-    routes = routing.route(routing.metrics(p), routing.SALES_POLICY)
-    return forecast.dispatch(routes, {}, forecast.cold_start(p))
+    return forecast.dispatch({}, forecast.cold_start(panel_b(t)))
 
 
 PARTS["colddisp"] = "SELECT SubcategoryName, 'ColdStart' AS model_source, 'Low (60-65%)' AS confidence_level, date, greatest(round_even(yhat, 2), 0) AS qty FROM coldday"
@@ -579,30 +583,30 @@ def _(t: Tables):
 
 @query("autoregressive_forecast")
 def _(t: Tables):
-    p = panel_a(t)
+    p = written(panel_a(t))
     return forecast.autoregression_forecast(forecast.fit_autoregression(p), p)
 
 
 @query("seasonal_forecast")
 def _(t: Tables):
-    p = panel_a(t)
+    p = written(panel_a(t))
     models = forecast.fit_seasonal(p, regressors=forecast.payday_regressor(F.col("OrderDate")))
     return forecast.seasonal_forecast(models, p, regressors=forecast.payday_regressor(F.col("date")))
 
 
 @query("sales_forecast_dispatch")
 def _(t: Tables):
-    return demand.sales_forecast(panel_a(t))
+    return demand.sales_forecast(written(panel_a(t)))
 
 
 @query("returns_forecast_dispatch")
 def _(t: Tables):
-    return demand.returns_forecast(returns_panel(t), demand.sales_forecast(panel_a(t)))
+    return demand.returns_forecast(written(returns_panel(t)), demand.sales_forecast(written(panel_a(t))))
 
 
 @query("fallback_evaluation")
 def _(t: Tables):
-    return demand.evaluate_with_fallback(panel_a(t))
+    return demand.evaluate_with_fallback(written(panel_a(t)))
 
 
 # --- evaluation given predictions ------------------------------------------
@@ -800,26 +804,26 @@ MODEL_FEATURES = [
 
 @query("boosted_model_search")
 def _(t: Tables):
-    folds = panels.time_folds(panels.feature_table(panel_a(t)), 3)
+    folds = written(panels.time_folds(panels.feature_table(written(panel_a(t))), 3))
     return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"maxIter": 5, "maxDepth": 3}, {"maxIter": 5, "maxDepth": 4}])
 
 
 @query("poisson_model_search")
 def _(t: Tables):
-    folds = panels.time_folds(panels.feature_table(panel_a(t), log_target=False), 3)
+    folds = written(panels.time_folds(panels.feature_table(written(panel_a(t)), log_target=False), 3))
     return evaluate.cross_validate(folds, ["lag_1", "lag_7", "dayofweek", "is_holiday"], "OrderQuantity", [{"regParam": 0.0}, {"regParam": 0.1}], "poisson", False)
 
 
 @query("feature_importance")
 def _(t: Tables):
-    df = panels.feature_table(panel_a(t))
+    df = written(panels.feature_table(written(panel_a(t))))
     model = evaluate.demand_model(df, MODEL_FEATURES, "OrderQuantity", maxIter=5)
     return evaluate.feature_importance(model, MODEL_FEATURES, t.spark)
 
 
 @query("permutation_importance")
 def _(t: Tables):
-    df = panels.feature_table(panel_a(t))
+    df = written(panels.feature_table(written(panel_a(t))))
     few = ["lag_1", "lag_7", "dayofweek", "rolling_median_7"]
     model = evaluate.demand_model(df, few, "OrderQuantity", maxIter=5)
     return evaluate.permutation_importance(model, df, few, "OrderQuantity")
@@ -916,7 +920,7 @@ def _(t: Tables):
 
 @query("partial_autocorrelation")
 def _(t: Tables):
-    acf = profile.autocorrelation(profile.daily_total(t.sales), 30)
+    acf = profile.autocorrelation(written(profile.daily_total(t.sales)), 30)
     return profile.partial_autocorrelation(acf, 30)
 
 
