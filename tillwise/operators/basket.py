@@ -95,10 +95,16 @@ def rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
 
 
 def significant_rules(rule_table: DataFrame, min_confidence: float = 0.3, min_lift: float = 1.0, digits: int | None = 2) -> DataFrame:
-    """Strong rules, one per itemset (best lift, then confidence, then antecedent)."""
+    """Strong rules, one per itemset (best lift, then confidence, then antecedent).
+
+    A rule and its reverse have the same lift up to rounding noise, so lifts are
+    compared to nine digits.
+    """
     strong = rule_table.filter((F.col("confidence") > min_confidence) & (F.col("lift") > min_lift))
     whole = F.array_sort(F.array_union("antecedents", "consequents"))
-    best = W.partitionBy("_set").orderBy(F.desc("lift"), F.desc("confidence"), F.asc("antecedents"))
+    best = W.partitionBy("_set").orderBy(
+        F.round("lift", 9).desc(), F.round("confidence", 9).desc(), F.asc("antecedents")
+    )
     one = (
         strong.withColumn("_set", whole)
         .withColumn("_rn", F.row_number().over(best))

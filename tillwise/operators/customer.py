@@ -185,7 +185,7 @@ class SpendModel:
     v: float
 
 
-def _newton(evaluate, start: Sequence[float], rounds: int = 25, tol: float = 1e-7) -> np.ndarray:
+def _newton(evaluate, start: Sequence[float], rounds: int = 15, tol: float = 1e-7) -> np.ndarray:
     """Damped Newton search on a few log-parameters.
 
     ``evaluate`` scores a list of points in one distributed pass; each round
@@ -223,21 +223,17 @@ def _newton(evaluate, start: Sequence[float], rounds: int = 25, tol: float = 1e-
 def _weighted_loss(table: DataFrame, names: Sequence[str], loss, penalty: float):
     """Build an evaluator: mean weighted loss of many parameter points in one job."""
 
+    value = loss(*[F.col(f"_p.{n}") for n in names])
+    scored = (F.sum(value * F.col("weight")) / F.sum("weight")).alias("loss")
+
     def evaluate(points: Sequence[np.ndarray]) -> list[float]:
         params = [[float(v) for v in np.exp(p)] for p in points]
-        candidates = F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip(names, ps)])
-                for i, ps in enumerate(params)
-            ]
-        )
-        scored = table.withColumn("_p", F.explode(candidates))
-        value = loss(*[F.col(f"_p.{n}") for n in names])
-        rows = (
-            scored.groupBy(F.col("_p.i").alias("i"))
-            .agg((F.sum(value * F.col("weight")) / F.sum("weight")).alias("loss"))
-            .collect()
-        )
+        structs = [
+            f"named_struct('i', {i}, " + ", ".join(f"'{n}', {v!r}D" for n, v in zip(names, ps)) + ")"
+            for i, ps in enumerate(params)
+        ]
+        candidates = F.explode(F.expr(f"array({', '.join(structs)})"))
+        rows = table.withColumn("_p", candidates).groupBy(F.col("_p.i").alias("i")).agg(scored).collect()
         by_point = {r["i"]: r["loss"] for r in rows}
         return [
             float(by_point[i]) + penalty * sum(v * v for v in ps) if by_point.get(i) is not None else math.inf
@@ -247,7 +243,7 @@ def _weighted_loss(table: DataFrame, names: Sequence[str], loss, penalty: float)
     return evaluate
 
 
-def fit_frequency_model(summary: DataFrame, penalty: float = 0.1, rounds: int = 25) -> FrequencyModel:
+def fit_frequency_model(summary: DataFrame, penalty: float = 0.1, rounds: int = 15) -> FrequencyModel:
     """Penalised maximum likelihood on distinct (frequency, recency, T) with counts.
 
     The compressed table is bounded by the calendar, not by customers; time is
@@ -283,7 +279,7 @@ def fit_frequency_model(summary: DataFrame, penalty: float = 0.1, rounds: int =
     return FrequencyModel(r, alpha / scale, a, b)
 
 
-def fit_spend_model(summary: DataFrame, penalty: float = 0.01, rounds: int = 25) -> SpendModel:
+def fit_spend_model(summary: DataFrame, penalty: float = 0.01, rounds: int = 15) -> SpendModel:
     """Penalised maximum likelihood of spend on repeat buyers with positive value."""
     table = (
         summary.filter((F.col("frequency") > 0) & (F.col("monetary_value") > 0))

@@ -11,7 +11,7 @@ from workloads.registry import PARTS, Tables, query
 
 RATES = marketing.CARRY_OVER
 # Plain weights of the five channels for queries that take weights as given.
-WEIGHTS = {"tv_s": 0.9, "ooh_s": 0.5, "print_s": 0.2, "facebook_s": 1.75, "search_s": 0.05}
+WEIGHTS = {"tv_s": 0.9013, "ooh_s": 0.5017, "print_s": 0.2011, "facebook_s": 1.7519, "search_s": 0.0523}
 
 
 def _rounded(df: DataFrame, columns, digits: int = 4) -> DataFrame:
@@ -39,7 +39,7 @@ def wide(t: Tables) -> DataFrame:
 PARTS["wk"] = "SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date FROM weekly_spend"
 PARTS["sp"] = """SELECT w.date, c.channel, coalesce(s.spend, 0) AS spend FROM wk w CROSS JOIN (SELECT DISTINCT channel FROM weekly_spend) c
     LEFT JOIN weekly_spend s ON s.date = w.date AND s.channel = c.channel"""
-PARTS["rt"] = "SELECT * FROM (VALUES ('tv_s', 0.7::DOUBLE, 0.9::DOUBLE), ('ooh_s', 0.5, 0.5), ('print_s', 0.6, 0.2), ('facebook_s', 0.3, 1.75), ('search_s', 0.2, 0.05)) v(channel, a, weight)"
+PARTS["rt"] = "SELECT * FROM (VALUES ('tv_s', 0.7::DOUBLE, 0.9013::DOUBLE), ('ooh_s', 0.5, 0.5017), ('print_s', 0.6, 0.2011), ('facebook_s', 0.3, 1.7519), ('search_s', 0.2, 0.0523)) v(channel, a, weight)"
 PARTS["ads"] = """SELECT x.date, x.channel, x.spend, sum(y.spend * power(a, date_diff('day', y.date, x.date) // 7)) AS adstock
     FROM sp x JOIN sp y ON x.channel = y.channel AND y.date <= x.date JOIN rt ON rt.channel = x.channel GROUP BY 1, 2, 3"""
 
@@ -114,10 +114,10 @@ def _(t: Tables):
     return _rounded(df, ("value", "bottom", "top"), 2)
 
 
-@query("channel_contributions", "SELECT date, s.channel, round(spend, 2) AS spend, round(spend * weight, 3) AS contribution FROM sp s JOIN rt ON rt.channel = s.channel")
+@query("channel_contributions", "SELECT date, s.channel, round(spend, 2) AS spend, round(spend * weight, 6) AS contribution FROM sp s JOIN rt ON rt.channel = s.channel")
 def _(t: Tables):
     df = marketing.contributions(spend(t), weights(t))
-    return _rounded(_rounded(df, ("spend",), 2), ("contribution",), 3)
+    return _rounded(_rounded(df, ("spend",), 2), ("contribution",), 6)
 
 
 @query("roas", "SELECT s.channel, round(sum(adstock * weight) / sum(spend), 6) AS roas FROM ads s JOIN rt ON rt.channel = s.channel GROUP BY 1")
@@ -163,11 +163,11 @@ for _form, _sql in _RESP.items():
 
     @query(
         f"response_curve_{_form}",
-        f"""SELECT channel, CAST(p AS INT) AS point, round(g, 2) AS grid_spend, round({_sql}, 2) AS response FROM (
+        f"""SELECT channel, CAST(p AS INT) AS point, round(g, 6) AS grid_spend, round({_sql}, 6) AS response FROM (
               SELECT s.channel, weight, p, max(spend) * 1.5 * p / 99.0 AS g FROM sp s JOIN rt ON rt.channel = s.channel, (SELECT unnest(generate_series(0, 99)) AS p) q GROUP BY 1, 2, 3) x""",
     )
     def _(t: Tables, form: str = _form):
-        return _rounded(marketing.response_curves(spend(t), weights(t), form), ("grid_spend", "response"), 2)
+        return _rounded(marketing.response_curves(spend(t), weights(t), form), ("grid_spend", "response"), 6)
 
 
 @query("marketing_weights")
@@ -281,8 +281,9 @@ _SUM = """SELECT CustomerKey, count(*) - 1 AS frequency, date_diff('day', min(Or
     FROM (SELECT CustomerKey, OrderDate, sum(Profit) AS z, row_number() OVER (PARTITION BY CustomerKey ORDER BY OrderDate) AS k FROM hist {where} GROUP BY 1, 2) d GROUP BY 1"""
 PARTS["rfm"] = _SUM.format(end="(SELECT max(OrderDate) FROM hist)", where="")
 PARTS["rfmcal"] = _SUM.format(end="DATE '2000-12-31'", where="WHERE OrderDate <= DATE '2000-12-31'")
-PARTS["flag"] = "SELECT *, frequency > 12 AS hf, monetary_value > 20000 AS hm FROM rfm WHERE frequency > 0"
-MANY, RICH = 12, 20000
+PARTS["flag"] = "SELECT *, frequency > 12 AS hf, monetary_value > 40000 AS hm FROM rfm WHERE frequency > 0"
+PARTS["customer_names"] = "SELECT CustomerKey, LastName FROM raw_customers"
+MANY, RICH = 12, 40000
 
 
 @query("clv_transactions", "SELECT OrderDate, CustomerKey, round(Profit, 4) AS Profit FROM hist")
@@ -290,20 +291,20 @@ def _(t: Tables):
     return _rounded(history(t), ("Profit",))
 
 
-@query("purchase_summary", "SELECT CustomerKey, frequency, recency, T, round(monetary_value, 4) AS monetary_value FROM rfm")
+@query("purchase_summary", "SELECT CustomerKey, frequency, recency, T, round(monetary_value, 6) AS monetary_value FROM rfm")
 def _(t: Tables):
-    return _rounded(summary(t), ("monetary_value",))
+    return _rounded(summary(t), ("monetary_value",), 6)
 
 
 @query(
     "calibration_summary",
-    """SELECT c.CustomerKey, frequency AS frequency_cal, recency AS recency_cal, T AS T_cal, round(monetary_value, 4) AS monetary_value_cal, coalesce(f, 0) AS frequency_holdout,
-              round(coalesce(m, 0), 4) AS monetary_value_holdout, 181 AS duration_holdout
+    """SELECT c.CustomerKey, frequency AS frequency_cal, recency AS recency_cal, T AS T_cal, round(monetary_value, 6) AS monetary_value_cal, coalesce(f, 0) AS frequency_holdout,
+              round(coalesce(m, 0), 6) AS monetary_value_holdout, 181 AS duration_holdout
        FROM rfmcal c LEFT JOIN (SELECT CustomerKey, count(DISTINCT OrderDate) AS f, avg(Profit) AS m FROM hist WHERE OrderDate > DATE '2000-12-31' AND OrderDate <= DATE '2001-06-30' GROUP BY 1) h USING (CustomerKey)""",
 )
 def _(t: Tables):
     df = customer.calibration_summary(history(t), "2000-12-31", "2001-06-30")
-    return _rounded(df, ("monetary_value_cal", "monetary_value_holdout"))
+    return _rounded(df, ("monetary_value_cal", "monetary_value_holdout"), 6)
 
 
 @query("outlier_groups", "SELECT CustomerKey, CASE WHEN hf OR hm THEN 'whale' ELSE 'core' END AS grp, hf AS high_freq, hm AS high_mon FROM flag")
@@ -414,7 +415,6 @@ def _(t: Tables):
 # Segments by rule (frequency quartile-like bands) keep the next tables exact.
 _SEG = "CASE WHEN frequency > 12 AND monetary_value > 20000 THEN 5 WHEN frequency > 12 THEN 4 WHEN frequency > 9 THEN 1 WHEN frequency > 6 THEN 3 WHEN monetary_value > 20000 THEN 2 ELSE 0 END"
 PARTS["seg"] = f"SELECT r.*, {_SEG} AS Segment, monetary_value * frequency AS CLV_90d FROM rfm r WHERE frequency > 0"
-PARTS["customer_names"] = "SELECT CustomerKey, LastName FROM raw_customers"
 PARTS["people"] = """SELECT s.*, MaritalStatus, TotalChildren, Occupation, EducationLevel, HomeOwner,
     CAST(floor(date_diff('day', CAST(BirthDate AS DATE), DATE '2017-08-01') / 365.0) AS INT) AS Age FROM seg s LEFT JOIN raw_customers USING (CustomerKey)"""
 
@@ -435,9 +435,10 @@ def _(t: Tables):
     return _rounded(df, ("CLV_at_Risk", "Marketing_Budget_90d"), 3).select("CustomerKey", "CLV_at_Risk", "Marketing_Budget_90d")
 
 
-@query("risk_by_segment", "SELECT Segment, round(sum(CLV_90d), 1) AS CLV_90d, round(sum(CLV_90d) * 0.1, 1) AS CLV_at_Risk FROM seg GROUP BY 1")
+@query("risk_by_segment", "SELECT Segment, round(sum(CLV_90d), 2) AS CLV_90d, round(sum(CLV_90d) * 0.1, 3) AS CLV_at_Risk FROM seg GROUP BY 1")
 def _(t: Tables):
-    return _rounded(customer.risk_by_segment(customer.financial_columns(segmented(t))), ("CLV_90d", "CLV_at_Risk"), 1)
+    df = customer.risk_by_segment(customer.financial_columns(segmented(t)))
+    return _rounded(_rounded(df, ("CLV_90d",), 2), ("CLV_at_Risk",), 3)
 
 
 @query("segment_counts", "SELECT Segment, count(*) AS customers, round(avg(frequency), 6) AS mean_frequency, round(avg(recency), 6) AS mean_recency, round(avg(monetary_value), 3) AS mean_monetary_value FROM seg GROUP BY 1")
