@@ -163,11 +163,11 @@ for _form, _sql in _RESP.items():
 
     @query(
         f"response_curve_{_form}",
-        f"""SELECT channel, CAST(p AS INT) AS point, round(g, 6) AS grid_spend, round({_sql}, 6) AS response FROM (
+        f"""SELECT channel, CAST(p AS INT) AS point, round(g, 7) AS grid_spend, round({_sql}, 7) AS response FROM (
               SELECT s.channel, weight, p, max(spend) * 1.5 * p / 99.0 AS g FROM sp s JOIN rt ON rt.channel = s.channel, (SELECT unnest(generate_series(0, 99)) AS p) q GROUP BY 1, 2, 3) x""",
     )
     def _(t: Tables, form: str = _form):
-        return _rounded(marketing.response_curves(spend(t), weights(t), form), ("grid_spend", "response"), 6)
+        return _rounded(marketing.response_curves(spend(t), weights(t), form), ("grid_spend", "response"), 7)
 
 
 @query("marketing_weights")

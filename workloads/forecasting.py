@@ -670,12 +670,12 @@ PARTS["bt"] = """SELECT SubcategoryName, CAST(sum(actual) AS BIGINT) AS a, CAST(
 @query(
     "backtest_table",
     """SELECT SubcategoryName, a AS Actual_Month_Sales, p AS Predicted_Month_Sales, CAST(round_even(p + 1.65 * rmse * sqrt(d), 0) AS BIGINT) AS Safety_Stock_Level,
-              round(least(1, greatest(0, 1 - abs(a - p) / a)) * 100, 6) AS Accuracy, round(abs(a - p) / a * 100, 1) AS APE FROM bt""",
+              round(least(1, greatest(0, 1 - abs(a - p) / a)) * 100, 6) AS Accuracy, round_even(abs(a - p) / a * 100, 2) AS APE FROM bt""",
 )
 def _(t: Tables):
     df = clean.trailing_days(naive_scores(t), "OrderDate", 29)
     out = inventory.backtest_table(df)
-    return out.withColumns({"Accuracy": F.round("Accuracy", 6), "APE": F.round("APE", 1)})
+    return _rounded(out, ("Accuracy",))
 
 
 # --- growth and status -----------------------------------------------------
