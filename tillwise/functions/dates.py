@@ -3,36 +3,37 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# ISO first, then day-first, then month-first for texts that only fit that reading.
-DAY_FIRST = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M-d-yyyy", "M/d/yyyy")
-MONTH_FIRST = ("yyyy-M-d", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy")
+# Orders of the date parts to try: ISO first, then day-first, then month-first for
+# texts that only fit that reading. Parts are separated by "-" or "/".
+DAY_FIRST = ("ymd", "dmy", "mdy")
+MONTH_FIRST = ("ymd", "mdy", "dmy")
 
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
-def _as_date(text: Column, fmt: str) -> Column:
-    """Date of a text shaped like ``fmt``: pieces are reordered to ISO and cast.
+def parse_date(col: Column, orders: Sequence[str] = DAY_FIRST) -> Column:
+    """Try each order of year, month and day in turn; NULL when none fits.
 
-    A cast returns NULL for an impossible date without raising, which a
-    formatter would do once per row and format.
+    The text is split once and its parts are put back in ISO order for a cast,
+    which gives NULL for an impossible date without raising an error per row and
+    format. Binding the parts in a lambda keeps the expression small when the
+    optimizer copies it into filters.
     """
-    fields = re.split(r"[-/]", fmt)
-    pieces = {"yyyy": r"(\d{4})", "M": r"(\d{1,2})", "d": r"(\d{1,2})"}
-    separator = "/" if "/" in fmt else "-"
-    pattern = "^" + separator.join(pieces[f] for f in fields) + "$"
-    iso = "-".join(f"${fields.index(f) + 1}" for f in ("yyyy", "M", "d"))
-    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date"))
-
-
-def parse_date(col: Column, formats: Sequence[str] = DAY_FIRST) -> Column:
-    """Try each format in turn; NULL when none fits."""
-    text = F.trim(col)
-    return F.coalesce(*[_as_date(text, f) for f in formats])
+
+    def choose(parts: Column) -> Column:
+        tries = []
+        for order in orders:
+            year, month, day = (F.get(parts, F.lit(order.index(p))) for p in "ymd")
+            shaped = (F.length(year) == 4) & F.length(month).between(1, 2) & F.length(day).between(1, 2)
+            tries.append(F.when(shaped, F.concat_ws("-", year, month, day).try_cast("date")))
+        return F.when(F.size(parts) == 3, F.coalesce(*tries))
+
+    pieces = F.split(F.translate(F.trim(col), "/", "-"), "-")
+    return F.get(F.transform(F.array(pieces), choose), F.lit(0))
 
 
 def day_text(col: Column) -> Column:

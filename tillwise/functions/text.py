@@ -10,6 +10,11 @@ from pyspark.sql import Column, functions as F
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 NAME_PATTERN = r"^[A-Za-z\s\-]+$"
 
+# The characters that count as whitespace at the ends of a cell.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+
 # Texts that the CSV reader treats as missing.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -18,8 +23,8 @@ NA_TOKENS = (
 
 
 def strip(col: Column) -> Column:
-    """Remove any leading or trailing whitespace (``trim`` only knows spaces)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Remove any leading or trailing whitespace (plain ``trim`` only knows spaces)."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def na_to_null(col: Column) -> Column:

@@ -327,25 +327,24 @@ def alive_probability(model: FrequencyModel) -> Column:
     return F.when(x == 0, F.lit(1.0)).otherwise(F.lit(1.0) / (odds + 1))
 
 
-def expected_purchases(model: FrequencyModel, days: float, terms: int = 200) -> Column:
-    """Expected purchases in the next ``days``; the hypergeometric term is a series."""
+def expected_purchases(model: FrequencyModel, days: float, terms: int = 80) -> Column:
+    """Expected purchases in the next ``days``.
+
+    The hypergeometric term is evaluated in Euler's transformed form, whose
+    series needs far fewer terms, by nested multiplication from the last term.
+    """
     x, tx, t = F.col("frequency"), F.col("recency"), F.col("T")
     r, alpha, a, b = model.r, model.alpha, model.a, model.b
     z = F.lit(float(days)) / (t + (alpha + days))
-
-    def grow(state: Column, n: Column) -> Column:
-        term = state["term"] * (x + r + n) * (x + b + n) / ((x + (a + b - 1) + n) * (n + 1)) * state["z"]
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"), state["z"].alias("z"))
-
+    below = x + (a + b - 1)
     series = F.aggregate(
-        F.sequence(F.lit(0), F.lit(terms - 1)),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), z.alias("z")),
-        grow,
-    )["total"]
-    lead = (x + (a + b - 1)) / F.lit(a - 1)
-    survive = F.lit(1.0) - series * F.pow((t + alpha) / (t + (alpha + days)), x + r)
+        F.sequence(F.lit(terms - 1), F.lit(0), F.lit(-1)),
+        F.lit(1.0),
+        lambda acc, n: F.lit(1.0) + acc * z * (n + (a + b - 1 - r)) * (n + (a - 1)) / ((below + n) * (n + 1)),
+    )
+    survive = F.lit(1.0) - series * F.pow((t + alpha) / (t + (alpha + days)), F.lit(a - 1))
     odds = F.when(x > 0, F.lit(a) / (x + (b - 1)) * F.pow((t + alpha) / (tx + alpha), x + r)).otherwise(F.lit(0.0))
-    return lead * survive / (odds + 1)
+    return below / F.lit(a - 1) * survive / (odds + 1)
 
 
 def expected_value(model: SpendModel) -> Column:
@@ -358,21 +357,20 @@ def expected_value(model: SpendModel) -> Column:
 
 def score(summary: DataFrame, frequency: FrequencyModel, spend: SpendModel, months: int = 3, discount: float = 0.01) -> DataFrame:
     """Activity, purchases, value and discounted 90-day worth per customer."""
-    value = expected_value(spend)
-    worth = F.lit(0.0)
-    for k in range(1, months + 1):
-        bought = expected_purchases(frequency, 30 * k)
-        if k > 1:
-            bought = bought - expected_purchases(frequency, 30 * (k - 1))
-        worth = worth + bought / F.lit((1 + discount) ** k)
-    return summary.withColumns(
+    steps = [f"_bought_{k}" for k in range(1, months + 1)]
+    ahead = summary.withColumns({c: expected_purchases(frequency, 30 * k) for k, c in enumerate(steps, start=1)})
+    worth, before = F.lit(0.0), F.lit(0.0)
+    for k, c in enumerate(steps, start=1):
+        worth = worth + (F.col(c) - before) / F.lit((1 + discount) ** k)
+        before = F.col(c)
+    return ahead.withColumns(
         {
             "prob_alive": alive_probability(frequency),
-            "pred_purchases_90d": expected_purchases(frequency, 30 * months),
-            "exp_avg_profit": value,
-            "CLV_90d": value * worth,
+            "pred_purchases_90d": before,
+            "exp_avg_profit": expected_value(spend),
+            "CLV_90d": expected_value(spend) * worth,
         }
-    )
+    ).drop(*steps)
 
 
 # --- segments --------------------------------------------------------------
