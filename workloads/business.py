@@ -56,7 +56,7 @@ def _(t: Tables):
 
 @query(
     "marketing_feature_table",
-    """SELECT p.date, round(p.profit, 2) AS profit, round(max(adstock) FILTER (WHERE channel = 'tv_s'), 2) AS tv_s, round(max(adstock) FILTER (WHERE channel = 'ooh_s'), 2) AS ooh_s,
+    """SELECT p.date, round(p.profit, 4) AS profit, round(max(adstock) FILTER (WHERE channel = 'tv_s'), 2) AS tv_s, round(max(adstock) FILTER (WHERE channel = 'ooh_s'), 2) AS ooh_s,
               round(max(adstock) FILTER (WHERE channel = 'print_s'), 2) AS print_s, round(max(adstock) FILTER (WHERE channel = 'facebook_s'), 2) AS facebook_s,
               round(max(adstock) FILTER (WHERE channel = 'search_s'), 2) AS search_s
        FROM ads JOIN weekly_profit p ON ads.date = p.date GROUP BY p.date, p.profit""",
@@ -65,7 +65,7 @@ def _(t: Tables):
     # Weeks without any spend row still decay, so carry over the dense series.
     carried = marketing.adstock(spend(t), RATES)
     table = carried.groupBy("date").pivot("channel", list(marketing.CHANNELS)).agg(F.sum("adstock"))
-    return _rounded(t.weekly_profit.join(table, "date"), ("profit", *marketing.CHANNELS), 2)
+    return _rounded(_rounded(t.weekly_profit.join(table, "date"), marketing.CHANNELS, 2), ("profit",), 4)
 
 
 @query("trend_features", "SELECT date, year(date) AS year, month(date) AS month, dayofyear(date) AS dayofyear, row_number() OVER (ORDER BY date) - 1 AS trend FROM weekly_profit")
@@ -220,9 +220,10 @@ PARTS["fs"] = """SELECT SubcategoryName AS items, 1 AS size, count(*) AS freq, c
       GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT n FROM nb)
     UNION ALL SELECT a.SubcategoryName || ',' || b.SubcategoryName || ',' || c.SubcategoryName, 3, count(*), count(*) / (SELECT n FROM nb) FROM bl a JOIN bl b ON a.OrderNumber = b.OrderNumber AND a.SubcategoryName < b.SubcategoryName
       JOIN bl c ON b.OrderNumber = c.OrderNumber AND b.SubcategoryName < c.SubcategoryName GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT n FROM nb)"""
-PARTS["rl"] = """SELECT a.items AS ant, c.items AS con, a.support AS sa, c.support AS sc, p.support AS s, p.support / a.support AS confidence, p.support / a.support / c.support AS lift
-    FROM (SELECT *, split_part(items, ',', 1) AS x, split_part(items, ',', 2) AS y FROM fs WHERE size = 2) p
-    JOIN fs a ON a.size = 1 AND a.items IN (x, y) JOIN fs c ON c.size = 1 AND c.items IN (x, y) AND c.items <> a.items"""
+PARTS["fl"] = "SELECT *, string_split(items, ',') AS l FROM fs"
+PARTS["ra"] = "SELECT p.items AS itemset, p.l AS pl, p.size AS psize, p.support AS s, a.items AS ant, a.l AS al, a.size AS asize, a.support AS sa FROM fl p JOIN fl a ON a.size < p.size AND list_has_all(p.l, a.l)"
+PARTS["rl"] = """SELECT itemset, ant, c.items AS con, sa, c.support AS sc, s, s / sa AS confidence, s / sa / c.support AS lift
+    FROM ra JOIN fl c ON c.size = psize - asize AND list_has_all(pl, c.l) AND NOT list_has_any(al, c.l)"""
 
 
 @query("baskets", "SELECT OrderNumber, string_agg(SubcategoryName, ',' ORDER BY SubcategoryName) AS items FROM bl GROUP BY 1")
@@ -256,8 +257,8 @@ def _(t: Tables):
 
 @query(
     "significant_rules",
-    """SELECT ant AS antecedents, con AS consequents, round(confidence, 8) AS confidence, round(lift, 8) AS lift FROM (
-         SELECT *, row_number() OVER (PARTITION BY least(ant, con), greatest(ant, con) ORDER BY confidence DESC, ant) AS r FROM rl WHERE confidence > 0.05 AND lift > 0.9) x WHERE r = 1""",
+    """SELECT replace(ant, ',', ', ') AS antecedents, replace(con, ',', ', ') AS consequents, round(confidence, 8) AS confidence, round(lift, 8) AS lift FROM (
+         SELECT *, row_number() OVER (PARTITION BY itemset ORDER BY round(lift, 9) DESC, round(confidence, 9) DESC, ant) AS r FROM rl WHERE confidence > 0.05 AND lift > 0.9) x WHERE r = 1""",
 )
 def _(t: Tables):
     df = basket.significant_rules(basket.rules(cut_lineage(item_sets(t)), 0.0), 0.05, 0.9, digits=None)

@@ -392,12 +392,12 @@ def _(t: Tables):
 
 @query(
     "exact_quantiles_by_key",
-    """SELECT CategoryName, event, round(quantile_cont(profit, 0.1), 4) AS low, round(quantile_cont(profit, 0.5), 4) AS mid, round(quantile_cont(profit, 0.9), 4) AS high
+    """SELECT CategoryName, event, round(quantile_cont(profit, 0.1), 7) AS low, round(quantile_cont(profit, 0.5), 7) AS mid, round(quantile_cont(profit, 0.9), 7) AS high
        FROM price_events GROUP BY 1, 2""",
 )
 def _(t: Tables):
     q = ordering.quantiles(t.price_events, "profit", [0.1, 0.5, 0.9], ["CategoryName", "event"], ["low", "mid", "high"])
-    return q.withColumns({c: F.round(c, 4) for c in ("low", "mid", "high")})
+    return q.withColumns({c: F.round(c, 7) for c in ("low", "mid", "high")})
 
 
 @query("orphan_keys", "SELECT ProductKey, count(*) AS affected_rows FROM sales WHERE ProductKey NOT IN (SELECT ProductKey FROM products) GROUP BY 1")

@@ -559,8 +559,9 @@ for _k in (30, 15):
         WHERE ReturnDate < DATE '{_V0}' AND ReturnDate >= DATE '{_V0}' - {_k} GROUP BY 1"""
 PARTS["v30"] = """SELECT SubcategoryName, a, m * 30 AS p, (m - 1.96 * e) * 30 AS l, (m + 1.96 * e) * 30 AS u
     FROM (SELECT *, CASE WHEN s > 0 THEN s / sqrt(30) ELSE 0.1 END AS e FROM vrec30 JOIN vmonth USING (SubcategoryName)) x"""
-PARTS["v15"] = """SELECT SubcategoryName, a, m * f * 30 AS p, m * f * 30 - 1.96 * (s / sqrt(15)) * 30 * f AS l, m * f * 30 + 1.96 * (s / sqrt(15)) * 30 * f AS u
-    FROM (SELECT *, sn / sb AS f FROM vrec15 JOIN vmonth USING (SubcategoryName) JOIN vbase USING (SubcategoryName)) x"""
+PARTS["v15"] = """SELECT SubcategoryName, a, coalesce(m * f * 30, 0) AS p, coalesce(m * f * 30 - 1.96 * (s / sqrt(15)) * 30 * f, 0) AS l,
+        coalesce(m * f * 30 + 1.96 * (s / sqrt(15)) * 30 * f, 0) AS u
+    FROM (SELECT *, sn / nullif(sb, 0) AS f FROM vrec15 JOIN vmonth USING (SubcategoryName) JOIN vbase USING (SubcategoryName)) x"""
 
 
 def _validation(part: str, upper: str, div: int) -> str:
@@ -670,7 +671,7 @@ PARTS["bt"] = """SELECT SubcategoryName, CAST(sum(actual) AS BIGINT) AS a, CAST(
 @query(
     "backtest_table",
     """SELECT SubcategoryName, a AS Actual_Month_Sales, p AS Predicted_Month_Sales, CAST(round_even(p + 1.65 * rmse * sqrt(d), 0) AS BIGINT) AS Safety_Stock_Level,
-              round(least(1, greatest(0, 1 - abs(a - p) / a)) * 100, 6) AS Accuracy, round_even(abs(a - p) / a * 100, 2) AS APE FROM bt""",
+              round(least(1, greatest(0, 1 - abs(a - p) / a)) * 100, 6) AS Accuracy, coalesce(round_even(abs(a - p) / nullif(a, 0) * 100, 2), 0) AS APE FROM bt""",
 )
 def _(t: Tables):
     df = clean.trailing_days(naive_scores(t), "OrderDate", 29)
@@ -696,7 +697,8 @@ def month_forecast(t: Tables) -> DataFrame:
 PARTS["mfc"] = """SELECT SubcategoryName, CAST(coalesce(sum(OrderQuantity) FILTER (WHERE age < 30), 0) AS BIGINT) AS Last_Month_Actual,
         CAST(coalesce(sum(OrderQuantity) FILTER (WHERE age >= 30), 0) AS BIGINT) AS Future_Forecast, CAST(coalesce(sum(OrderQuantity) FILTER (WHERE age >= 30), 0) * 2 AS BIGINT) AS Safe_Stock_Level
     FROM (SELECT *, date_diff('day', OrderDate, (SELECT max(OrderDate) FROM dlyb)) AS age FROM dlyb) x WHERE age < 60 GROUP BY 1"""
-PARTS["mfull"] = "SELECT * FROM mfc UNION ALL SELECT SubcategoryName, 0, 2, 5 FROM subcategories"
+PARTS["mfull"] = """SELECT * FROM mfc UNION ALL SELECT SubcategoryName, 0, 2, 5 FROM (SELECT SubcategoryName FROM subcategories UNION SELECT SubcategoryName FROM word_items) i
+    WHERE SubcategoryName NOT IN (SELECT SubcategoryName FROM mfc)"""
 
 
 def full_forecast(t: Tables) -> DataFrame:
@@ -894,7 +896,7 @@ def _(t: Tables):
     return _rounded(profile.correlation_matrix(matrix(t), ITEM, "units"), ("correlation",))
 
 
-PARTS["mxg"] = "SELECT * FROM (SELECT month, SubcategoryName, units / lag(units) OVER (PARTITION BY SubcategoryName ORDER BY month) - 1 AS g FROM mx) x WHERE g IS NOT NULL"
+PARTS["mxg"] = "SELECT * FROM (SELECT month, SubcategoryName, units / nullif(lag(units) OVER (PARTITION BY SubcategoryName ORDER BY month), 0) - 1 AS g FROM mx) x WHERE g IS NOT NULL"
 
 
 @query("pct_change", "SELECT month, SubcategoryName, round(g, 6) AS change FROM mxg")
