@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions import dates, text
 from tillwise.operators.ordering import mode_value, quantiles
+from tillwise.session import cut_lineage
 
 # Accepted domains and imputation order of the cleaning rules.
 CUSTOMER_DOMAINS = {
@@ -292,7 +293,8 @@ def sales(
     df = date_column(date_column(df, "OrderDate", formats), "StockDate", formats)
     df = until(df, "OrderDate", last)
     df = require_all(df, ["OrderDate", "OrderNumber", "ProductKey", "CustomerKey", "OrderQuantity"])
-    merged = merge_sale_lines(strip_text(df, ["OrderNumber"]))
+    # Both the quantile and the result read the merged lines: parse and shuffle them once.
+    merged = cut_lineage(merge_sale_lines(strip_text(df, ["OrderNumber"])))
     return trim_top(merged, "OrderQuantity").withColumn(
         "OrderQuantity", F.col("OrderQuantity").cast("int")
     )
