@@ -17,5 +17,10 @@ def test_matches_oracle(spark, duck, sf_dir, name):
     assert not expected - rows, list((expected - rows))[:3]
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle_is_complete_sql(duck, name):
+    duck.execute("EXPLAIN " + ORACLES[name])
+
+
 def test_entry_runs(spark):
     assert contract.entry(spark).count() > 0

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillwise.operators import basket, customer, joins, marketing, pricing, regress
 from tillwise.plans import value
 from tillwise.session import cut_lineage
+from workloads import forecasting  # noqa: F401  defines oracle fragments used below
 from workloads.registry import PARTS, Tables, query
 
 RATES = marketing.CARRY_OVER
