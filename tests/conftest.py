@@ -11,12 +11,13 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=tmp_path_factory.mktemp("checkpoints").as_uri(),
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
     )
