@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillwise.llm.exact import exact_groups
 from tillwise.llm.packing import pack_documents
 from tillwise.llm.simhash import near_groups
+from tillwise.llm.suffixes import without_earlier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +51,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query(
+    "op9_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM d, unnest(range(0, len(h) // 2 - 99)) AS t(p)),
+    later AS (
+      SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1
+    ),
+    marked AS (
+      SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh
+      FROM later
+    ),
+    runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+    spans AS (SELECT doc_id, min(p) AS low, max(p) + 100 AS high FROM runs GROUP BY doc_id, run),
+    pieces AS (
+      SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS last_high FROM spans
+    ),
+    kept AS (
+      SELECT doc_id, string_agg(substr(h, 2 * last_high + 1, 2 * (low - last_high)), '' ORDER BY low) AS head,
+             max(high) AS tail, sum(high - low) AS n_removed, count(*) AS n_spans
+      FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_earlier(table(spark, sf_dir, "documents"), texts=False)
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
