@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm.exact import exact_groups
+from tillwise.llm.extract import extract_pages
+from tillwise.llm.licenses import MAX_SHIFT, MIN_SHARE, PHRASES, STATEMENTS, license_scan
+from tillwise.llm.mixing import mixing_rates
 from tillwise.llm.packing import pack_documents
 from tillwise.llm.simhash import near_groups
 from tillwise.llm.suffixes import without_earlier
+from tillwise.llm.topk import top_matches
+from tillwise.llm.toxicity import toxicity_scores
+from tillwise.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +37,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_top_k_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_matches(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def license_sql() -> str:
+    """Places of all word pairs of the templates, diagonals, merged spans and shares."""
+    rows = [(t, n, True) for t, n in PHRASES.items()] + [(t, n, False) for n, t in STATEMENTS.items()]
+    templates = ", ".join(f"('{t}', '{n}', {base})" for t, n, base in rows)
+    return f"""
+    WITH templates AS (
+      SELECT t, label, base, string_split(t, ' ') AS w FROM (VALUES {templates}) AS x(t, label, base)
+    ),
+    pairs AS (
+      SELECT t, label, base, len(w) - 1 AS need, i AS place, w[i + 1] AS w1, w[i + 2] AS w2
+      FROM templates, unnest(range(0, len(w) - 1)) AS r(i)
+    ),
+    docs AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ),
+    found AS (SELECT doc_id, i AS spot, w[i + 1] AS w1, w[i + 2] AS w2 FROM docs, unnest(range(0, len(w) - 1)) AS r(i)),
+    votes AS (
+      SELECT doc_id, t, label, base, need, spot - place AS diagonal, count(*) AS pairs, min(spot) AS low, max(spot) AS high
+      FROM found JOIN pairs USING (w1, w2) GROUP BY ALL
+    ),
+    fresh AS (
+      SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER lane > {MAX_SHIFT}, true) THEN 1 ELSE 0 END AS f
+      FROM votes WINDOW lane AS (PARTITION BY doc_id, t ORDER BY diagonal)
+    ),
+    numbered AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM fresh),
+    spans AS (
+      SELECT doc_id, t, label, base, need, sum(pairs) AS pairs, min(diagonal) AS start, max(high) - min(low) + 1 AS length
+      FROM numbered GROUP BY doc_id, t, label, base, need, span
+    ),
+    shares AS (
+      SELECT *, CASE WHEN base THEN CASE WHEN pairs = need THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+                     ELSE least(pairs, need)::DOUBLE / greatest(need, length)::DOUBLE END AS share FROM spans
+    ),
+    verified AS (SELECT * FROM shares WHERE share >= CASE WHEN base THEN 1.0 ELSE {MIN_SHARE} END),
+    summed AS (
+      SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM verified GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM docs LEFT JOIN summed USING (doc_id)
+    """
+
+
+@query("op3_license_scan", license_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_warc",
+    """
+    WITH p AS (
+      SELECT page_id, encode(coalesce(html, '')) AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+    ),
+    h AS (SELECT *, sha1(body) AS hex FROM p)
+    SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+           list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+             CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified
+    FROM h
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

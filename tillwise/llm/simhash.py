@@ -178,3 +178,13 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, all columns, without those whose group of near-duplicates has a smaller doc_id.
+
+    Rows without id are kept, as no rule names them; rows that repeat an id and are kept stay repeated.
+    """
+    groups = near_groups(docs, id_column, text_column)
+    dropped = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped.withColumnRenamed("doc_id", id_column), id_column, "left_anti").select(*docs.columns)
