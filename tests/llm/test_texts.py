@@ -147,7 +147,7 @@ def test_license_places(spark, odd_docs, no_docs):
     rows = {r["doc_id"]: r for r in license_scan(docs).collect()}
     assert (rows[0]["n_base"], rows[0]["first_word"], rows[0]["last_word"], rows[0]["base_labels"]) == (2, 0, 3, "reserved")
     assert rows[1]["base_labels"] == "cc-by" and rows[1]["labels"] == "cc-by,cc-by-nc"
-    assert rows[2]["labels"] == "gpl,gpl-3" and rows[2]["first_word"] == 6 and rows[2]["score"] == 1.0
+    assert rows[2]["labels"] == "gpl,gpl-3" and rows[2]["first_word"] == 7 and rows[2]["score"] == 1.0
     assert rows[3]["labels"] == "mit" and rows[3]["n_base"] == 0 and rows[3]["first_word"] is None
     assert rows[4]["n_words"] == 1 and rows[4]["labels"] == "" and rows[4]["score"] == 0.0
     assert rows[5]["n_base"] == 2 and rows[5]["n_words"] == 7

@@ -219,7 +219,6 @@ def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_co
     counted = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = labelled.groupBy("label").count().collect()
     share = {r["label"]: r["count"] for r in totals}
-    base_rate = share.get(1, 0) / max(1, sum(share.values()))
     size = train.groupBy("label").count().collect()
     n = {y: max(1, dict(map(tuple, size)).get(y, 0)) for y in (0, 1)}
     p1, p0 = (F.col("toxic") + 0.5) / (n[1] + 1), (F.col("clean") + 0.5) / (n[0] + 1)
@@ -249,6 +248,9 @@ def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_co
     # A vote of class y stands for its labelled documents with terms, at the class's share of all labels.
     per_class = {y: share.get(y, 0) / n[y] * with_terms.get(y, 0) / max(1, taken[y]) for y in (0, 1)}
     scale = max(per_class.values()) or 1.0
+    # How often labelled documents without any term are toxic: what a document without evidence scores.
+    without = {y: share.get(y, 0) * (n[y] - with_terms.get(y, 0) + 0.5) / (n[y] + 1) for y in (0, 1)}
+    base_rate = without[1] / (sum(without.values()) or 1.0)
     shares = [per_class[r["label"]] / scale for r in examples]
     index = Index.build(vectors, [r["label"] for r in examples], shares, [r["doc_id"] for r in examples])
     return ToxicityModel(vocabulary, idf, index, base_rate)
@@ -273,7 +275,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     """One row per document: doc_id, held_out, score, predicted, neighbours, cosines.
 
     Only labels outside the held-out fold (crc32 of the id's digits mod 5 = 0) are learnt from. A text is scored by
-    its words alone; null, empty or unknown texts get the base rate. Rows with null ids have ``held_out`` null. Repeated
+    its words alone; null, empty or unknown texts get the rate of
+    toxic labels among labelled texts without evidence. Rows with null ids have ``held_out`` null. Repeated
     rows each give a row; extra columns are ignored; an empty table gives no rows; without usable labels all scores are 0.
     """
     model = fit(docs, labelled_ids(labels), id_column, text_column)
