@@ -3,7 +3,7 @@
 Every pair of consecutive words of a document is joined by its hash to the places where that pair stands in a
 template. Matches of one template vote for a diagonal, the document position minus the template position.
 Neighbouring diagonals are merged, so a statement with a word more or less is still one span, and spans are
-verified by the share of the template's pairs they hold. All of it is DataFrame expressions.
+verified by their length and the share of the template's pairs they hold. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     need = F.col("size") - 1
     length = F.col("high") - F.col("low") + 1
-    share = F.least(F.col("pairs"), need) / F.greatest(need, length)
+    # A span much longer than its template is scattered words, not a statement.
+    share = F.when(length <= need + 2 * MAX_SHIFT, F.least(F.col("pairs"), need)).otherwise(F.lit(0)) / need
     found = F.col("template").isNotNull() & F.when(F.col("base"), F.col("pairs") == need).otherwise(share >= MIN_SHARE)
     place = F.col("base") & (F.col("pairs") == need)
     joined = lambda condition: F.concat_ws(",", F.array_sort(F.collect_set(F.when(condition, F.col("label")))))

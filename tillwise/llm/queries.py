@@ -97,7 +97,7 @@ def license_sql() -> str:
     ),
     shares AS (
       SELECT *, CASE WHEN base THEN CASE WHEN pairs = need THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-                     ELSE least(pairs, need)::DOUBLE / greatest(need, length)::DOUBLE END AS share FROM spans
+                     WHEN length <= need + {2 * MAX_SHIFT} THEN least(pairs, need)::DOUBLE / need::DOUBLE ELSE 0.0 END AS share FROM spans
     ),
     verified AS (SELECT * FROM shares WHERE share >= CASE WHEN base THEN 1.0 ELSE {MIN_SHARE} END),
     summed AS (
