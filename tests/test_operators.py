@@ -79,11 +79,29 @@ def test_encoding_is_persistent(spark):
     known = spark.createDataFrame([("Pumps", 0), ("Bike Racks", 7)], "SubcategoryName string, id int")
     new = spark.createDataFrame([("Vests",), ("Pumps",), ("Caps",), (None,)], "SubcategoryName string")
     got = {r.SubcategoryName: r.id for r in encoding.extend_encoding(known, new).collect()}
-    assert got == {"Pumps": 0, "Bike Racks": 7, "Caps": 8, "Vests": 9}
+    assert got == {"Pumps": 0, "Bike Racks": 7, "Caps": 8, "Unknown": 9, "Vests": 10}
     fresh = {r.SubcategoryName: r.id for r in encoding.extend_encoding(None, new).collect()}
-    assert fresh == {"Caps": 0, "Pumps": 1, "Vests": 2}
+    assert fresh == {"Caps": 0, "Pumps": 1, "Unknown": 2, "Vests": 3}
     coded = encoding.encode_items(new, encoding.extend_encoding(None, new)).collect()
-    assert sorted(r.SubcategoryName for r in coded if r.SubcategoryName is not None) == [0, 1, 2]
+    assert sorted(r.SubcategoryName for r in coded) == [0, 1, 2, 3]
+
+
+def test_quantiles_leave_out_nan(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, float("nan"), None)], "v double")
+    assert ordering.quantiles(df, "v", [0.5]).first()[0] == 2.0
+    keyed = ordering.medians(df.withColumn("k", F.lit("a")), {"m": "v"}, ["k"]).first()
+    assert keyed.m == 2.0
+
+
+def test_quantiles_of_values_in_one_bucket_and_a_hot_key(spark):
+    rng = np.random.default_rng(9)
+    close = 1.7e9 + rng.integers(0, 5000, 4000)
+    rows = [("hot", float(v)) for v in close] + [("cold", float(v)) for v in rng.random(10) * 1e-5]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r.k: (r.a, r.b) for r in ordering.quantiles(df, "v", [0.25, 0.9], ["k"], ["a", "b"]).collect()}
+    for k in ("hot", "cold"):
+        values = [v for name, v in rows if name == k]
+        assert got[k] == pytest.approx(tuple(np.quantile(values, [0.25, 0.9])), rel=1e-12)
 
 
 def test_routes(tiny_panel):
@@ -141,6 +159,11 @@ def test_allocation_is_feasible_and_best(spark):
     for s in (0, 1):
         part = [r.allocation for r in out if r.s == s]
         assert sum(part) == pytest.approx(1000.0) and min(part) >= 50 - 1e-9 and max(part) <= 500 + 1e-9
+    assert all(r.feasible for r in out)
+    few = marketing.best_allocation(df.filter("channel = 'c0'"), ["s"]).collect()
+    many = df.filter("s = 0").withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("channel", F.col("channel").cast("string"))
+    for r in [*few, *marketing.best_allocation(many, ["s"]).collect()]:
+        assert not r.feasible and r.allocation is None and r.contribution is None
     best = {r.channel: r.allocation for r in out if r.s == 0}
     assert best["c3"] == pytest.approx(500.0) and best["c4"] == pytest.approx(350.0)
 
@@ -156,6 +179,51 @@ def test_adstock_matches_the_recursion(spark):
     assert [r.adstock for r in out.collect()] == pytest.approx(expected)
 
 
+def test_adstock_of_any_rate_over_many_blocks(spark):
+    rates = {"a": 1.0, "b": 0.2, "c": 0.0, "d": 1.001, "e": 0.999}
+    start, weeks = dt.date(1980, 1, 7), 700
+    rows = [(start + dt.timedelta(days=7 * i), c, float((i * 7 + k) % 5), "m") for i in range(weeks) for k, c in enumerate(rates)]
+    df = spark.createDataFrame(rows, "date date, channel string, spend double, market string").repartition(5)
+    out = marketing.adstock(df, rates)
+    assert out.columns == [*df.columns, "adstock"]
+    got = {(r.channel, r.date): r.adstock for r in out.collect()}
+    for k, (c, rate) in enumerate(rates.items()):
+        x = 0.0
+        for i in range(weeks):
+            x = x * rate + (i * 7 + k) % 5
+            assert got[c, start + dt.timedelta(days=7 * i)] == pytest.approx(x)
+
+
+def test_expected_purchases_take_enough_terms(spark):
+    """Young customers, where the series needs many terms, against the plain sum."""
+    model = customer.FrequencyModel(r=0.3, alpha=2.0, a=4.0, b=8.0)
+    df = spark.createDataFrame([(1, 2.0, 3.0), (0, 0.0, 0.5), (4, 300.0, 400.0)], "frequency int, recency double, T double")
+    got = [r[0] for r in df.select(customer.expected_purchases(model, 90)).collect()]
+    for value, (x, tx, t) in zip(got, df.collect()):
+        z = 90 / (2.0 + t + 90)
+        total, term, n = 0.0, 1.0, 0
+        while n < 60_000:
+            total += term
+            term *= (0.3 + x + n) * (8.0 + x + n) / ((11.0 + x + n) * (n + 1)) * z
+            n += 1
+        survive = 1 - ((2.0 + t) / (2.0 + t + 90)) ** (0.3 + x) * total
+        odds = (4.0 / (7.0 + x) * ((2.0 + t) / (2.0 + tx)) ** (0.3 + x)) if x else 0.0
+        assert value == pytest.approx((11.0 + x) / 3.0 * survive / (1 + odds), rel=1e-8)
+
+
+def test_roi_is_ordered_exactly_and_rounded_half_even(spark):
+    carried = spark.createDataFrame([("a", 1000.0, 1002.0), ("b", 1000.0, 1004.0), ("c", 8.0, 1.0)], "channel string, spend double, adstock double")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "channel string, weight double")
+    rows = marketing.roi_table(carried, weights).collect()
+    assert [r.channel for r in rows] == ["b", "a", "c"] and [r.roi for r in rows] == [1.0, 1.0, 0.12]
+
+
+def test_rules_refuse_very_large_itemsets(spark):
+    sets = spark.createDataFrame([([f"i{k:02d}" for k in range(21)], 5, 0.5)], "items array<string>, freq long, support double")
+    with pytest.raises(Exception, match="at most 20 items"):
+        basket.rules(sets).collect()
+
+
 def test_channel_plan_weights(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillwise import schemas
-from tillwise.operators import forecast
+from tillwise.operators import forecast, profile
 from tillwise.sources import documents, models, tables
 
 
@@ -24,6 +25,17 @@ def test_csv_round_trip_with_na_tokens_and_latin1(spark, tmp_path):
     assert tables.cleaned_name("data/Shop_Products.csv") == "Cleaned_Products"
 
 
+def test_csv_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("price,extra,name\n2.5,x,Pump\n")
+    schema = schemas._struct("name:s price:d")
+    assert tuple(tables.read_csv(spark, f"{tmp_path}/p.csv", schema).first()) == ("Pump", 2.5)
+    assert len(tables.csv_header(spark, f"{tmp_path}/p.csv")) == 3
+    report = profile.schema_report({"p": tables.read_csv(spark, f"{tmp_path}/p.csv", schema)}, {"p": 2}, {"p": 3}).first()
+    assert (report.found_columns, report.matches) == (3, False)
+    with pytest.raises(ValueError, match="lacks the columns"):
+        tables.read_csv(spark, f"{tmp_path}/p.csv", schemas._struct("name:s cost:d"))
+
+
 def test_tables_as_views(spark, tmp_path):
     (tmp_path / "c.csv").write_text("ProductCategoryKey,CategoryName\n1,Bikes\n")
     tables.register_tables(spark, {"category_view": f"{tmp_path}/c.csv"}, {"category_view": schemas.RAW_CATEGORIES})

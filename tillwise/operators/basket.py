@@ -8,6 +8,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
+from tillwise.session import cut_lineage
+
+# Largest itemset whose splits are listed: about a million rows from one row.
+MAX_RULE_ITEMS = 20
 
 
 def baskets(lines: DataFrame, order: str = "OrderNumber", item: str = "SubcategoryName", min_support: float | None = None) -> DataFrame:
@@ -33,7 +37,7 @@ def baskets(lines: DataFrame, order: str = "OrderNumber", item: str = "Subcatego
 
 def frequent_itemsets(basket: DataFrame, min_support: float = 0.01, partitions: int | None = None) -> DataFrame:
     """(items, freq, support) of every itemset reaching ``min_support`` (parallel FP-growth)."""
-    basket = basket.persist()
+    basket = cut_lineage(basket)
     miner = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if partitions is not None:
         miner = miner.setNumPartitions(partitions)
@@ -62,9 +66,12 @@ def rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     """All antecedent/consequent splits of every itemset with their lift.
 
     A split is a bit mask over the itemset; both sides are looked up in the
-    itemset table, which holds every subset of a frequent set.
+    itemset table, which holds every subset of a frequent set. An itemset of n items
+    has 2^n - 2 splits; more than ``MAX_RULE_ITEMS`` items raise an error.
     """
-    sized = itemsets.filter(F.size("items") >= 2)
+    too_many = F.raise_error(F.lit(f"rules need itemsets of at most {MAX_RULE_ITEMS} items; raise the support"))
+    items = F.when(F.size("items") > MAX_RULE_ITEMS, too_many.cast("array<string>")).otherwise(F.col("items"))
+    sized = itemsets.filter(F.size("items") >= 2).withColumn("items", items)
     splits = sized.select(
         "items",
         F.col("support").alias("support"),

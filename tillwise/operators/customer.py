@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -186,7 +187,7 @@ class SpendModel:
 
 
 def _newton(evaluate, start: Sequence[float], rounds: int = 15, tol: float = 1e-7) -> np.ndarray:
-    """Damped Newton search on a few log-parameters.
+    """Damped Newton search on a few log-parameters; warns when the rounds end before the gain does.
 
     ``evaluate`` scores a list of points in one distributed pass; each round
     needs one pass for the local quadratic model and one for the step lengths.
@@ -217,6 +218,8 @@ def _newton(evaluate, start: Sequence[float], rounds: int = 15, tol: float = 1e-
         x = x + lengths[best] * step
         if f0 - scores[best] < tol:
             break
+    else:
+        warnings.warn(f"no convergence in {rounds} rounds, last gain {f0 - scores[best]:.3g}", stacklevel=3)
     return x
 
 
@@ -310,12 +313,6 @@ def model_table(spark: SparkSession, frequency: FrequencyModel, spend: SpendMode
     )
 
 
-def models_from_table(table: DataFrame, generation: int | None = None) -> tuple[FrequencyModel, SpendModel]:
-    chosen = table if generation is None else table.filter(F.col("generation") == generation)
-    row = chosen.orderBy(F.desc("generation")).first()
-    return FrequencyModel(row.r, row.alpha, row.a, row.b), SpendModel(row.p, row.q, row.v)
-
-
 def alive_probability(model: FrequencyModel) -> Column:
     """Chance that a customer is still active."""
     x, tx, t = F.col("frequency"), F.col("recency"), F.col("T")
@@ -327,18 +324,20 @@ def alive_probability(model: FrequencyModel) -> Column:
     return F.when(x == 0, F.lit(1.0)).otherwise(F.lit(1.0) / (odds + 1))
 
 
-def expected_purchases(model: FrequencyModel, days: float, terms: int = 80) -> Column:
+def expected_purchases(model: FrequencyModel, days: float) -> Column:
     """Expected purchases in the next ``days``.
 
-    The hypergeometric term is evaluated in Euler's transformed form, whose
-    series needs far fewer terms, by nested multiplication from the last term.
+    The hypergeometric term is evaluated in Euler's transformed form by nested multiplication from the
+    last term. Terms shrink like z^n times a power of n, so each row takes as many as bring z^n below
+    1e-20, half as many again and some for the power: younger customers, with z near 1, take more.
     """
     x, tx, t = F.col("frequency"), F.col("recency"), F.col("T")
     r, alpha, a, b = model.r, model.alpha, model.a, model.b
     z = F.lit(float(days)) / (t + (alpha + days))
     below = x + (a + b - 1)
+    terms = F.coalesce(F.ceil(F.lit(1.5 * 20 * math.log(10)) / -F.log(z)), F.lit(0)) + math.ceil(40 + 4 * abs(a))
     series = F.aggregate(
-        F.sequence(F.lit(terms - 1), F.lit(0), F.lit(-1)),
+        F.sequence((terms - 1).cast("int"), F.lit(0), F.lit(-1)),
         F.lit(1.0),
         lambda acc, n: F.lit(1.0) + acc * z * (n + (a + b - 1 - r)) * (n + (a - 1)) / ((below + n) * (n + 1)),
     )
@@ -390,6 +389,8 @@ def fit_segments(summary: DataFrame, k: int = 4, features: Sequence[str] = SEGME
         ]
         model = Pipeline(stages=stages).fit(data)
         cost = model.stages[-1].summary.trainingCost
+        if model.stages[-1].summary.numIter >= 50:
+            warnings.warn(f"k-means with {k} clusters did not converge in 50 iterations", stacklevel=2)
         if best is None or cost < best[0]:
             best = (cost, model)
     data.unpersist()

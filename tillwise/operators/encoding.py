@@ -11,14 +11,15 @@ def extend_encoding(mapping: DataFrame | None, *names: DataFrame) -> DataFrame:
     """Keep known ids; unseen names get the next ids in alphabetical order.
 
     ``mapping`` is (SubcategoryName, id) or None; each names table has a
-    SubcategoryName column. New names are numbered per three-letter prefix with
-    an offset per prefix, so numbering a large vocabulary stays distributed.
+    SubcategoryName column; a missing name counts as ``Unknown`` and is numbered
+    like any other. New names are numbered per prefix with an offset per prefix, so
+    numbering a large vocabulary stays distributed.
     """
     seen = names[0].select("SubcategoryName")
     for more in names[1:]:
         seen = seen.union(more.select("SubcategoryName"))
-    seen = seen.filter(F.col("SubcategoryName").isNotNull()).distinct()
-    prefix = F.substring("SubcategoryName", 1, 3)
+    seen = seen.select(F.coalesce("SubcategoryName", F.lit("Unknown")).alias("SubcategoryName")).distinct()
+    prefix = F.substring("SubcategoryName", 1, 8)
     if mapping is None:
         return global_index(seen, prefix, ["SubcategoryName"], "id").select(
             "SubcategoryName", F.col("id").cast("int").alias("id")

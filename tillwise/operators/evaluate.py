@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions.numeric import ratio
-from tillwise.operators.ordering import shuffled_partner
+from tillwise.operators.ordering import medians, shuffled_partner
 from tillwise.operators.panel import DAY, ITEM
 
 
@@ -43,9 +43,11 @@ def metric_summary(metrics: DataFrame, columns: Sequence[str], keys: Sequence[st
         *keys,
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns])).alias("s"),
     ).select(*keys, "s.metric", "s.v")
-    return long.groupBy(*keys, "metric").agg(
-        F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
+    by = [*keys, "metric"]
+    middle = medians(long, {"median": "v"}, by)
+    return long.groupBy(*by).agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).join(
+        middle, by, "left"
+    ).select(*by, "mean", "median", "min", "max")
 
 
 def residuals_by_actual(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -150,10 +152,3 @@ def permutation_importance(
         .filter(F.col("s.feature") != "")
         .select("s.feature", (F.col("s.rmse") - F.col("base")).alias("rmse_increase"))
     )
-
-
-def hold_out_accuracy(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of the total volume predicted, per key."""
-    return scored.groupBy(*keys).agg(
-        F.sum("actual").alias("actual"), F.sum("pred").alias("pred")
-    ).withColumn("coverage", ratio(F.col("pred"), F.col("actual")))

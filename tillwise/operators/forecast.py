@@ -109,7 +109,7 @@ def autoregression_forecast(
     newest = panel.agg(F.max(day)).scalar()
     return (
         state.select(ITEM, F.posexplode(F.slice(rolled, 8, horizon)).alias("pos", "yhat"))
-        .select(ITEM, F.date_add(newest, F.col("pos") + 1).alias("date"), F.greatest("yhat", F.lit(0.0)).alias("yhat"))
+        .select(ITEM, F.date_add(newest, F.col("pos") + 1).alias("date"), "yhat")
     )
 
 
@@ -159,7 +159,7 @@ def seasonal_forecast(
     yearly: int = 3,
     weekly: int = 3,
 ) -> DataFrame:
-    """Evaluate the seasonal model on the future dates, never below zero.
+    """Evaluate the seasonal model on the future dates; what must not be negative is floored by the caller.
 
     ``regressors`` are expressions of the future ``date``; ``exog`` holds one
     array of ``horizon`` values per item for a trailing regressor.
@@ -171,7 +171,7 @@ def seasonal_forecast(
     x = [c for _, c in columns] + [c.cast("double") for c in (regressors or {}).values()]
     if exog is not None:
         x.append(F.get("exog", F.col("step") - 1))
-    return future.select(ITEM, "date", F.greatest(dot(F.col("coefficients"), x), F.lit(0.0)).alias("yhat"))
+    return future.select(ITEM, "date", dot(F.col("coefficients"), x).alias("yhat"))
 
 
 def payday_regressor(day: Column) -> dict[str, Column]:
@@ -179,10 +179,11 @@ def payday_regressor(day: Column) -> dict[str, Column]:
 
 
 def prefer_trained(forecasts: dict[str, DataFrame], fallback: DataFrame) -> DataFrame:
-    """Each item's forecast from the first method that has one, else cold start."""
+    """Each item's forecast from the first method that has one, else cold start; a NULL or NaN is no forecast."""
     stacked = fallback.withColumn("model_source", F.lit("ColdStart")).withColumn("_order", F.lit(len(forecasts)))
     for order, (method, frame) in enumerate(forecasts.items()):
-        part = frame.withColumn("model_source", F.lit(method)).withColumn("_order", F.lit(order))
+        usable = frame.filter(F.col("yhat").isNotNull() & ~F.isnan("yhat"))
+        part = usable.withColumn("model_source", F.lit(method)).withColumn("_order", F.lit(order))
         stacked = stacked.unionByName(part)
     best = F.min("_order").over(W.partitionBy(ITEM))
     return stacked.withColumn("_best", best).filter(F.col("_order") == F.col("_best")).drop("_order", "_best")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
 from tillwise.operators.regress import least_squares, named_coefficients
@@ -30,6 +30,10 @@ def to_long(weekly: DataFrame, channels: Sequence[str] = CHANNELS, keep: Sequenc
     ).select(*keep, "c.channel", "c.spend")
 
 
+# Consecutive weeks of one block of the carry-over recursion.
+_ADSTOCK_BLOCK = 256
+
+
 def _by_channel(channel: Column, table: Mapping[str, float], default: float | None = None) -> Column:
     out = F.when(F.lit(False), F.lit(0.0))
     for name, value in table.items():
@@ -47,19 +51,34 @@ def dense_weeks(spend: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFra
 
 
 def adstock(spend: DataFrame, rates: Mapping[str, float], keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """Geometric carry-over ``x_t = spend_t + rate * x_(t-1)`` in date order.
+    """Geometric carry-over ``x_t = spend_t + rate * x_(t-1)`` in date order, for any rate; NULL spend counts as 0.
 
-    The frame reaches back until the largest rate's weight is below 1e-30 of the
-    spend it multiplies, so memory per row stays fixed for series of any length.
+    The recursion is run in two levels: inside blocks of consecutive weeks, and over one row per block whose
+    end value decays into the next. Nothing is cut off, and no row gathers more than a block or the list of blocks.
     """
-    reach = max(int(math.ceil(-30 * math.log(10) / math.log(r))) for r in rates.values() if 0 < r < 1)
-    frame = W.partitionBy(*keys).orderBy("date").rowsBetween(-reach, 0)
-    rate = _by_channel(F.col("channel"), rates, 0.0)
+    order = W.partitionBy(*keys).orderBy("date")
+    block = [*keys, "_block"]
+    rows = spend.withColumn("_rate", _by_channel(F.col("channel"), rates, 0.0)).withColumn("_at", F.row_number().over(order) - 1)
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / _ADSTOCK_BLOCK))
+    within = W.partitionBy(*block).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_seen", F.collect_list(F.coalesce("spend", F.lit(0.0))).over(within))
+    rows = rows.withColumn("_own", F.aggregate("_seen", F.lit(0.0), lambda x, s: x * F.col("_rate") + s)).drop("_seen")
+    ends = rows.groupBy(*block).agg(
+        F.max_by(F.struct("_own", "_rate"), "_at").alias("_end"), F.count(F.lit(1)).cast("double").alias("_n")
+    )
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carry = F.aggregate(
+        F.collect_list(F.struct("_end", "_n")).over(earlier),
+        F.lit(0.0),
+        lambda x, e: x * F.pow(e["_end"]["_rate"], e["_n"]) + e["_end"]["_own"],
+    )
+    carried = ends.withColumn("_carry", carry).select(*block, "_carry")
+    decay = F.pow("_rate", (F.col("_at") % _ADSTOCK_BLOCK + 1).cast("double"))
     return (
-        spend.withColumn("_rate", rate)
-        .withColumn("_seen", F.collect_list("spend").over(frame))
-        .withColumn("adstock", F.aggregate("_seen", F.lit(0.0), lambda x, s: x * F.col("_rate") + s))
-        .drop("_rate", "_seen")
+        rows.join(carried, block)
+        .withColumn("adstock", F.col("_own") + F.col("_carry") * decay)
+        .drop("_rate", "_at", "_block", "_own", "_carry")
+        .select(*spend.columns, "adstock")
     )
 
 
@@ -136,20 +155,24 @@ def predict(table: DataFrame, weights: DataFrame, channels: Sequence[str] = CHAN
 
 
 def roi_table(carried: DataFrame, weights: DataFrame, use: str = "adstock", keys: Sequence[str] = ()) -> DataFrame:
-    """Spend, contribution, weight and ROI per channel (weights joined by name)."""
+    """Spend, contribution, weight and ROI per channel (weights joined by name), largest ROI first.
+
+    Rows are ordered by the exact ROI; figures are rounded half-even afterwards.
+    """
     sums = carried.groupBy(*keys, "channel").agg(
         F.sum("spend").alias("total_spend"), F.sum(use).alias("_carried")
     )
     joined = sums.join(weights.select("channel", "weight"), "channel")
     contribution = F.col("_carried") * F.col("weight")
-    return joined.select(
+    exact = joined.withColumn("_roi", ratio(contribution, F.col("total_spend"))).orderBy(F.desc("_roi"), "channel")
+    return exact.select(
         *keys,
         "channel",
-        F.round("total_spend", 2).alias("total_spend"),
-        F.round(contribution, 2).alias("contribution"),
-        F.round("weight", 2).alias("weight"),
-        F.round(ratio(contribution, F.col("total_spend")), 2).alias("roi"),
-    ).orderBy(F.desc("roi"))
+        F.bround("total_spend", 2).alias("total_spend"),
+        F.bround(contribution, 2).alias("contribution"),
+        F.bround("weight", 2).alias("weight"),
+        F.bround("_roi", 2).alias("roi"),
+    )
 
 
 def waterfall(carried: DataFrame, weights: DataFrame, predicted_total: Column, order: Sequence[str]) -> DataFrame:
@@ -220,15 +243,20 @@ def best_allocation(
 
     Every channel starts at ``low`` of the budget; what is left goes to channels
     in order of weight, each up to ``high``. ``scenarios`` has one row per
-    (keys, channel) with ``budget`` and ``weight``.
+    (keys, channel) with ``budget`` and ``weight``. Where the bounds leave no split that
+    spends the whole budget, ``feasible`` is false and allocation and contribution are NULL.
     """
+    number = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    feasible = (number * low <= 1) & (number * high >= 1)
     order = W.partitionBy(*keys).orderBy(F.desc("weight"), F.asc("channel"))
     room = F.col("budget") * (high - low)
     spare = F.col("budget") - F.col("budget") * low * F.count(F.lit(1)).over(W.partitionBy(*keys))
     taken_before = room * (F.row_number().over(order) - 1)
     extra = F.least(F.greatest(spare - taken_before, F.lit(0.0)), room)
-    return scenarios.withColumn("allocation", F.col("budget") * low + extra).withColumn(
-        "contribution", F.col("allocation") * F.col("weight")
+    return (
+        scenarios.withColumn("feasible", feasible)
+        .withColumn("allocation", F.when(F.col("feasible"), F.col("budget") * low + extra))
+        .withColumn("contribution", F.col("allocation") * F.col("weight"))
     )
 
 
@@ -251,7 +279,3 @@ def response_curves(spend: DataFrame, weights: DataFrame, form: str = "linear",
         "saturating": (w * 1200) * F.log1p(s / 100),
     }[form]
     return grid.select("channel", "point", "grid_spend", response.alias("response"))
-
-
-def published_roi_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PUBLISHED_ROI.items()), "channel string, roi double")

@@ -28,7 +28,7 @@ def quantiles(
     keys: Sequence[str] = (),
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per key (one row without keys).
+    """Exact linearly interpolated quantiles, one row per key (one row without keys); NULL and NaN are left out.
 
     Equal values are counted first (with map-side combine), so work after the
     scan grows with distinct values. Ranks are located through bucket counts
@@ -39,7 +39,7 @@ def quantiles(
     value = F.col(value) if isinstance(value, str) else value
     counted = (
         df.select(*keys, value.cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", _value_bucket(F.col("_v")))

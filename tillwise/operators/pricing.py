@@ -245,11 +245,14 @@ def margin_profit(df: DataFrame, predictions: DataFrame, columns: Sequence[str])
 
 def event_profit(df: DataFrame, expected: DataFrame) -> DataFrame:
     """Promotion rows with predicted quantity and profit at their own unit cost."""
-    promo = df.filter(F.col("event") != BASE_EVENT).join(expected, [ITEM, "event"])
-    q = F.col("intercept") + F.col("slope") * F.col("ProductPrice")
-    return promo.withColumn("unit_cost", unit_cost()).withColumn("pred", q).withColumn(
+    pair = lambda: F.concat_ws("\u0000", ITEM, "event")
+    # One line per category and event is few: a map keeps the facts from being shuffled to as few keys.
+    lines = expected.agg(F.map_from_entries(F.collect_list(F.struct(pair(), F.struct("intercept", "slope"))))).scalar()
+    promo = df.filter(F.col("event") != BASE_EVENT).withColumn("_line", F.try_element_at(lines, pair()))
+    q = F.col("_line.intercept") + F.col("_line.slope") * F.col("ProductPrice")
+    return promo.filter(F.col("_line").isNotNull()).withColumn("unit_cost", unit_cost()).withColumn("pred", q).withColumn(
         "profit_pred", (F.col("ProductPrice") - F.col("unit_cost")) * F.col("pred")
-    ).drop("intercept", "slope")
+    ).drop("_line")
 
 
 def category_model(df: DataFrame):
@@ -280,9 +283,3 @@ def category_coefficients(model, spark) -> DataFrame:
     summary = line.summary
     rows = list(zip(names, [float(v) for v in values], [float(e) for e in summary.coefficientStandardErrors]))
     return spark.createDataFrame(rows, "term string, coefficient double, std_error double")
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row per key under a total order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")

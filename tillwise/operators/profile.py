@@ -11,16 +11,23 @@ from tillwise.functions.numeric import ratio
 from tillwise.operators.ordering import quantiles
 
 
-def schema_report(tables: Mapping[str, DataFrame], expected: Mapping[str, int]) -> DataFrame:
-    """One row per table: columns expected, columns found, rows, verdict."""
+def schema_report(
+    tables: Mapping[str, DataFrame], expected: Mapping[str, int], found: Mapping[str, int] | None = None
+) -> DataFrame:
+    """One row per table: columns expected, columns found, rows, verdict.
+
+    ``found`` holds the widths of the files themselves (``sources.tables.csv_header``) for tables
+    that a reader has already brought to the expected columns.
+    """
     report = None
     for name, df in tables.items():
+        width = (found or {}).get(name, len(df.columns))
         row = df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(name).alias("table_name"),
             F.lit(expected[name]).alias("expected_columns"),
-            F.lit(len(df.columns)).alias("found_columns"),
+            F.lit(width).alias("found_columns"),
             "rows",
-            F.lit(expected[name] == len(df.columns)).alias("matches"),
+            F.lit(expected[name] == width).alias("matches"),
         )
         report = row if report is None else report.unionByName(row)
     return report

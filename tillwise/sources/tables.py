@@ -4,31 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions.text import na_to_null
 from tillwise.operators.clean import as_csv_dates
 
 
+def _csv_reader(spark: SparkSession, encoding: str) -> DataFrameReader:
+    return spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+
+
+def csv_header(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> list[str]:
+    """Column names found in the (first) file; its number is the width that a schema report compares."""
+    return _csv_reader(spark, encoding).csv(path).columns
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType, encoding: str = "ISO-8859-1"
 ) -> DataFrame:
     """Read one file, a list or a glob (many files are one partitioned scan).
 
-    Columns are matched by header position; usual missing-value texts become
-    NULL before numbers are cast, so a stray token cannot fail the read.
+    Columns are matched by header name, in any order; more columns than the schema names are left
+    out, a missing one is an error, and so is a file whose header differs from the first one's. Usual
+    missing-value texts become NULL before numbers are cast, so a stray token cannot fail the read.
     """
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (
-        spark.read.schema(as_text)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("enforceSchema", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    header = csv_header(spark, path, encoding)
+    if missing := [f.name for f in schema.fields if f.name not in header]:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {header}")
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    raw = _csv_reader(spark, encoding).schema(as_text).option("enforceSchema", False).csv(path)
     return raw.select(
         *[
             na_to_null(F.col(f.name)).alias(f.name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.operators import basket, customer, joins, marketing, pricing, regress
+from tillwise.operators import basket, clean, customer, joins, marketing, pricing, regress
 from tillwise.plans import value
 from tillwise.session import cut_lineage
 from workloads import forecasting  # noqa: F401  defines oracle fragments used below
@@ -63,10 +63,10 @@ def _(t: Tables):
        FROM ads JOIN weekly_profit p ON ads.date = p.date GROUP BY p.date, p.profit""",
 )
 def _(t: Tables):
-    # Weeks without any spend row still decay, so carry over the dense series.
-    carried = marketing.adstock(spend(t), RATES)
-    table = carried.groupBy("date").pivot("channel", list(marketing.CHANNELS)).agg(F.sum("adstock"))
-    return _rounded(_rounded(t.weekly_profit.join(table, "date"), marketing.CHANNELS, 2), ("profit",), 4)
+    # Weeks without any spend or profit row still decay, so the operator sees the dense series.
+    weekly = spend(t).groupBy("date").pivot("channel", list(marketing.CHANNELS)).agg(F.sum("spend"))
+    table = marketing.feature_table(weekly.join(t.weekly_profit, "date", "left"), RATES)
+    return _rounded(_rounded(table.filter("profit IS NOT NULL"), marketing.CHANNELS, 2), ("profit",), 4)
 
 
 @query("trend_features", "SELECT date, year(date) AS year, month(date) AS month, dayofyear(date) AS dayofyear, row_number() OVER (ORDER BY date) - 1 AS trend FROM weekly_profit")
@@ -94,8 +94,8 @@ for _name, _use in (("roi_table", "adstock"), ("roi_table_unadjusted", "spend"))
 
     @query(
         _name,
-        f"""SELECT a.channel, round(sum(spend), 2) AS total_spend, round(sum({_use}) * weight, 2) AS contribution, round(weight, 2) AS weight,
-                   round(sum({_use}) * weight / sum(spend), 2) AS roi FROM ads a JOIN rt ON rt.channel = a.channel GROUP BY a.channel, weight""",
+        f"""SELECT a.channel, round_even(sum(spend), 2) AS total_spend, round_even(sum({_use}) * weight, 2) AS contribution, round_even(weight, 2) AS weight,
+                   round_even(sum({_use}) * weight / sum(spend), 2) AS roi FROM ads a JOIN rt ON rt.channel = a.channel GROUP BY a.channel, weight""",
     )
     def _(t: Tables, use: str = _use):
         return marketing.roi_table(marketing.adstock(spend(t), RATES), weights(t), use)
@@ -149,14 +149,15 @@ PARTS["scen"] = """SELECT m.market, m.channel, b.budget, rt.weight * (1 + 0.1 *
 
 @query(
     "best_allocation",
-    """SELECT market, channel, round(budget * 0.05 + least(greatest(budget - budget * 0.05 * n - budget * 0.45 * (r - 1), 0), budget * 0.45), 2) AS allocation
+    """SELECT market, channel, n * 0.05 <= 1 AND n * 0.5 >= 1 AS feasible, CASE WHEN n * 0.05 <= 1 AND n * 0.5 >= 1 THEN
+              round(budget * 0.05 + least(greatest(budget - budget * 0.05 * n - budget * 0.45 * (r - 1), 0), budget * 0.45), 2) END AS allocation
        FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY weight DESC, channel) AS r, count(*) OVER (PARTITION BY market) AS n FROM scen) x""",
 )
 def _(t: Tables):
     budgets = t.market_spend.groupBy("market").agg(F.round(F.sum("spend") / 1000, 0).alias("budget"))
     scenarios = t.market_spend.select("market", "channel").distinct().join(budgets, "market").join(weights(t), "channel")
     scenarios = scenarios.withColumn("weight", F.col("weight") * (F.lit(1) + F.lit(0.1) * (F.col("market") % 3)))
-    return _rounded(marketing.best_allocation(scenarios, ["market"]), ("allocation",), 2).select("market", "channel", "allocation")
+    return _rounded(marketing.best_allocation(scenarios, ["market"]), ("allocation",), 2).select("market", "channel", "feasible", "allocation")
 
 
 _RESP = {"linear": "weight * g", "log": "ln(1 + g) * (weight * 1000)", "saturating": "(weight * 1200) * ln(1 + g / 100)"}
@@ -493,7 +494,7 @@ def _(t: Tables):
     return _rounded(customer.override_outliers(cut_lineage(p)), ("CLV_90d",), 1)
 
 
-_LEVELS = ["Bachelors", "Graduate Degree", "Partial College"]
+_LEVELS = clean.CUSTOMER_DOMAINS["EducationLevel"]
 
 
 @query("worth_by_persona", "SELECT Occupation, " + ", ".join(f"round(avg(CLV_90d) FILTER (WHERE EducationLevel = '{e}'), 2) AS \"{e}\"" for e in _LEVELS) + " FROM people GROUP BY 1")
@@ -600,7 +601,7 @@ def _(t: Tables):
 
 @query("demand_curve_upper")
 def _(t: Tables):
-    return pricing.fit_demand_curves(t.price_events, 0.975, rounds=4)
+    return pricing.fit_demand_curves(t.price_events, 0.975)
 
 
 @query("price_optimisation")

@@ -18,12 +18,8 @@ def items_a(t: Tables) -> DataFrame:
     return joins.product_items(t.products, t.subcategories)
 
 
-def year_sales(t: Tables) -> DataFrame:
-    return clean.trailing_days(t.sales, "OrderDate", 365)
-
-
 def daily_a(t: Tables) -> DataFrame:
-    return joins.daily_by_item(year_sales(t), items_a(t), "OrderDate", ["OrderQuantity"], ["StockDate"])
+    return joins.daily_by_item(t.sales, items_a(t), "OrderDate", ["OrderQuantity"], ["StockDate"])
 
 
 def panel_a(t: Tables) -> DataFrame:
@@ -31,7 +27,7 @@ def panel_a(t: Tables) -> DataFrame:
 
 
 def daily_b(t: Tables) -> DataFrame:
-    return joins.daily_by_item(year_sales(t), t.word_items, "OrderDate", ["OrderQuantity"], ["StockDate"])
+    return joins.daily_by_item(t.sales, t.word_items, "OrderDate", ["OrderQuantity"], ["StockDate"])
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -54,7 +50,7 @@ def returns_panel(t: Tables) -> DataFrame:
 
 
 PARTS["pitems"] = "SELECT p.ProductKey, c.SubcategoryName FROM products p LEFT JOIN subcategories c ON p.ProductSubcategoryKey = c.ProductSubcategoryKey"
-PARTS["year_lines"] = "SELECT * FROM sales WHERE OrderDate >= (SELECT max(OrderDate) - 365 FROM sales)"
+PARTS["year_lines"] = "SELECT * FROM sales"
 PARTS["dly"] = """SELECT OrderDate, SubcategoryName, CAST(sum(OrderQuantity) AS BIGINT) AS OrderQuantity, min(StockDate) AS StockDate
     FROM year_lines JOIN pitems USING (ProductKey) GROUP BY 1, 2"""
 PARTS["dlyb"] = """SELECT OrderDate, SubcategoryName, CAST(sum(OrderQuantity) AS BIGINT) AS OrderQuantity, min(StockDate) AS StockDate
@@ -239,10 +235,10 @@ def _(t: Tables):
 @query(
     "decode_items",
     """SELECT CAST(p.ProductSubcategoryKey AS VARCHAR) AS item_id, coalesce(e.SubcategoryName, 'Unknown_ID_' || p.ProductSubcategoryKey) AS item_name, count(*) AS products
-       FROM products p LEFT JOIN (SELECT * FROM enc0 WHERE id < 20) e ON e.id = p.ProductSubcategoryKey GROUP BY 1, 2""",
+       FROM products p LEFT JOIN enc0 e ON e.id = p.ProductSubcategoryKey GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    mapping = encoding.extend_encoding(None, daily_b(t)).filter("id < 20")
+    mapping = encoding.extend_encoding(None, daily_b(t))
     docs = t.products.groupBy(F.col("ProductSubcategoryKey").cast("string").alias("item_id")).agg(F.count(F.lit(1)).alias("products"))
     return encoding.decode_items(docs, mapping, "item_id")
 
@@ -807,28 +803,27 @@ MODEL_FEATURES = [
 @query("boosted_model_search")
 def _(t: Tables):
     folds = written(panels.time_folds(panels.feature_table(written(panel_a(t))), 3))
-    return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"maxIter": 5, "maxDepth": 3}, {"maxIter": 5, "maxDepth": 4}])
+    return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"maxDepth": 3}, {"maxDepth": 4}])
 
 
 @query("poisson_model_search")
 def _(t: Tables):
     folds = written(panels.time_folds(panels.feature_table(written(panel_a(t)), log_target=False), 3))
-    return evaluate.cross_validate(folds, ["lag_1", "lag_7", "dayofweek", "is_holiday"], "OrderQuantity", [{"regParam": 0.0}, {"regParam": 0.1}], "poisson", False)
+    return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"regParam": 0.0}, {"regParam": 0.1}], "poisson", False)
 
 
 @query("feature_importance")
 def _(t: Tables):
     df = written(panels.feature_table(written(panel_a(t))))
-    model = evaluate.demand_model(df, MODEL_FEATURES, "OrderQuantity", maxIter=5)
+    model = evaluate.demand_model(df, MODEL_FEATURES, "OrderQuantity")
     return evaluate.feature_importance(model, MODEL_FEATURES, t.spark)
 
 
 @query("permutation_importance")
 def _(t: Tables):
     df = written(panels.feature_table(written(panel_a(t))))
-    few = ["lag_1", "lag_7", "dayofweek", "rolling_median_7"]
-    model = evaluate.demand_model(df, few, "OrderQuantity", maxIter=5)
-    return evaluate.permutation_importance(model, df, few, "OrderQuantity")
+    model = evaluate.demand_model(df, MODEL_FEATURES, "OrderQuantity")
+    return evaluate.permutation_importance(model, df, MODEL_FEATURES, "OrderQuantity")
 
 
 # --- descriptive tables on the daily series --------------------------------
