@@ -386,9 +386,27 @@ def _(t: Tables):
     return customer.model_table(t.spark, customer.fit_frequency_model(s), customer.fit_spend_model(s))
 
 
-@query("clv_scoring")
+PARTS["bought"] = """SELECT CustomerKey, d, (frequency + 3.8) / -0.4 * (1 - f * power((T + 95.0) / (T + 95.0 + d), frequency + 1.8))
+      / (1 + 0.6 / (frequency + 3.2) * power((T + 95.0) / (recency + 95.0), frequency + 1.8)) AS b
+    FROM (SELECT CustomerKey, frequency, recency, T, d, 1 + sum(exp(l)) AS f FROM (
+        SELECT r.*, d, n, sum(ln((frequency + 1.8 + n) * (frequency + 4.2 + n) / ((frequency + 3.8 + n) * (n + 1)) * (d / (T + 95.0 + d)))) OVER (PARTITION BY CustomerKey, d ORDER BY n) AS l
+        FROM (SELECT * FROM rfm WHERE frequency > 0) r, (SELECT unnest([30.0::DOUBLE, 60.0, 90.0]) AS d) h, (SELECT unnest(generate_series(0, 999)) AS n) g) x GROUP BY 1, 2, 3, 4, 5) y"""
+PARTS["worth"] = """SELECT CustomerKey, max(b) FILTER (WHERE d = 30) AS b1, max(b) FILTER (WHERE d = 60) AS b2, max(b) FILTER (WHERE d = 90) AS b3 FROM bought GROUP BY 1"""
+
+
+@query(
+    "clv_scoring",
+    """SELECT CustomerKey, frequency, round(pa, 8) AS prob_alive, round(b3, 6) AS pred_purchases_90d, round(v, 3) AS exp_avg_profit,
+              round(v * (b1 / 1.01 + (b2 - b1) / power(1.01, 2) + (b3 - b2) / power(1.01, 3)), 2) AS CLV_90d
+       FROM (SELECT r.*, w.b1, w.b2, w.b3, 1 / (1 + 0.6 / (4.2 + frequency - 1) * power((T + 95.0) / (recency + 95.0), 1.8 + frequency)) AS pa,
+               (1 - 2.4 * frequency / (2.4 * frequency + 2.6)) * (21000 * 2.4 / 2.6) + 2.4 * frequency / (2.4 * frequency + 2.6) * monetary_value AS v
+             FROM rfm r JOIN worth w USING (CustomerKey) WHERE frequency > 0) x""",
+)
 def _(t: Tables):
-    return customer.score(customer.repeat_buyers(summary(t)), FREQ, SPEND)
+    scored = customer.score(customer.repeat_buyers(summary(t)), FREQ, SPEND)
+    scored = _rounded(_rounded(scored, ("prob_alive",), 8), ("pred_purchases_90d",), 6)
+    scored = _rounded(_rounded(scored, ("exp_avg_profit",), 3), ("CLV_90d",), 2)
+    return scored.select("CustomerKey", "frequency", "prob_alive", "pred_purchases_90d", "exp_avg_profit", "CLV_90d")
 
 
 @query("customer_segments")

@@ -915,10 +915,26 @@ def _(t: Tables):
     return _rounded(profile.autocorrelation(profile.daily_total(t.sales), 60), ("acf",))
 
 
-@query("partial_autocorrelation")
+PARTS["acf30"] = """SELECT list(acf ORDER BY lag) AS r FROM (
+      SELECT lag, sum((a.units - m) * (b.units - m)) / (SELECT sum(power(units - (SELECT avg(units) FROM dtot), 2)) FROM dtot) AS acf
+      FROM dtot a CROSS JOIN (SELECT unnest(generate_series(0, 30)) AS lag) l JOIN dtot b ON b.day = a.day + CAST(lag AS INT) CROSS JOIN (SELECT avg(units) AS m FROM dtot) x GROUP BY 1) y"""
+
+
+@query(
+    "partial_autocorrelation",
+    """SELECT CAST(k AS INT) AS lag, round(v, 6) AS pacf FROM (
+         WITH RECURSIVE walk AS (
+           SELECT 1 AS k, [r[2]] AS phi, r[2] AS v FROM acf30
+           UNION ALL
+           SELECT k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - new * phi[k + 1 - j]), [new]), new FROM (
+             SELECT k, phi, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                          / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS new
+             FROM walk CROSS JOIN acf30 WHERE k < 30) s)
+         SELECT k, v FROM walk) p""",
+)
 def _(t: Tables):
     acf = profile.autocorrelation(written(profile.daily_total(t.sales)), 30)
-    return profile.partial_autocorrelation(acf, 30)
+    return _rounded(profile.partial_autocorrelation(acf, 30), ("pacf",))
 
 
 PARTS["evts"] = "SELECT 'Payday ' || strftime(max(OrderDate), '%Y-%m') AS event, max(OrderDate) AS event_day FROM sales WHERE year(OrderDate) = 2000 GROUP BY month(OrderDate)"
