@@ -185,17 +185,18 @@ def reachable(candidates: DataFrame) -> DataFrame:
     of a file are known. Jumps past the end become null, so rounds grow with the logarithm of the records in a file.
     """
     starts = candidates.select("file", F.col("offset").alias("to"), F.lit(True).alias("valid"))
-    first = candidates.select("file", "offset", F.col("successor").alias("to")).join(starts, ["file", "to"], "left")
+    first = candidates.select("file", "offset", F.col("successor").alias("to")).join(starts.hint("merge"), ["file", "to"], "left")
     jumps = staged(first.select("file", "offset", F.when(F.col("valid"), F.col("to")).alias("to")), "jumps")
     known = staged(jumps.where("offset = 0").select("file", "offset"), "known")
     while True:
         live = jumps.where("to is not null")
         if live.isEmpty():
             return known
-        reached = known.join(live, ["file", "offset"]).select("file", F.col("to").alias("offset"))
+        # Merge joins: these tables grow with the records, and compress too well for their file size to bound them.
+        reached = known.join(live.hint("merge"), ["file", "offset"]).select("file", F.col("to").alias("offset"))
         known = staged(known.unionAll(reached).distinct(), "known")
         further = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("after"))
-        jumps = staged(live.join(further, ["file", "to"]).select("file", "offset", F.col("after").alias("to")), "jumps")
+        jumps = staged(live.join(further.hint("merge"), ["file", "to"]).select("file", "offset", F.col("after").alias("to")), "jumps")
 
 
 def _joined_payload(table: pa.Table) -> pa.Table:
@@ -218,7 +219,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = staged(located(spark, path).where("offset >= 0"), "located")
     known = reachable(pieces.where("successor is not null"))
-    records = pieces.where("successor is not null").join(known, ["file", "offset"])
+    records = pieces.where("successor is not null").join(known.hint("merge"), ["file", "offset"])
     records = staged(records, "records")
     broken = records.where("found is null")
     if broken.isEmpty():
