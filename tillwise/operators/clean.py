@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions import dates, text
 from tillwise.operators.ordering import mode_value, quantiles
-from tillwise.session import cut_lineage
+from tillwise.session import staged
 
 # Accepted domains and imputation order of the cleaning rules.
 CUSTOMER_DOMAINS = {
@@ -229,16 +229,17 @@ def customers(df: DataFrame, names: DataFrame, age_at: str = AGE_PROXY_DATE) ->
     df = require_any(drop_repeats(keep_filled_rows(df)), ["FirstName", "LastName"])
     df = strip_text(df)
     df = df.withColumn("BirthDate", F.col("BirthDate").cast("string").try_cast("date"))
-    df = plausible_age(df, at=age_at)
+    # The age test, the most frequent gender and the rows themselves read the parsed table: write it once.
+    df = plausible_age(staged(df, "customers"), at=age_at)
     df = impute_prefix(impute_gender(df, names))
     df = currency_column(within_domains(df, CUSTOMER_DOMAINS), "AnnualIncome")
     df = alphabetic_names(valid_emails(df))
-    return trim_tails(at_most(df, "TotalChildren", 15), "AnnualIncome")
+    return trim_tails(staged(at_most(df, "TotalChildren", 15), "customers"), "AnnualIncome")
 
 
 def products(df: DataFrame) -> DataFrame:
     df = require_all(drop_repeats(keep_filled_rows(df)), ["ProductSubcategoryKey"])
-    df = impute_color(strip_text(df))
+    df = staged(impute_color(strip_text(df)), "products")
     for column in ("ProductPrice", "ProductCost"):
         df = trim_tails(require_all(numeric_column(df, column), [column]), column)
     return within_domains(df, PRODUCT_DOMAINS)
@@ -294,7 +295,7 @@ def sales(
     df = until(df, "OrderDate", last)
     df = require_all(df, ["OrderDate", "OrderNumber", "ProductKey", "CustomerKey", "OrderQuantity"])
     # Both the quantile and the result read the merged lines: parse and shuffle them once.
-    merged = cut_lineage(merge_sale_lines(strip_text(df, ["OrderNumber"])))
+    merged = staged(merge_sale_lines(strip_text(df, ["OrderNumber"])), "sales")
     return trim_top(merged, "OrderQuantity").withColumn(
         "OrderQuantity", F.col("OrderQuantity").cast("int")
     )

@@ -15,9 +15,18 @@ DAY = "OrderDate"
 QTY = "OrderQuantity"
 
 
-def grid(daily: DataFrame, items: DataFrame, day: str = DAY) -> DataFrame:
+def bounds(daily: DataFrame, day: str = DAY, stock: str | None = None) -> Column:
+    """First and last day, and the earliest stock date, in one pass over the facts."""
+    parts = [F.min(day).alias("first"), F.max(day).alias("last")]
+    if stock is not None:
+        parts.append(F.min(stock).alias("stock"))
+    return daily.agg(F.struct(*parts)).scalar()
+
+
+def grid(daily: DataFrame, items: DataFrame, day: str = DAY, span: Column | None = None) -> DataFrame:
     """Every day between the first and last observed one, for every item."""
-    days = daily.agg(F.sequence(F.min(day), F.max(day))).scalar()
+    span = bounds(daily, day) if span is None else span
+    days = F.sequence(span.getField("first"), span.getField("last"))
     return items.select(ITEM).distinct().select(F.explode(days).alias(day), ITEM)
 
 
@@ -27,8 +36,9 @@ def sales_panel(daily: DataFrame, items: DataFrame | None = None, stock_default:
     ``items=None`` uses the items observed in ``daily`` instead of a master list.
     """
     items = items if items is not None else daily
-    default = stock_default if stock_default is not None else daily.agg(F.min("StockDate")).scalar()
-    return grid(daily, items).join(daily, [DAY, ITEM], "left").select(
+    span = bounds(daily, DAY, "StockDate")
+    default = stock_default if stock_default is not None else span.getField("stock")
+    return grid(daily, items, DAY, span).join(daily, [DAY, ITEM], "left").select(
         DAY,
         ITEM,
         F.coalesce(F.col(QTY), F.lit(0)).cast("int").alias(QTY),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillwise.functions import dates, text
 from tillwise.functions.numeric import ratio
 from tillwise.operators import clean, customer, joins, ordering, pricing, profile
 from tillwise.schemas import EXPECTED_WIDTH
+from tillwise.session import shared_folder
+from tillwise.sources import tables
 from workloads.registry import PARTS, Tables, query
 
 LAST = "1999-06-30"
@@ -31,7 +35,9 @@ def _(t: Tables):
 
 @query("pruned_read", "SELECT ProductKey, CustomerKey FROM sales")
 def _(t: Tables):
-    return t.sales.select("ProductKey", "CustomerKey")
+    folder = f"{shared_folder(t.spark)}/cleaned-sales-{uuid.uuid4().hex}"
+    tables.write_cleaned(t.sales, folder)
+    return tables.read_cleaned(t.spark, folder, ["ProductKey", "CustomerKey"])
 
 
 # --- row rules -------------------------------------------------------------
