@@ -8,7 +8,7 @@ from tillwise.operators import basket, clean, customer, joins, marketing, pricin
 from tillwise.plans import value
 from tillwise.session import cut_lineage
 from workloads import forecasting  # noqa: F401  defines oracle fragments used below
-from workloads.registry import PARTS, Tables, query
+from workloads.registry import PARTS, Tables, query, solved
 
 RATES = marketing.CARRY_OVER
 # Plain weights of the five channels for queries that take weights as given.
@@ -172,9 +172,30 @@ for _form, _sql in _RESP.items():
         return _rounded(marketing.response_curves(spend(t), weights(t), form), ("grid_spend", "response"), 7)
 
 
-@query("marketing_weights")
+_CH = ("tv_s", "ooh_s", "print_s", "facebook_s", "search_s")
+PARTS["mtab"] = "SELECT p.date, p.profit, " + ", ".join(f"max(adstock) FILTER (WHERE channel = '{c}') AS {c}" for c in _CH) + " FROM ads JOIN weekly_profit p ON ads.date = p.date GROUP BY p.date, p.profit"
+PARTS["mdesign"] = f"""SELECT date, profit, [1.0::DOUBLE, t, sin(t * 2 * pi() / 12), cos(t * 2 * pi() / 12), {", ".join(_CH)}] AS x
+    FROM (SELECT *, CAST(row_number() OVER (ORDER BY date) - 1 AS DOUBLE) AS t FROM mtab) y"""
+PARTS["maug"] = """SELECT list(row ORDER BY i) AS m FROM (SELECT i, list_append(list(g ORDER BY j), any_value(b)) AS row FROM (
+      SELECT i, j, sum(x[i] * x[j]) AS g, sum(x[i] * profit) AS b FROM mdesign, (SELECT unnest(range(1, 10)) AS i) a, (SELECT unnest(range(1, 10)) AS j) c GROUP BY i, j) s GROUP BY i) r"""
+PARTS["msolved"] = solved("maug")
+PARTS["vaug"] = f"""SELECT list(row ORDER BY i) AS m FROM (SELECT i, list_concat(list(g ORDER BY j), list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j)) AS row FROM (
+      SELECT i, j, sum(x[i] * x[j]) AS g FROM (SELECT [{", ".join(_CH)}] AS x FROM mtab) z, (SELECT unnest(range(1, 6)) AS i) a, (SELECT unnest(range(1, 6)) AS j) c GROUP BY i, j) s GROUP BY i) r"""
+PARTS["vsolved"] = solved("vaug")
+
+
+def _digits(df: DataFrame, columns, digits: int = 5) -> DataFrame:
+    """Numbers as text with so many significant digits; fits are compared by them."""
+    return df.withColumns({c: F.format_string(f"%.{digits - 1}e", F.col(c)) for c in columns})
+
+
+@query(
+    "marketing_weights",
+    """SELECT f AS feature, format('{:.4e}', m[i][10]) AS coefficient FROM msolved,
+         (SELECT unnest(range(1, 10)) AS i, unnest(['one', 'trend', 'season_sin', 'season_cos', 'tv_s', 'ooh_s', 'print_s', 'facebook_s', 'search_s']) AS f) n""",
+)
 def _(t: Tables):
-    return marketing.fit_weights(marketing_table(t))
+    return _digits(marketing.fit_weights(marketing_table(t)), ("coefficient",))
 
 
 def marketing_table(t: Tables) -> DataFrame:
@@ -183,16 +204,23 @@ def marketing_table(t: Tables) -> DataFrame:
     return cut_lineage(t.weekly_profit.join(table, "date"))
 
 
-@query("marketing_fit")
+@query(
+    "marketing_fit",
+    """SELECT date, round(profit, 4) AS actual, format('{:.4e}', list_sum(list_transform(range(1, 10), lambda i: x[i] * m[i][10]))) AS pred FROM mdesign, msolved""",
+)
 def _(t: Tables):
     table = marketing_table(t)
     fitted = marketing.predict(table, cut_lineage(marketing.fit_weights(table)))
-    return fitted.select("date", F.col("profit").alias("actual"), "pred")
+    return _digits(fitted.select("date", F.round("profit", 4).alias("actual"), "pred"), ("pred",))
 
 
-@query("variance_inflation")
+@query(
+    "variance_inflation",
+    """SELECT f AS feature, format('{:.4e}', g.m[i][i] * s.m[i][5 + i]) AS vif FROM vaug g, vsolved s,
+         (SELECT unnest(range(1, 6)) AS i, unnest(['tv_s', 'ooh_s', 'print_s', 'facebook_s', 'search_s']) AS f) n""",
+)
 def _(t: Tables):
-    return regress.vif(marketing_table(t), list(marketing.CHANNELS))
+    return _digits(regress.vif(marketing_table(t), list(marketing.CHANNELS)), ("vif",))
 
 
 @query(
@@ -606,9 +634,25 @@ def _(t: Tables):
     return df.select("CategoryName", "event", "OrderQuantity", "ProductPrice", F.round("profit_pred", 2).alias("profit_pred"))
 
 
-@query("promo_model")
+PARTS["psum"] = """SELECT CategoryName, event, CAST(count(*) AS DOUBLE) AS n, sum(p) AS p, sum(p * p) AS pp, sum(p * q) AS pq, sum(q) AS q FROM (
+      SELECT CategoryName, event, CAST(ProductPrice AS DOUBLE) AS p, CAST(OrderQuantity AS DOUBLE) AS q FROM price_events
+      WHERE ProductPrice IS NOT NULL AND OrderQuantity IS NOT NULL AND event IS NOT NULL) x
+    WHERE CategoryName IN (SELECT CategoryName FROM price_events GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT ProductPrice) > 1) GROUP BY 1, 2"""
+PARTS["plist"] = """SELECT CategoryName, list(event ORDER BY event) AS e, list(n ORDER BY event) AS n, list(p ORDER BY event) AS p, list(q ORDER BY event) AS q,
+      sum(pp) AS pp, sum(pq) AS pq FROM psum GROUP BY 1"""
+PARTS["paug"] = """SELECT CategoryName, list_concat(
+      [list_concat([list_sum(n), list_sum(p)], n, [list_sum(q)]), list_concat([list_sum(p), pp + 0.6], p, [pq])],
+      list_transform(n, lambda v, i: list_concat([v, p[i]], list_transform(n, lambda w, j: CASE WHEN i = j THEN w + 0.6 ELSE 0.0 END), [q[i]]))) AS m FROM plist"""
+PARTS["psolved"] = solved("paug", "CategoryName")
+
+
+@query(
+    "promo_model",
+    """SELECT CategoryName, e[i] AS event, format('{:.4e}', m[1][len(e) + 3] + m[i + 2][len(e) + 3]) AS intercept, format('{:.4e}', m[2][len(e) + 3]) AS slope
+       FROM (SELECT CategoryName, e, m, unnest(range(1, len(e) + 1)) AS i FROM psolved JOIN plist USING (CategoryName)) x""",
+)
 def _(t: Tables):
-    return pricing.fit_promo(t.price_events)
+    return _digits(pricing.fit_promo(t.price_events), ("intercept", "slope"))
 
 
 @query("demand_curves")

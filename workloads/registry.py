@@ -18,6 +18,20 @@ ORACLES: dict[str, str] = {}
 PARTS: dict[str, str] = {}
 
 
+def solved(rows: str, keys: str = "") -> str:
+    """SQL of (keys, m): Gauss-Jordan elimination on each matrix ``m`` (a list of rows) of the fragment ``rows``.
+
+    The left square block becomes the identity, so columns beyond it hold the solutions.
+    """
+    k = keys + ", " if keys else ""
+    return f"""SELECT {k}m FROM (WITH RECURSIVE gj AS (
+        SELECT {k}1 AS s, m FROM {rows}
+        UNION ALL
+        SELECT {k}s + 1, list_transform(m, lambda row, r: list_transform(row, lambda v, c:
+               CASE WHEN r = s THEN v / m[s][s] ELSE v - row[s] * m[s][c] / m[s][s] END)) FROM gj WHERE s <= len(m))
+      SELECT {k}m FROM gj WHERE s = len(m) + 1) solved"""
+
+
 class Tables:
     """Bound views of one session and scale folder, by attribute."""
 
