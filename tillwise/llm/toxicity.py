@@ -25,6 +25,8 @@ MAX_LABELLED = 20_000
 MAX_EXAMPLES = 4_000
 MAX_TERMS = 4_096
 MIN_SUPPORT, MIN_LIFT, MIN_Z = 5, 3.0, 4.0
+#: A term must be this strong beside the strongest one: words that merely fill copies of a few texts are not.
+MIN_RELATIVE_Z = 0.25
 PREFIXES = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -232,6 +234,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_co
         .limit(MAX_TERMS)
         .collect()
     )
+    chosen = [r for r in chosen if r["z"] >= MIN_RELATIVE_Z * chosen[0]["z"]]
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
     frequencies = source.select("text").mapInArrow(lambda it: _document_counts(it, vocabulary), "term int, n long")
     df = dict(map(tuple, frequencies.groupBy("term").agg(F.sum("n")).collect()))
