@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillwise.operators import clean, encoding, evaluate, forecast, inventory, joins, ordering, panel as panels, profile, routing
 from tillwise.plans import demand
 from tillwise.session import cut_lineage
-from workloads.registry import PARTS, Tables, query
+from workloads.registry import PARTS, Tables, query, solved
 
 ITEM = "SubcategoryName"
 
@@ -578,10 +578,30 @@ def _(t: Tables):
 
 # trained models: properties only
 
-@query("autoregressive_forecast")
+PARTS["arlag"] = """SELECT SubcategoryName, OrderDate, CAST(OrderQuantity AS DOUBLE) AS y, CAST(lag(OrderQuantity, 1) OVER w AS DOUBLE) AS l1, CAST(lag(OrderQuantity, 7) OVER w AS DOUBLE) AS l7
+    FROM pnl WINDOW w AS (PARTITION BY SubcategoryName ORDER BY OrderDate)"""
+PARTS["araug"] = """SELECT SubcategoryName, [[CAST(count(*) AS DOUBLE), sum(l1), sum(l7), sum(y)], [sum(l1), sum(l1 * l1), sum(l1 * l7), sum(l1 * y)],
+      [sum(l7), sum(l1 * l7), sum(l7 * l7), sum(l7 * y)]] AS m FROM arlag WHERE l7 IS NOT NULL GROUP BY 1"""
+PARTS["arsolved"] = solved("araug", "SubcategoryName")
+# An item that never sold has a singular system; its least-norm coefficients are zero.
+PARTS["arcoef"] = """SELECT SubcategoryName, list_transform([m[1][4], m[2][4], m[3][4]], lambda v: CASE WHEN isfinite(v) THEN v ELSE 0.0 END) AS c FROM arsolved"""
+PARTS["arseen"] = """SELECT SubcategoryName, list(y ORDER BY OrderDate) AS seen FROM (
+      SELECT * FROM arlag QUALIFY row_number() OVER (PARTITION BY SubcategoryName ORDER BY OrderDate DESC) <= 7) x GROUP BY 1"""
+
+
+@query(
+    "autoregressive_forecast",
+    """SELECT SubcategoryName, CAST((SELECT max(OrderDate) FROM pnl) + CAST(s AS INT) AS DATE) AS date, round(seen[-1], 4) + 0.0 AS yhat FROM (
+         WITH RECURSIVE ahead AS (
+           SELECT SubcategoryName, 0 AS s, seen, c FROM arseen JOIN arcoef USING (SubcategoryName)
+           UNION ALL
+           SELECT SubcategoryName, s + 1, list_append(seen, c[1] + c[2] * seen[-1] + c[3] * seen[-7]), c FROM ahead WHERE s < 30)
+         SELECT * FROM ahead WHERE s > 0) x""",
+)
 def _(t: Tables):
     p = written(panel_a(t))
-    return forecast.autoregression_forecast(forecast.fit_autoregression(p), p)
+    ahead = forecast.autoregression_forecast(forecast.fit_autoregression(p), p)
+    return ahead.withColumn("yhat", F.round("yhat", 4) + 0.0)
 
 
 @query("seasonal_forecast")
