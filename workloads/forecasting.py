@@ -604,11 +604,33 @@ def _(t: Tables):
     return ahead.withColumn("yhat", F.round("yhat", 4) + 0.0)
 
 
-@query("seasonal_forecast")
+def _season(day: str) -> str:
+    """List of the 15 regressors of the seasonal model on a day."""
+    t = f"CAST(date_diff('day', DATE '1970-01-05', {day}) AS DOUBLE)"
+    waves = [f"{f}({t} * 2 * pi() * {k} / {period})" for period in ("7.0", "365.25") for k in (1, 2, 3) for f in ("sin", "cos")]
+    payday = f"CASE WHEN day({day}) IN (15, 30) THEN 1.0 ELSE 0.0 END"
+    return f"[1.0::DOUBLE, {t} / 365.0, {', '.join(waves)}, {payday}]"
+
+
+PARTS["sdays"] = f"SELECT SubcategoryName, CAST(OrderQuantity AS DOUBLE) AS y, {_season('OrderDate')} AS x FROM pnl WHERE SubcategoryName IN (SELECT SubcategoryName FROM pnl GROUP BY 1 HAVING sum(OrderQuantity) >= 5)"
+PARTS["saug"] = """SELECT SubcategoryName, list(row ORDER BY i) AS m FROM (
+      SELECT SubcategoryName, i, list_append(list(CASE WHEN i = j AND i > 1 THEN g + 1e-3 ELSE g END ORDER BY j), any_value(b)) AS row FROM (
+        SELECT SubcategoryName, i, j, sum(x[i] * x[j]) AS g, sum(x[i] * y) AS b FROM sdays, (SELECT unnest(range(1, 16)) AS i) a, (SELECT unnest(range(1, 16)) AS j) c
+        GROUP BY 1, 2, 3) s GROUP BY 1, 2) r GROUP BY 1"""
+PARTS["ssolved"] = solved("saug", "SubcategoryName")
+
+
+@query(
+    "seasonal_forecast",
+    f"""SELECT SubcategoryName, date, round(list_sum(list_transform(range(1, 16), lambda i: x[i] * m[i][16])), 4) + 0.0 AS yhat
+        FROM ssolved CROSS JOIN (SELECT date, {_season('date')} AS x FROM (
+          SELECT CAST((SELECT max(OrderDate) FROM pnl) + CAST(s AS INT) AS DATE) AS date FROM (SELECT unnest(range(1, 31)) AS s) h) d) f""",
+)
 def _(t: Tables):
     p = written(panel_a(t))
     models = forecast.fit_seasonal(p, regressors=forecast.payday_regressor(F.col("OrderDate")))
-    return forecast.seasonal_forecast(models, p, regressors=forecast.payday_regressor(F.col("date")))
+    ahead = forecast.seasonal_forecast(models, p, regressors=forecast.payday_regressor(F.col("date")))
+    return ahead.withColumn("yhat", F.round("yhat", 4) + 0.0)
 
 
 @query("sales_forecast_dispatch")
