@@ -50,24 +50,31 @@ class DomainClassifier:
     prior: list[float]
     weights: list[list[float]]
 
-    def posteriors(self, text: Column) -> Column:
-        """Array of one posterior per domain; texts without words get the priors."""
-        own = F.transform(words(text), bucket)
-        temper = F.pow(F.greatest(F.size(own), F.lit(1)).cast("double"), F.lit(0.75))
+    def member(self, text: Column) -> Column:
+        """Struct of ``n_tokens`` and ``posterior``, an array; texts without words get the priors."""
 
-        def logit(prior: float, weights: list[float]) -> Column:
-            # Written as text, the table is one constant that Spark folds once, not thousands of expressions.
-            table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
-            return F.aggregate(own, F.lit(0.0), lambda acc, b: acc + F.get(table, b)) / temper + F.lit(prior)
+        def of_words(own: Column) -> Column:
+            temper = F.pow(F.greatest(F.size(own), F.lit(1)).cast("double"), F.lit(0.75))
 
-        logits = F.array(*(logit(p, w) for p, w in zip(self.prior, self.weights)))
-        # One more array level keeps the sums from being written out, and computed, again for each use.
-        return F.transform(F.array(logits), _softmax)[0]
+            def logit(prior: float, weights: list[float]) -> Column:
+                # Written as text, the table is one constant that Spark folds once, not thousands of expressions.
+                table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
+                return F.aggregate(own, F.lit(0.0), lambda acc, b: acc + F.get(table, b)) / temper + F.lit(prior)
+
+            logits = F.array(*(logit(p, w) for p, w in zip(self.prior, self.weights)))
+            return F.struct(F.size(own).cast("long").alias("n_tokens"), _with(logits, _softmax).alias("posterior"))
+
+        return _with(F.transform(words(text), bucket), of_words)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _softmax(logits: Column) -> Column:
     raised = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(F.array(raised), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y)))[0]
+    return _with(raised, lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y)))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, text_column: str = "text") -> DomainClassifier:
@@ -152,8 +159,7 @@ def fit_rates(members: DataFrame, weights: list[float], tokens: float | None = N
 
 
 def members_of(docs: DataFrame, classifier: DomainClassifier, *columns: str) -> DataFrame:
-    text = F.col("text")
-    return docs.select(*columns, F.size(words(text)).cast("long").alias("n_tokens"), classifier.posteriors(text).alias("posterior"))
+    return docs.select(*columns, classifier.member(F.col("text")).alias("m")).select(*columns, "m.n_tokens", "m.posterior")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -185,5 +191,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
     classifier = fit_domains(docs, labels, domains)
     members = staged(members_of(docs, classifier), "members")
     fit = fit_rates(members, [targets[d] for d in domains])
-    counted = docs.withColumn("_copies", copies(fit.rate(classifier.posteriors(F.col("text")))))
+    counted = docs.withColumn("_copies", copies(fit.rate(classifier.member(F.col("text"))["posterior"])))
     return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
