@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is what distinguishes toxic labels in a bounded sample of labelled texts: words and the first
-letters of words. Document frequencies are counted over all documents. The examples, also bounded, are indexed
+The vocabulary is what distinguishes toxic labels in a bounded sample of labelled texts: words, first letters of
+words, and first letters that several words share. Document frequencies are counted over all documents. The examples, also bounded, are indexed
 once: per term its postings, cut into blocks of examples with the largest weight of each block. A document visits
 blocks in the order of their upper bounds and stops when no block can still reach its k-th best cosine.
 """
@@ -27,7 +27,7 @@ MAX_TERMS = 4_096
 MIN_SUPPORT, MIN_LIFT, MIN_Z = 5, 3.0, 4.0
 #: A term must be this strong beside the strongest one: words that merely fill copies of a few texts are not.
 MIN_RELATIVE_Z = 0.25
-PREFIXES = (4, 5)
+PREFIXES, REPEATS = (3, 4, 5, 6, 7), (2, 3)
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate among the votes.
@@ -41,27 +41,39 @@ def word_terms(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def text_terms(text: str | None) -> set[str]:
+    """Terms of a text; a beginning that several words share is also a term of its own, led by the number."""
+    counts: Counter = Counter()
+    for word, n in Counter(WORDS.findall((text or "").lower())).items():
+        for t in word_terms(word):
+            counts[t] += n
+    return {*counts, *(f"{m}{t}" for t, n in counts.items() if t[0] == "^" for m in REPEATS if n >= m)}
+
+
 class Terms:
     """Counts of vocabulary terms in a text; what a word stands for is looked up once."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Plain terms to count, and what each count says: its own entry, and those of its repetitions.
+        self.says: dict[str, list[tuple[int, int]]] = {}
+        for term, i in vocabulary.items():
+            lead = term[: -len(term.lstrip("0123456789"))] if term[0].isdigit() else ""
+            self.says.setdefault(term[len(lead) :], []).append((int(lead or 0), i))
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if not text:
-            return found
-        known = self.known
+        if not text or not self.says:
+            return {}
+        known, seen = self.known, {}
         for word, n in Counter(WORDS.findall(text.lower())).items():
             terms = known.get(word)
             if terms is None:
                 if len(known) > 500_000:
                     known.clear()
-                terms = known[word] = tuple(self.vocabulary[t] for t in word_terms(word) if t in self.vocabulary)
+                terms = known[word] = tuple(t for t in word_terms(word) if t in self.says)
             for t in terms:
-                found[t] = found.get(t, 0) + n
-        return found
+                seen[t] = seen.get(t, 0) + n
+        return {i: 1 if least else n for t, n in seen.items() for least, i in self.says[t] if n >= least}
 
 
 def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +188,7 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {t for w in set(WORDS.findall((text or "").lower())) for t in word_terms(w)}
-            counts[label].update(own)
+            counts[label].update(text_terms(text))
             counts[label][""] += 1
     terms = sorted({*counts[0], *counts[1]})
     columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)]
