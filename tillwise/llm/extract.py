@@ -65,7 +65,7 @@ def describe(tag: str, attributes: str) -> tuple[str, bool]:
     """Generalised step of a path, and whether class, id or role mark boilerplate."""
     if not attributes or attributes.isspace():
         return tag, tag in DROPPED
-    classes, marks, hidden = [], [], False
+    classes, marks, own, hidden = [], [], "", False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
         if name == "class":
@@ -73,6 +73,7 @@ def describe(tag: str, attributes: str) -> tuple[str, bool]:
             marks += classes
         elif name in ("id", "role"):
             marks.append(value.lower())
+            own = value.lower() if name == "id" else own
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
     bad = tag in DROPPED or hidden
@@ -80,7 +81,9 @@ def describe(tag: str, attributes: str) -> tuple[str, bool]:
         bad = bad or any(word in BOILERPLATE for mark in marks for word in re.split(r"[^a-z]+", mark))
     elif tag == "article":
         bad = bad or any(word in ("comment", "comments", "reply") for mark in marks for word in re.split(r"[^a-z]+", mark))
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
+    # Elements without a class are told apart by their id, lest one path stand for every plain container.
+    names = sorted({re.sub(r"\d+", "#", c) for c in classes}) or [f"[{re.sub(r'[0-9]+', '#', own)}]"] * bool(own)
+    step = ".".join([tag, *names])
     return step, bad
 
 
