@@ -3,7 +3,7 @@
 The vocabulary is what distinguishes toxic labels in a bounded sample of labelled texts: words, first letters of
 words, and first letters that several words share. Document frequencies are counted over all documents. The examples, also bounded, are indexed
 once: per term its postings, cut into blocks of examples with the largest weight of each block. A document visits
-blocks in the order of their upper bounds and stops when no block can still reach its k-th best cosine.
+the blocks of the largest upper bounds first, and of the others only those that can still reach its k-th best cosine.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MIN_SUPPORT, MIN_LIFT, MIN_Z = 5, 3.0, 4.0
 MIN_RELATIVE_Z = 0.25
 PREFIXES, REPEATS = (3, 4, 5, 6, 7), (2, 3)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK, FIRST_BLOCKS = 64, 4
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.25
 
@@ -105,7 +105,7 @@ class Index:
             at = np.array([i for i, _ in rows])
             w = np.array([x for _, x in rows])
             blocks, first = np.unique(at // BLOCK, return_index=True)
-            index.postings[t] = (at, w, blocks, np.r_[first, len(at)], np.maximum.reduceat(w, first))
+            index.postings[t] = (at, w, blocks, at // BLOCK, np.maximum.reduceat(w, first))
         return index
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,22 +117,24 @@ class Index:
         for (_, _, blocks, _, most), x in own:
             bound[blocks] += x * most
         order = np.lexsort((np.arange(len(bound)), -bound))
-        found_ids, found, least = np.empty(0, int), np.empty(0), 0.0
-        for b in order.tolist():
+        found, scores, least = np.empty(0, int), np.empty(0), 0.0
+        # The most promising blocks give a k-th best cosine; of the others only those that can reach it are read.
+        for batch in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # Bounds and scores add the same terms in the same order; the margin covers rounding.
-            if bound[b] <= 0 or (len(found) == k and bound[b] * (1 + 1e-12) < least):
-                break
-            score = np.zeros(BLOCK)
-            for (at, weight, blocks, cut, _), x in own:
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    score[at[cut[i] : cut[i + 1]] - b * BLOCK] += x * weight[cut[i] : cut[i + 1]]
+            wanted = np.zeros(len(bound), bool)
+            wanted[batch] = (bound[batch] > 0) & (bound[batch] * (1 + 1e-12) >= least)
+            if not wanted.any():
+                continue
+            score = np.zeros(len(bound) * BLOCK)
+            for (at, weight, _, of_block, _), x in own:
+                reach = wanted[of_block]
+                score[at[reach]] += x * weight[reach]
             hit = np.nonzero(score > 0)[0]
-            found_ids, found = np.r_[found_ids, hit + b * BLOCK], np.r_[found, score[hit]]
-            best = np.lexsort((found_ids, -found))[:k]
-            found_ids, found = found_ids[best], found[best]
-            least = found[-1] if len(found) == k else 0.0
-        return found_ids, found
+            found, scores = np.r_[found, hit], np.r_[scores, score[hit]]
+            best = np.lexsort((found, -scores))[:k]
+            found, scores = found[best], scores[best]
+            least = scores[-1] if len(scores) == k else 0.0
+        return found, scores
 
 
 @dataclass
