@@ -59,20 +59,29 @@ class Terms:
         for term, i in vocabulary.items():
             lead = term[: -len(term.lstrip("0123456789"))] if term[0].isdigit() else ""
             self.says.setdefault(term[len(lead) :], []).append((int(lead or 0), i))
+        self.heads = {t[1:4] for t in self.says}  # a word that begins otherwise has no term
         self.known: dict[str, tuple[str, ...]] = {}
+        self.silent: set[str] = set()  # words without any term: nearly all
 
     def counts(self, text: str | None) -> dict[int, int]:
         if not text or not self.says:
             return {}
-        known, seen = self.known, {}
-        for word, n in Counter(WORDS.findall(text.lower())).items():
+        known, silent, seen = self.known, self.silent, {}
+        words = Counter(WORDS.findall(text.lower()))
+        for word in words.keys() - silent:
             terms = known.get(word)
             if terms is None:
-                if len(known) > 500_000:
-                    known.clear()
-                terms = known[word] = tuple(t for t in word_terms(word) if t in self.says)
+                terms = tuple(t for t in word_terms(word) if t in self.says) if word[:3] in self.heads else ()
+                if terms:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[word] = terms
+                else:
+                    if len(silent) > 500_000:
+                        silent.clear()
+                    silent.add(word)
             for t in terms:
-                seen[t] = seen.get(t, 0) + n
+                seen[t] = seen.get(t, 0) + words[word]
         return {i: 1 if least else n for t, n in seen.items() for least, i in self.says[t] if n >= least}
 
 
