@@ -127,6 +127,29 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["score"] for r in unlearnt} == {0.0}
 
 
+def test_texts_without_toxic_terms_are_searched(spark):
+    """Neighbours come from all words: a text's copy among the examples is its nearest, at cosine one."""
+    rng = np.random.default_rng(6)
+    plain = [" ".join(f"w{x}" for x in rng.integers(0, 400, 30)) for _ in range(120)]
+    learnt = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5][:120]
+    held = [i for i in range(1000) if not zlib.crc32(str(i).encode()) % 5][:2]
+    texts = dict(zip(learnt, plain)) | dict(zip(held, (plain[7], "unheard of")))
+    toxic = {i: int(k % 10 == 7) for k, i in enumerate(learnt)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, toxicity.labelled_ids(labels))
+    assert not set(toxicity.Terms(model.vocabulary).counts(plain[7]))
+    rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    copy = rows[held[0]]
+    assert copy["neighbours"][0] == learnt[7] and abs(copy["cosines"][0] - 1) < 1e-9 and copy["predicted"] == 1
+    assert all(r["neighbours"][0] == i for i, r in rows.items() if i in toxic)
+    assert rows[held[1]]["neighbours"] == []
+
+    words = [toxicity.WORDS.findall(t) for t in texts.values()]
+    idf = lambda w: np.log((1 + len(words)) / (1 + sum(w in t for t in words))) + 1
+    assert all(abs(model.idf[i] - idf(w)) < 1e-9 for w, i in model.words.items())
+
+
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     labels = spark.createDataFrame([(i, 1, 1) for i in range(50)], "doc_id long, quality int, toxic int")
     learnt = {r["doc_id"] for r in toxicity.labelled_ids(labels).collect()}

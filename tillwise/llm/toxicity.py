@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is what distinguishes toxic labels in a bounded sample of labelled texts: words, first letters of
-words, and first letters that several words share. Document frequencies are counted over all documents. The examples, also bounded, are indexed
-once: per term its postings, cut into blocks of examples with the largest weight of each block. A document visits
-the blocks of the largest upper bounds first, and of the others only those that can still reach its k-th best cosine.
+The examples, a bounded sample of labelled texts, are indexed by all their words, and by the terms that distinguish
+toxic labels in the sample: words, first letters of words, and first letters that several words share. Words and terms
+make up half of a vector each. Document frequencies are counted over all documents. Per word or term the index holds its
+postings, cut into blocks of examples with the largest weight of each block. A document visits the blocks of the largest
+upper bounds first, and of the others only those that can still reach its k-th best cosine.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,10 +42,14 @@ def word_terms(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def text_words(text: str | None) -> Counter:
+    return Counter(WORDS.findall((text or "").lower()))
+
+
 def text_terms(text: str | None) -> set[str]:
     """Terms of a text; a beginning that several words share is also a term of its own, led by the number."""
     counts: Counter = Counter()
-    for word, n in Counter(WORDS.findall((text or "").lower())).items():
+    for word, n in text_words(text).items():
         for t in word_terms(word):
             counts[t] += n
     return {*counts, *(f"{m}{t}" for t, n in counts.items() if t[0] == "^" for m in REPEATS if n >= m)}
@@ -64,10 +69,12 @@ class Terms:
         self.silent: set[str] = set()  # words without any term: nearly all
 
     def counts(self, text: str | None) -> dict[int, int]:
-        if not text or not self.says:
+        return self.of_words(text_words(text))
+
+    def of_words(self, words: Counter) -> dict[int, int]:
+        if not words or not self.says:
             return {}
         known, silent, seen = self.known, self.silent, {}
-        words = Counter(WORDS.findall(text.lower()))
         for word in words.keys() - silent:
             terms = known.get(word)
             if terms is None:
@@ -95,6 +102,19 @@ def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.nda
     return (terms, w / size) if size > 0 else (terms[:0], w[:0])
 
 
+def vector(text: Counter, terms: Terms, words: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vector of a text's words; its terms and words, each at length one, weigh the same. Unknown words are left out."""
+    parts = weights(terms.of_words(text), idf), weights({words[t]: n for t, n in text.items() if t in words}, idf)
+    both = math.sqrt(sum(len(t) > 0 for t, _ in parts)) or 1.0
+    return np.concatenate([t for t, _ in parts]), np.concatenate([w for _, w in parts]) / both
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and the number of the range of each."""
+    n = ends - starts
+    return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n), np.repeat(np.arange(len(n)), n)
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors; examples are numbered in the order of their ids."""
@@ -102,43 +122,53 @@ class Index:
     labels: np.ndarray
     shares: np.ndarray  # what an example's vote stands for, so that classes weigh as they occur
     ids: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    at: np.ndarray  # postings by term, then example
+    weight: np.ndarray
+    block: np.ndarray  # runs of postings of one term in one block, their largest weights and first postings
+    most: np.ndarray
+    first: np.ndarray
+    runs: np.ndarray  # first run of each term
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels, shares, ids) -> Index:
-        index, raw = cls(np.asarray(labels, float), np.asarray(shares, float), np.asarray(ids)), {}
-        for i, (terms, w) in enumerate(vectors):
-            for t, x in zip(terms.tolist(), w.tolist()):
-                raw.setdefault(t, []).append((i, x))
-        for t, rows in raw.items():
-            at = np.array([i for i, _ in rows])
-            w = np.array([x for _, x in rows])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            index.postings[t] = (at, w, blocks, at // BLOCK, np.maximum.reduceat(w, first))
-        return index
+        sizes = [len(t) for t, _ in vectors]
+        at = np.repeat(np.arange(len(vectors)), sizes)
+        terms = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        order = np.lexsort((at, terms))
+        at, terms, weight = at[order], terms[order], weight[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)
+        first = np.nonzero(new)[0]
+        most = np.maximum.reduceat(weight, first) if len(first) else np.empty(0)
+        runs = np.searchsorted(terms[first], np.arange((int(terms[-1]) if len(terms) else -1) + 2))
+        return cls(
+            np.asarray(labels, float), np.asarray(shares, float), np.asarray(ids), at.astype(np.int32), weight,
+            (at[first] // BLOCK).astype(np.int32), most, np.r_[first, len(at)], runs,
+        )
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller number, exactly."""
-        own = [(self.postings[t], x) for t, x in zip(terms.tolist(), w.tolist()) if t in self.postings]
-        if not own:
+        own = terms < len(self.runs) - 1
+        terms, w = terms[own], w[own]
+        runs, of_term = _ranges(self.runs[terms], self.runs[terms + 1])
+        if not len(runs):
             return np.empty(0, int), np.empty(0)
-        bound = np.zeros(-(-len(self.labels) // BLOCK))
-        for (_, _, blocks, _, most), x in own:
-            bound[blocks] += x * most
-        order = np.lexsort((np.arange(len(bound)), -bound))
+        n, x, block = -(-len(self.labels) // BLOCK), w[of_term], self.block[runs]
+        bound = np.bincount(block, x * self.most[runs], n)
+        order = np.lexsort((np.arange(n), -bound))
         found, scores, least = np.empty(0, int), np.empty(0), 0.0
         # The most promising blocks give a k-th best cosine; of the others only those that can reach it are read.
         for batch in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # Bounds and scores add the same terms in the same order; the margin covers rounding.
-            wanted = np.zeros(len(bound), bool)
+            wanted = np.zeros(n, bool)
             wanted[batch] = (bound[batch] > 0) & (bound[batch] * (1 + 1e-12) >= least)
             if not wanted.any():
                 continue
-            score = np.zeros(len(bound) * BLOCK)
-            for (at, weight, _, of_block, _), x in own:
-                reach = wanted[of_block]
-                score[at[reach]] += x * weight[reach]
-            hit = np.nonzero(score > 0)[0]
+            read = wanted[block]
+            places, of_run = _ranges(self.first[runs[read]], self.first[runs[read] + 1])
+            score = np.bincount(self.at[places], x[read][of_run] * self.weight[places], n * BLOCK)
+            hit = np.nonzero((score > 0) & (score >= least))[0]
             found, scores = np.r_[found, hit], np.r_[scores, score[hit]]
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
@@ -148,7 +178,8 @@ class Index:
 
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
+    vocabulary: dict[str, int]  # terms of toxic labels
+    words: dict[str, int]  # words of the examples, numbered after the terms
     idf: np.ndarray
     index: Index
     base_rate: float
@@ -156,20 +187,14 @@ class ToxicityModel:
 
     def scorer(self):
         """A function of one text: (score, ids of the neighbours, their cosines)."""
-        terms, cache = Terms(self.vocabulary), {}
+        terms = Terms(self.vocabulary)
 
         def score(text: str | None):
-            counts = terms.counts(text)
-            key = tuple(sorted(counts.items()))
-            if key not in cache:
-                if len(cache) > 100_000:
-                    cache.clear()
-                near, cosine = self.index.nearest(*weights(counts, self.idf), self.neighbours)
-                vote = self.index.shares[near] / (1.05 - np.minimum(cosine, 1.0))  # nearer examples weigh more
-                vote *= cosine
-                value = (float((vote * self.index.labels[near]).sum()) + PRIOR_WEIGHT * self.base_rate) / (float(vote.sum()) + PRIOR_WEIGHT)
-                cache[key] = (min(1.0, max(0.0, value)), self.index.ids[near].tolist(), cosine.tolist())
-            return cache[key]
+            near, cosine = self.index.nearest(*vector(text_words(text), terms, self.words, self.idf), self.neighbours)
+            vote = self.index.shares[near] / (1.05 - np.minimum(cosine, 1.0))  # nearer examples weigh more
+            vote *= cosine
+            value = (float((vote * self.index.labels[near]).sum()) + PRIOR_WEIGHT * self.base_rate) / (float(vote.sum()) + PRIOR_WEIGHT)
+            return min(1.0, max(0.0, value)), self.index.ids[near].tolist(), cosine.tolist()
 
         return score
 
@@ -206,15 +231,20 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["term", "clean", "toxic"])
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Per task: in how many documents each vocabulary term occurs; term -1 counts the documents."""
-    terms, total = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], words: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Per task: in how many documents each term and word occurs; term -1 counts the documents."""
+    terms, total, found = Terms(vocabulary), np.zeros(len(vocabulary) + len(words) + 1, np.int64), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total[list(terms.counts(text))] += 1
+            own = text_words(text)
+            total[list(terms.of_words(own))] += 1
+            found.update(own.keys() & words.keys())
             total[-1] += 1
-    names = pa.array([*range(len(vocabulary)), -1], pa.int32())
-    yield pa.RecordBatch.from_arrays([names, pa.array(total)], names=["term", "n"])
+    for word, n in found.items():
+        total[words[word]] = n
+    names = np.r_[np.arange(len(total) - 1), -1]
+    seen = total > 0
+    yield pa.RecordBatch.from_arrays([pa.array(names[seen], pa.int32()), pa.array(total[seen])], names=["term", "n"])
 
 
 def labelled_ids(labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
@@ -258,50 +288,55 @@ def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_co
     )
     chosen = [r for r in chosen if r["z"] >= MIN_RELATIVE_Z * chosen[0]["z"]]
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
-    frequencies = source.select("text").mapInArrow(lambda it: _document_counts(it, vocabulary), "term int, n long")
-    df = dict(map(tuple, frequencies.groupBy("term").agg(F.sum("n")).collect()))
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
 
-    # Examples: at most MAX_EXAMPLES of the sample, those with vocabulary terms first met by hash.
+    # Examples: at most MAX_EXAMPLES of the sample that hold any word, first met by hash; their texts are that few.
     half = F.row_number().over(_by_label()) <= MAX_EXAMPLES // 2
-    picked = train.select("doc_id", "label", "text").mapInArrow(lambda it: _vectors(it, vocabulary), "doc_id long, label int, terms array<int>, tfs array<int>")
-    picked = picked.where(F.size("terms") > 0)
-    with_terms = dict(map(tuple, picked.groupBy("label").count().collect()))
-    examples = picked.withColumn("take", half).where("take").orderBy("doc_id", "label").collect()
+    held = train.mapInArrow(lambda it: _evidence(it, vocabulary), "doc_id long, label int, text string, worded boolean, marked boolean")
+    held = held.withColumn("take", F.col("worded") & half)
+    seen = held.groupBy("label").agg(F.count_if("worded"), F.count_if("marked")).collect()
+    with_words, with_terms = ({r[0]: r[i] for r in seen} for i in (1, 2))
+    examples = held.where("take").orderBy("doc_id", "label").select("doc_id", "label", "text").collect()
     taken = Counter(r["label"] for r in examples)
-    vectors = [weights(dict(zip(r["terms"], r["tfs"])), idf) for r in examples]
-    # A vote of class y stands for its labelled documents with terms, at the class's share of all labels.
-    per_class = {y: share.get(y, 0) / n[y] * with_terms.get(y, 0) / max(1, taken[y]) for y in (0, 1)}
+    counts = [text_words(r["text"]) for r in examples]
+    words = {w: len(vocabulary) + i for i, w in enumerate(sorted(set().union(*counts)))}
+    frequencies = source.select("text").mapInArrow(lambda it: _document_counts(it, vocabulary, words), "term int, n long")
+    df = dict(map(tuple, frequencies.groupBy("term").agg(F.sum("n")).collect()))
+    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary) + len(words))])
+    terms = Terms(vocabulary)
+    vectors = [vector(c, terms, words, idf) for c in counts]
+    # A vote of class y stands for its labelled documents with words, at the class's share of all labels.
+    per_class = {y: share.get(y, 0) / n[y] * with_words.get(y, 0) / max(1, taken[y]) for y in (0, 1)}
     scale = max(per_class.values()) or 1.0
     # How often labelled documents without any term are toxic: what a document without evidence scores.
     without = {y: share.get(y, 0) * (n[y] - with_terms.get(y, 0) + 0.5) / (n[y] + 1) for y in (0, 1)}
     base_rate = without[1] / (sum(without.values()) or 1.0)
     shares = [per_class[r["label"]] / scale for r in examples]
     index = Index.build(vectors, [r["label"] for r in examples], shares, [r["doc_id"] for r in examples])
-    return ToxicityModel(vocabulary, idf, index, base_rate)
+    return ToxicityModel(vocabulary, words, idf, index, base_rate)
 
 
 def _by_label():
     from pyspark.sql.window import Window as W
 
-    return W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return W.partitionBy("label", "worded").orderBy(F.xxhash64("doc_id"), "doc_id")
 
 
-def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _evidence(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts, and whether they hold any word and any term."""
     terms = Terms(vocabulary)
     for batch in batches:
-        counts = [sorted(terms.counts(t).items()) for t in batch.column(2).to_pylist()]
-        ids = pa.array([[t for t, _ in c] for c in counts], pa.list_(pa.int32()))
-        tfs = pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, tfs], names=["doc_id", "label", "terms", "tfs"])
+        counts = [text_words(t) for t in batch.column(1).to_pylist()]
+        worded, marked = pa.array([len(c) > 0 for c in counts]), pa.array([bool(terms.of_words(c)) for c in counts])
+        columns = [batch.column(0), batch.column(2), batch.column(1), worded, marked]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "text", "worded", "marked"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, neighbours, cosines.
 
     Only labels outside the held-out fold (crc32 of the id's digits mod 5 = 0) are learnt from. A text is scored by
-    its words alone; null, empty or unknown texts get the rate of
-    toxic labels among labelled texts without evidence. Rows with null ids have ``held_out`` null. Repeated
+    its words alone, whichever they are; null and empty texts, and those that share no word with any example, get the rate
+    of toxic labels among labelled texts without evidence. Rows with null ids have ``held_out`` null. Repeated
     rows each give a row; extra columns are ignored; an empty table gives no rows; without usable labels all scores are 0.
     """
     model = fit(docs, labelled_ids(labels), id_column, text_column)
