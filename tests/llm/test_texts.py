@@ -150,6 +150,14 @@ def test_texts_without_toxic_terms_are_searched(spark):
     assert all(abs(model.idf[i] - idf(w)) < 1e-9 for w, i in model.words.items())
 
 
+def test_weak_terms_are_kept_beside_strong_ones(spark):
+    """A word in a twentieth of the toxic texts and in no other stays a term when another word is in all of them."""
+    texts = [f"slur and {'vile' if i % 40 == 1 else 'thing'} n{i}" if i % 2 else f"fine thing n{i}" for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, label int")
+    assert {"=slur", "=vile"} <= set(toxicity.fit(docs, labelled).vocabulary)
+
+
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     labels = spark.createDataFrame([(i, 1, 1) for i in range(50)], "doc_id long, quality int, toxic int")
     learnt = {r["doc_id"] for r in toxicity.labelled_ids(labels).collect()}

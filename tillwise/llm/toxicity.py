@@ -26,8 +26,6 @@ MAX_LABELLED = 20_000
 MAX_EXAMPLES = 4_000
 MAX_TERMS = 4_096
 MIN_SUPPORT, MIN_LIFT, MIN_Z = 5, 3.0, 4.0
-#: A term must be this strong beside the strongest one: words that merely fill copies of a few texts are not.
-MIN_RELATIVE_Z = 0.25
 PREFIXES, REPEATS = (3, 4, 5, 6, 7), (2, 3)
 NEIGHBOURS = 15
 BLOCK, FIRST_BLOCKS = 64, 4
@@ -286,7 +284,6 @@ def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_co
         .limit(MAX_TERMS)
         .collect()
     )
-    chosen = [r for r in chosen if r["z"] >= MIN_RELATIVE_Z * chosen[0]["z"]]
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
 
     # Examples: at most MAX_EXAMPLES of the sample that hold any word, first met by hash; their texts are that few.
