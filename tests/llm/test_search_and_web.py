@@ -122,6 +122,18 @@ def test_article_text():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000, []) == "deep"
 
 
+def test_marked_wrappers_keep_the_text():
+    text = "<p>" + "words of the story " * 20 + "</p>"
+    want = ("words of the story " * 20).strip()
+    for inner in (text, f"<article>{text}</article>"):
+        for name in ("layout has-sidebar", "elementor-widget-text-editor", "sidebar-layout", "widget", "share-page"):
+            page = f"<body><nav>Menu</nav><div class='{name}'>{inner}</div><footer>Foot</footer></body>"
+            assert main_text(page, []) == want, name
+        assert main_text(f"<body><div id='content-with-sidebar'>{inner}<div class='sidebar-right'>Side</div></div></body>", []) == want
+        comments = "<div class='comments-area'>" + "<p>reader says much </p>" * 90 + "</div>"
+        assert main_text(f"<body><div class=post>{inner}{comments}<div class=widget>w</div></div></body>", []) == want
+
+
 def test_hosts_outvote_a_page(spark):
     usual = "<body><div class=story><p>{}</p></div><div class=extra><p>{}</p></div>"
     pages = [(i, f"http://Host.example/{i}", usual.format("words of the story " * 20, "more")) for i in range(9)]

@@ -38,7 +38,7 @@ CONTAINERS = set("html body article section main div td center blockquote figure
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words in class, id or role that mark what is not the article.
+#: Names of classes, ids and roles, or their leading words, that mark what is not the article.
 BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs comment comments commentlist "
     "complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header masthead menu menubar menus modal nav navbar "
@@ -46,6 +46,10 @@ BOILERPLATE = set(
     "share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription toc toolbar topbar widget widgets".split()
 )
 
+COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+#: A marked container stays if its main or article holds this share of the page's letters, or if it holds more than half of them itself.
+ENCLOSED, MOST = 0.25, 0.5
+
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?", re.S
 )
@@ -53,18 +57,23 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "parts", "children", "parent")
+    __slots__ = ("tag", "path", "dropped", "mark", "parts", "children", "parent")
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Element | None):
-        self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
+    def __init__(self, tag: str, path: str, dropped: bool, mark: str, parent: Element | None):
+        self.tag, self.path, self.dropped, self.mark, self.parent = tag, path, dropped, mark, parent
         self.parts: list = []  # text and child elements in page order
         self.children: list[Element] = []
 
 
-def describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised step of a path, and whether class, id or role mark boilerplate."""
+def boilerplate(name: str) -> str:
+    """The name, or its leading word, if it marks boilerplate; else nothing."""
+    return next((w for w in (name, re.split(r"[^a-z]+", name, maxsplit=1)[0]) if w in BOILERPLATE), "")
+
+
+def describe(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """Generalised step of a path, whether the element goes whatever it holds, and what in class, id or role marks boilerplate."""
     if not attributes or attributes.isspace():
-        return tag, tag in DROPPED
+        return tag, tag in DROPPED, ""
     classes, marks, own, hidden = [], [], "", False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
@@ -72,24 +81,25 @@ def describe(tag: str, attributes: str) -> tuple[str, bool]:
             classes = value.lower().split()
             marks += classes
         elif name in ("id", "role"):
-            marks.append(value.lower())
+            marks += value.lower().split()
             own = value.lower() if name == "id" else own
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    bad = tag in DROPPED or hidden
+    bad, mark = tag in DROPPED or hidden, ""
     if tag not in ("html", "body", "article", "main"):
-        bad = bad or any(word in BOILERPLATE for mark in marks for word in re.split(r"[^a-z]+", mark))
+        found = [w for w in map(boilerplate, marks) if w]
+        mark = next((w for w in found if w in COMMENTS), found[0] if found else "")
     elif tag == "article":
-        bad = bad or any(word in ("comment", "comments", "reply") for mark in marks for word in re.split(r"[^a-z]+", mark))
+        bad = bad or any(word in ("comment", "comments", "reply") for name in marks for word in re.split(r"[^a-z]+", name))
     # Elements without a class are told apart by their id, lest one path stand for every plain container.
     names = sorted({re.sub(r"\d+", "#", c) for c in classes}) or [f"[{re.sub(r'[0-9]+', '#', own)}]"] * bool(own)
     step = ".".join([tag, *names])
-    return step, bad
+    return step, bad, mark
 
 
 def parse(page: str) -> Element:
     """Tree of a page. Markup that breaks off, overlaps or never closes is read as browsers mostly do."""
-    root = Element("", "", False, None)
+    root = Element("", "", False, "", None)
     at, now, end = 0, root, len(page)
 
     def text(raw: str) -> None:
@@ -123,8 +133,8 @@ def parse(page: str) -> Element:
             now = _close(now, {"p"}, CONTAINERS | {"li", "button"})
         if tag in SIBLINGS:
             now = _close(now, SIBLINGS[tag], SCOPES[tag])
-        step, bad = describe(tag, match[3])
-        child = Element(tag, f"{now.path}>{step}" if now.path else step, bad or now.dropped, now)
+        step, bad, mark = describe(tag, match[3])
+        child = Element(tag, f"{now.path}>{step}" if now.path else step, bad or now.dropped, mark, now)
         now.parts.append(child)
         now.children.append(child)
         if tag in VOID or match[3].endswith("/") and tag not in BLOCKS | RAW:
@@ -136,9 +146,32 @@ def parse(page: str) -> Element:
             at = page.find(">", close.start()) + 1 or end
             continue
         now = child
+    drop_marked(root)
     return root
 
 
+def drop_marked(root: Element) -> None:
+    """Drop marked elements, but not those that enclose the article or hold most of the page; if nothing else is left, none."""
+    sizes = measure(root)
+    marked = [e for e in sizes if e.mark]
+    if not marked:
+        return
+    kept: set[Element] = set()
+    for e in sizes:
+        if e.tag in ("article", "main") and sizes[e] > 0 and sizes[e] >= ENCLOSED * sizes[root]:
+            kept.update(_open(e))
+    # Readers' comments can outweigh the article they are about.
+    gone = [e for e in marked if e not in kept and (e.mark in COMMENTS or sizes[e] <= MOST * sizes[root])]
+    stack, whole = list(gone), set(gone)
+    if sizes[root] and sum(sizes[e] for e in gone if whole.isdisjoint(_open(e.parent))) >= sizes[root]:
+        return
+    while stack:
+        element = stack.pop()
+        if not element.dropped:
+            element.dropped = True
+            stack.extend(element.children)
+
+
 def _open(now: Element) -> Iterator[Element]:
     while now is not None:
         yield now
@@ -269,7 +302,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     The whole html is read; null counts as empty. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-    comments are left out by element and by class, id and role. Character references are decoded, white space within a block
+    comments are left out by element and by class, id and role; a name in class, id or role counts as a whole or by its leading word, and
+    not where it marks a container of the article or of most of the page's text. Character references are decoded, white space within a block
     becomes one space, blocks are joined by one. Pages without url or host vote among themselves. Repeated rows and null ids
     each give a row and a vote; extra columns are ignored; an empty table gives no rows.
     """
