@@ -147,6 +147,24 @@ def test_hosts_outvote_a_page(spark):
     assert extract_pages(frame.limit(0)).collect() == []
 
 
+def test_minority_template_keeps_its_article(spark):
+    """A short stray element at the majority's path does not stand for an article that lies elsewhere."""
+    usual = "<body><article><p>{}</p></article></body>"
+    plain, stray = "<body><div class=story><p>{}</p></div></body>", "<body><div class=story>stray</div><section class=body><p>{}</p></section></body>"
+    long = "words of the article " * 30
+    pages = [(i, f"http://a.example/{i}", plain.format(long)) for i in range(9)]
+    pages += [(i, f"http://a.example/{i}", stray.format(f"{long}{i}")) for i in range(9, 12)]
+    pages += [(i, f"http://b.example/{i}", usual.format(long)) for i in range(20, 25)]
+    pages += [(30, "http://b.example/30", "<body><article></article><div class=entry><p>" + long + "</p></div></body>")]
+    teaser = "<body><article><p>teaser</p></article><div class=entry><p>" + long + "</p></div></body>"
+    pages += [(31, "http://b.example/31", teaser)]
+    rows = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(rows[i] == f"{long}{i}" for i in range(9, 12))
+    assert all(rows[i] == long.strip() for i in (*range(9), *range(20, 25), 30, 31))
+    assert main_text(stray.format(long), ["body>div.story", "body>section.body"]) == long.strip()
+    assert main_text(stray.format(long), ["body>div.story"]) == long.strip()
+
+
 def test_extraction_of_given_pages(spark, sf_dir):
     """The given pages hold one article element; a plain rule for just that markup gives the same text."""
     import html

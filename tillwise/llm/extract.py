@@ -1,15 +1,16 @@
 """Main text of web pages by consensus of their host.
 
 Each page scores its containers and votes for the generalised tag-class path of the best ones; Spark adds the
-votes per host, combined before the shuffle. Every page is then read again with its host's winning paths, in order;
-only a page in which none of them holds text falls back on its own best container.
+votes per host, combined before the shuffle. Every page is then read again with its host's winning paths, in order. A
+path counts if it holds a substantial part of what the page's own best container holds, or if that container is one
+that the host's pages mostly have and pass over; a page in which no path counts falls back on its own best container.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from tillwise.session import staged
 
 #: Winning paths kept per host.
 PATHS = 8
+#: A winning path must hold this share of the letters of the page's own best container.
+SUBSTANTIAL = 1 / 3
 #: A child container that holds this share of its parent's text is the better container.
 DOMINANT = 0.8
 
@@ -246,14 +249,21 @@ def best_containers(root: Element) -> list[tuple[Element, float]]:
 
 
 def page_votes(page: str | None) -> list[tuple[str, float]]:
+    return _path_votes(parse(page or ""))
+
+
+def _path_votes(root: Element) -> list[tuple[str, float]]:
     votes: dict[str, float] = {}
-    for element, score in best_containers(parse(page or "")):
+    for element, score in best_containers(root):
         votes[element.path] = max(votes.get(element.path, 0.0), score)
     return list(votes.items())
 
 
-def main_text(page: str | None, paths: list[str]) -> str:
-    """Text of the first path that holds any; all elements of that path, in page order."""
+def main_text(page: str | None, paths: list[str], asides: Collection[str] = ()) -> str:
+    """Text of the first path that holds a substantial part of the page; all elements of that path, in page order.
+
+    The page's best containers say how much that is, but for those that are the host's ``asides``.
+    """
     root = parse(page or "")
     by_path: dict[str, list[Element]] = {}
     stack = [root]
@@ -262,10 +272,16 @@ def main_text(page: str | None, paths: list[str]) -> str:
         if not element.dropped:
             by_path.setdefault(element.path, []).append(element)
         stack.extend(reversed(element.children))
-    for path in paths:
-        if text := " ".join(filter(None, map(block_text, by_path.get(path, ())))):
-            return text
     own = best_containers(root)
+    sizes = measure(root)
+    # A small article beside a large container is measured by that; what encloses the article is not.
+    around = set(_open(own[0][0].parent)) if own else set()
+    least = SUBSTANTIAL * max((sizes[e] for e, _ in own if e not in around and e.path not in asides), default=0)
+    for path in paths:
+        # Letters outside of links, as the page's own best container is measured by them.
+        if sum(sizes.get(e, 0) for e in by_path.get(path, ())) >= least:
+            if text := " ".join(filter(None, map(block_text, by_path.get(path, ())))):
+                return text
     return block_text(own[0][0]) if own else ""
 
 
@@ -274,28 +290,42 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, host and path: votes in thousandths, pages that vote for it and pages in which it holds text."""
     for batch in batches:
-        rows = [(host, path, score) for host, page in zip(batch.column(0).to_pylist(), batch.column(1)) for path, score in page_votes(page.as_py())]
-        columns = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
+        counts: dict[tuple[str, str], list[int]] = {}
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            root = parse(page.as_py() or "")
+            votes = dict(_path_votes(root))
+            for path in votes.keys() | {e.path for e, n in measure(root).items() if n and e.tag in CONTAINERS}:
+                row = counts.setdefault((host, path), [0, 0, 0])
+                # Votes are rounded so that their sum does not depend on the order of addition.
+                row[0] += round(votes.get(path, 0.0) * 1000)
+                row[1] += path in votes
+                row[2] += 1
+        hosts, paths = ([key[i] for key in counts] for i in (0, 1))
+        numbers = [pa.array([row[i] for row in counts.values()], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *numbers], names=["host", "path", "votes", "voters", "holders"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page.as_py(), paths.as_py() or []) for page, paths in zip(batch.column(2), batch.column(3))]
+        rows = zip(*(batch.column(i) for i in (2, 3, 4)))
+        texts = [main_text(page.as_py(), paths.as_py() or [], asides.as_py() or []) for page, paths, asides in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def host_paths(pages: DataFrame, most: int = PATHS) -> DataFrame:
-    """(host, paths): the paths with most votes per host, best first; ties to the shorter, then smaller path."""
+    """(host, paths, asides): the paths with most votes per host, best first, ties to the shorter, then smaller path; and
+    the paths that some pages vote for but most pages that hold them do not."""
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
-    votes = votes.mapInArrow(_votes, "host string, path string, score double").where("path <> ''")
-    # Votes are rounded so that their sum does not depend on the order of addition.
-    summed = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1000).cast("long")).alias("votes"))
+    votes = votes.mapInArrow(_votes, "host string, path string, votes long, voters long, holders long").where("path <> ''")
+    summed = votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("votes", "voters", "holders"))).where("voters > 0")
     rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), F.length("path"), "path"))
-    top = summed.withColumn("rank", rank).where(F.col("rank") <= most)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "path")))
-    return top.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    aside = F.col("holders") > 2 * F.col("voters")
+    top = summed.withColumn("rank", rank).where((F.col("rank") <= most) | aside)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "path"))))
+    asides = F.sort_array(F.collect_list(F.when(aside, F.col("path"))))
+    return top.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), asides.alias("asides"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -309,6 +339,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     winners = staged(host_paths(pages), "hosts")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths", "asides")
     texts = joined.mapInArrow(_texts, "page_id long, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
