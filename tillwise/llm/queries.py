@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.llm.decontam import contamination
 from tillwise.llm.exact import exact_groups
 from tillwise.llm.extract import extract_pages
+from tillwise.llm.lexical import ranked_search
 from tillwise.llm.licenses import MAX_SHIFT, MIN_SHARE, PHRASES, STATEMENTS, license_scan
 from tillwise.llm.mixing import mixing_rates
+from tillwise.llm.negatives import hard_negatives
 from tillwise.llm.packing import pack_documents
 from tillwise.llm.simhash import near_groups
 from tillwise.llm.suffixes import without_earlier
@@ -201,3 +204,106 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_benchmark_decontamination",
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lowered("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ),
+    b AS (
+      SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({lowered("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ),
+    grams AS (
+      SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS s
+      FROM b, unnest(range(0, greatest(1, len(w) - 9))) AS t(i) WHERE len(w) > 0
+    ),
+    lengths AS (SELECT DISTINCT n FROM grams),
+    windows AS (
+      SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM d CROSS JOIN lengths, unnest(range(0, len(w) - n + 1)) AS t(i)
+    ),
+    hits AS (SELECT DISTINCT r, i, n, item FROM windows JOIN grams USING (n, s)),
+    covered AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, n)) AS u(j) GROUP BY r),
+    listed AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query(
+    "op12_ranked_search",
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lowered("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ),
+    b AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all({lowered("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark WHERE item_id IS NOT NULL
+    ),
+    totals AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0),
+    tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+      FROM tfs, totals GROUP BY term, nd
+    ),
+    sizes AS (SELECT r, doc_id, 100 - 90 + ((90 * CAST(len(w) AS BIGINT) * nd) // nl) AS m FROM d, totals WHERE len(w) > 0),
+    scored AS (
+      SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM b JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (r) WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+      FROM v AS a JOIN v AS c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+    ),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
