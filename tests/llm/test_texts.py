@@ -1,7 +1,8 @@
 """Packing, toxicity, licenses and mixing against plain rules."""
 
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -75,40 +76,111 @@ def test_chunks_give_the_tokenizers_ids():
         assert np.frombuffer(fast.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
-def plain_cosines(model, text):
-    terms, w = toxicity.weights(toxicity.Terms(model.vocabulary).counts(text), model.idf)
-    return dict(zip(terms.tolist(), w.tolist()))
-
-
 def test_index_finds_the_nearest_exactly():
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(700):
-        terms = np.sort(rng.choice(50, rng.integers(1, 8), replace=False))
+    chance = 1 / np.arange(1, 61)  # frequent and rare terms
+    rows = []
+    for i in range(700):
+        terms = np.sort(rng.choice(60, rng.integers(1, 12), replace=False, p=chance / chance.sum()))
         w = rng.random(len(terms))
-        vectors.append((terms, w / np.sqrt((w * w).sum())))
-    vectors += vectors[:20]  # ties
-    index = toxicity.Index.build(vectors, [0] * 720, [1] * 720, range(720))
-    dense = np.zeros((720, 50))
-    for i, (t, w) in enumerate(vectors):
+        rows.append((terms, w / np.sqrt((w * w).sum())))
+    rows += rows[:20]  # ties
+    ids = rng.permutation(720)
+    sizes = [len(t) for t, _ in rows]
+    index = toxicity.Index(720, 60, np.repeat(np.arange(720), sizes), np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), ids)
+    assert (index.column >= 0).any() and (index.column < 0).any()
+    dense = np.zeros((720, 60))
+    for i, (t, w) in enumerate(rows):
         dense[i, t] = w
-    for t, w in vectors[::13]:
-        query = np.zeros(50)
-        query[t] = w
-        cosine = (dense * query).sum(axis=1)
-        near, found = index.nearest(t, w, 15)
-        assert np.allclose(found, np.sort(cosine)[::-1][: len(found)])
+    for n, (t, w) in enumerate(rows[::13]):
+        without = int(ids[13 * n]) if n % 2 else None
+        cosine = dense[:, t] @ w
+        expected = sorted((-round(c, 9), i) for c, i in zip(cosine.tolist(), ids.tolist()) if i != without and c > 0)[:15]
+        near, found = index.nearest(t, w, 15, without)
+        assert sorted((-round(c, 9), i) for c, i in zip(found.tolist(), index.ids[near].tolist())) == expected
         assert all(found[i] >= found[i + 1] for i in range(len(found) - 1))
-        assert np.allclose(cosine[near], found)
-    assert len(index.nearest(np.array([99]), np.array([1.0]), 5)[0]) == 0
+    assert index.completed < 55 * 720
+    none = toxicity.Index(0, 60, *(np.empty(0, t) for t in (int, int, float)), [])
+    assert len(none.nearest(np.array([3]), np.array([1.0]), 5)[0]) == 0
+
+
+def plain_terms(text):
+    counts = Counter(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.translate({i: i + 32 for i in range(65, 91)})))
+    terms = Counter()
+    for w, n in counts.items():
+        terms["=" + w] += n
+        for k in (3, 4, 5, 6, 7):
+            if len(w) >= k:
+                terms["^" + w[:k]] += n
+    return {**terms, **{f"{m}{t}": 1 for t, n in terms.items() for m in (2, 3) if t[0] == "^" and n >= m}}
+
+
+def plain_scores(texts, labels):
+    """Scores by the definition: every labelled text is an example, every cosine is computed."""
+    learnt = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in texts}
+    terms = {i: plain_terms(t or "") for i, t in texts.items()}
+    total, sizes = len(texts), Counter(learnt.values())
+    df, seen = Counter(t for own in terms.values() for t in own), Counter((t, y) for i, y in learnt.items() for t in terms[i])
+    marks = set()
+    for t in {t for t, _ in seen}:
+        p1, p0 = (seen[t, 1] + 0.5) / (sizes[1] + 1), (seen[t, 0] + 0.5) / (sizes[0] + 1)
+        pooled = (seen[t, 1] + seen[t, 0] + 1) / (sizes[0] + sizes[1] + 2)
+        z = (p1 - p0) / (pooled * (1 - pooled) * (1 / (sizes[0] + 1) + 1 / (sizes[1] + 1))) ** 0.5
+        if seen[t, 1] >= 5 and z >= 4 and p1 / p0 >= 3:
+            marks.add(t)
+    known = {t for i in learnt for t in terms[i] if t[0] == "="} | marks
+
+    def vector(own):
+        idf = lambda t: np.log((1 + total) / (1 + df[t])) + 1 if t in known else np.log((1 + total) / 2) + 1
+        full = {t: (1 + np.log(n)) * idf(t) * (1 if t in marks else 0.03) for t, n in own.items() if t[0] == "=" or t in marks}
+        length = sum(w * w for w in full.values()) ** 0.5
+        return {t: w / length for t, w in full.items() if t in known}
+
+    vectors = {i: vector(t) for i, t in terms.items()}
+    per_class = {y: list(labels[i] for i in labels if zlib.crc32(str(i).encode()) % 5).count(y) / max(1, sum(1 for i in learnt if learnt[i] == y and terms[i])) for y in (0, 1)}
+    bare = {y: per_class[y] * (0.5 + sum(1 for i in learnt if learnt[i] == y and terms[i] and not terms[i].keys() & marks)) for y in (0, 1)}
+    out, base = {}, bare[1] / sum(bare.values())
+    for i, own in vectors.items():
+        cosines = [(-sum(w * vectors[j].get(t, 0) for t, w in own.items()), j) for j in learnt if j != i]
+        votes = [(per_class[learnt[j]] / max(per_class.values()) * -c / (1.05 + max(c, -1.0)), learnt[j]) for c, j in sorted(cosines)[:15] if c < 0]
+        out[i] = (sum(v for v, y in votes if y) + 0.25 * base) / (sum(v for v, _ in votes) + 0.25)
+    return out, marks
+
+
+def test_scores_match_all_cosines(spark):
+    rng = np.random.default_rng(9)
+    texts, labels = {}, {}
+    for i in range(260):
+        body = [f"w{x}" for x in rng.integers(0, 150, rng.integers(3, 60))]
+        if i % 4 == 0:
+            body[1:1] = rng.choice(["vile", "vileness", "scum", "réeuxa", "réeuxb"], rng.integers(1, 4)).tolist()
+        texts[i] = " ".join(body).replace("w7 ", "W7, ")
+        if i % 9 != 5:
+            labels[i] = int(i % 4 == 0)
+    texts |= {300: "", 301: None, 302: texts[0], 303: "unheard of", 304: texts[3]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    frame = spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, frame).collect()}
+    expected, marks = plain_scores(texts, labels)
+    assert {"=vile", "^vil", "^réeux"} <= marks
+    assert {i: round(r["score"], 6) for i, r in rows.items()} == {i: round(float(v), 6) for i, v in expected.items()}
+    assert rows[302]["neighbours"][0] == 0 and 0 not in rows[0]["neighbours"]  # an example does not vote on itself
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    rows = QUERIES["op2_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    assert len(rows) > 40 and right >= 0.9
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    rows = QUERIES["op2_toxicity"](spark, sf).join(labels, "doc_id").select("held_out", "score", "toxic").collect()
+    for held in (True, False):  # no label has a vote on its own document, so both folds are fair
+        own = [(r["score"], r["toxic"]) for r in rows if r["held_out"] == held]
+        toxic = [s for s, y in own if y]
+        assert len(toxic) > 90 and sum(s >= 0.5 for s in toxic) / len(toxic) >= 0.9
+        assert sum(s >= 0.5 for s, y in own if not y) <= 0.01 * len(own)
+        assert sum((s - y) ** 2 for s, y in own) / len(own) < 0.02
+        # Calibration: in each third of the range, scores average near the share of toxic labels.
+        for low, high in ((0, 1 / 3), (2 / 3, 1.01)):
+            part = [(s, y) for s, y in own if low <= s < high]
+            assert abs(np.mean([s for s, _ in part]) - np.mean([y for _, y in part])) < 0.1
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
@@ -127,7 +199,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["score"] for r in unlearnt} == {0.0}
 
 
-def test_texts_without_toxic_terms_are_searched(spark):
+def test_texts_without_marks_are_searched(spark):
     """Neighbours come from all words: a text's copy among the examples is its nearest, at cosine one."""
     rng = np.random.default_rng(6)
     plain = [" ".join(f"w{x}" for x in rng.integers(0, 400, 30)) for _ in range(120)]
@@ -137,25 +209,31 @@ def test_texts_without_toxic_terms_are_searched(spark):
     toxic = {i: int(k % 10 == 7) for k, i in enumerate(learnt)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, toxicity.labelled_ids(labels))
-    assert not set(toxicity.Terms(model.vocabulary).counts(plain[7]))
     rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
     copy = rows[held[0]]
-    assert copy["neighbours"][0] == learnt[7] and abs(copy["cosines"][0] - 1) < 1e-9 and copy["predicted"] == 1
-    assert all(r["neighbours"][0] == i for i, r in rows.items() if i in toxic)
-    assert rows[held[1]]["neighbours"] == []
+    assert copy["neighbours"][0] == learnt[7] and abs(copy["cosines"][0] - 1) < 1e-9
+    assert rows[held[1]]["neighbours"] == [] and 0.05 < rows[held[1]]["score"] < 0.15
+
 
-    words = [toxicity.WORDS.findall(t) for t in texts.values()]
-    idf = lambda w: np.log((1 + len(words)) / (1 + sum(w in t for t in words))) + 1
-    assert all(abs(model.idf[i] - idf(w)) < 1e-9 for w, i in model.words.items())
+def test_the_whole_text_counts(spark):
+    """One slur among thousands of unknown words is less like a short toxic text than the slur alone."""
+    texts = {i: "you vile creature" if i % 2 else "a fine day out" for i in range(100, 180)}
+    texts |= {1: "vile", 2: "vile " + " ".join(f"u{i}" for i in range(5000)), 3: " ".join(f"u{i}" for i in range(5000)) + " vile"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100, 180)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert rows[1]["cosines"][0] > 2 * rows[2]["cosines"][0] > 0 and rows[1]["score"] > rows[2]["score"]
+    assert rows[2]["cosines"] == rows[3]["cosines"]
 
 
-def test_weak_terms_are_kept_beside_strong_ones(spark):
-    """A word in a twentieth of the toxic texts and in no other stays a term when another word is in all of them."""
+def test_all_marks_are_kept(spark):
+    """A word in a twentieth of the toxic texts and in no other stays a mark when another word is in all of them."""
     texts = [f"slur and {'vile' if i % 40 == 1 else 'thing'} n{i}" if i % 2 else f"fine thing n{i}" for i in range(800)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labelled = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, label int")
-    assert {"=slur", "=vile"} <= set(toxicity.fit(docs, labelled).vocabulary)
+    vocabulary = toxicity.fit(docs, labelled).vocabulary
+    assert all(vocabulary.relevance[vocabulary.words[w]] == 1 for w in (b"slur", b"vile"))
+    assert vocabulary.relevance[vocabulary.words[b"fine"]] == toxicity.NEUTRAL
 
 
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
