@@ -10,9 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tillwise.llm import similar
-from tillwise.llm.exact import exact_groups
+from tillwise.llm.exact import exact_groups, without_copies
 from tillwise.llm.graphs import components
 from tillwise.llm.queries import QUERIES
 from tillwise.llm.simhash import near_groups, near_links, spanning_links, without_near
@@ -65,6 +63,20 @@ def test_exact_groups_tell_texts_with_common_beginnings_apart(spark):
 
 def test_exact_groups_of_nothing(no_docs):
     assert exact_groups(no_docs).collect() == []
+    assert without_copies(no_docs).collect() == []
+
+
+def test_exact_groups_with_clashing_names(spark):
+    rows = [(1, "a", 8, 9, "x", 1, 2), (2, "a", 10, 11, "y", 3, 4), (3, "b" * 900, 12, 13, "z", 5, 6), (4, "b" * 900, 14, 15, "z", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group_size int, kept int, KEEP_ID string, c0 int, row int")
+    kept = without_copies(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == [rows[1], rows[3]]
+    out = exact_groups(docs)
+    assert out.columns == ["doc_id", "text", "c0", "row", "keep_id", "group_size", "kept"]
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["c0"], r["row"]) for r in out.collect()) == [
+        (1, 2, 2, False, 1, 2), (2, 2, 2, True, 3, 4), (3, 4, 2, False, 5, 6), (4, 4, 2, True, 5, 6)
+    ]
 
 
 def test_components(spark):
@@ -134,57 +146,6 @@ def test_near_groups_of_nothing(no_docs):
     assert near_groups(no_docs).collect() == []
 
 
-def plain_similar(texts):
-    """Smallest id reachable over all pairs of Jaccard similarity 0.8 on five-word shingles."""
-    sets = {}
-    for i, text in texts.items():
-        words = (text or "").lower().split()
-        sets[i] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
-    links = []
-    for a in sets:
-        for b in sets:
-            if a < b and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])):
-                both = len(sets[a] & sets[b])
-                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                    links.append((a, b))
-    return plain_components(sets, links), links
-
-
-@pytest.mark.parametrize("small", [8, 2])
-def test_similar_groups_match_all_pairs(spark, small):
-    """Chains of edited copies and unlike texts, also when every bucket is a large one."""
-    rng = random.Random(11)
-    texts = {}
-    for _ in range(12):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
-        for _ in range(14):
-            texts[len(texts)] = " ".join(words)
-            # Copies a little apart make chains; some fall under the bound.
-            for _ in range(rng.choice([0, 1, 2, 4])):
-                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
-    texts |= {900: "", 901: None, 902: " \t ", 903: "two words", 904: "TWO words"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    expected, links = plain_similar(texts)
-    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs, small=small).collect()}
-    assert got == expected
-    assert len(links) > 100 and len(set(expected.values())) > 14
-
-
-def test_near_copies_beyond_four_bits_go(spark, tmp_path):
-    """Jaccard similarity of at least 0.8, but fingerprints further apart than op7's four bits."""
-    rng = random.Random(4)
-    texts = {}
-    while len(texts) < 10:
-        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
-        copy = [*words[:30], "x", *words[31:70], "y", *words[71:]]
-        pair = " ".join(words), " ".join(copy)
-        if (plain_fingerprint(pair[0]) ^ plain_fingerprint(pair[1])).bit_count() > 4:
-            texts |= {len(texts): pair[0], len(texts) + 1: pair[1]}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
-    assert sorted(r["doc_id"] for r in kept) == [0, 2, 4, 6, 8]
-
-
 def plain_cut(texts, length):
     """(kept bytes, spans) per document, in the order given."""
     seen, out = set(), []

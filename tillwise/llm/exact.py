@@ -30,48 +30,62 @@ def exact_groups(
     Of equal texts the row with the largest id stays; ``keep_id`` is its id. A null text counts as
     empty. Rows with null ids lose to others (``keep_id`` is null if all are null). If the same id and
     text occur in several rows, exactly one of them is kept. An empty table gives no rows. Extra columns
-    pass through; names that start with an underscore and ``keep_id``, ``group_size``, ``kept`` are taken.
-    ``docs`` must give the same rows in the same partitions each time it is read, as files do.
+    pass through, but for columns that have one of the three names: the result's stand for them.
 
-    Per round one count per (group, block) is shuffled, combined before the shuffle, so a group that
-    holds a third of all rows costs one row per task. Undecided rows then meet the counts of undecided
-    groups in a join whose large side Spark may split; whole texts move only there.
+    Rows get their number in a table written first, so that a task that runs again cannot number them anew. Per round one
+    count per (group, block) is shuffled, combined before the shuffle, so a group that holds a third of all rows costs
+    one row per task. Undecided rows then meet the counts of undecided groups in a join whose large side Spark may
+    split; whole texts move only there.
     """
     columns = docs.columns if carry is None else list(carry)
-    text = text_column if text_column in columns else "_text"
-    rows = docs.withColumns(
-        {"_text": F.col(text_column), "_row": F.monotonically_increasing_id(), "_group": F.lit(0).cast("long")}
-    ).select(*dict.fromkeys([*columns, id_column, text, "_row", "_group"]))
+    columns = [c for c in columns if c.lower() not in ("keep_id", "group_size", "kept")]
+    done = _split(docs, columns, id_column, text_column, first_block, growth)
+    return done.toDF(*columns, "keep_id", "group_size", "kept")
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", first_block: int = 64, growth: int = 8) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all columns, whatever their names."""
+    done = _split(docs, docs.columns, id_column, text_column, first_block, growth)
+    return done.where("kept").drop("keep_id", "group_size", "kept").toDF(*docs.columns)
+
+
+def _split(docs: DataFrame, columns: Sequence[str], id_column: str, text_column: str, first_block: int, growth: int) -> DataFrame:
+    """The columns as c0, c1, ... with keep_id, group_size and kept; inside, no name of the caller's is in use."""
+    named = list(dict.fromkeys([*columns, id_column, text_column]))
+    at = {c: f"c{i}" for i, c in enumerate(named)}
+    own, key, text = [at[c] for c in columns], at[id_column], at[text_column]
+    carried = text_column in columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(at[c]) for c in named))
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "group": F.lit(0).cast("long")})
+    rows = staged(rows, "numbered")
     start, width, done = 1, first_block, []
     while True:
-        size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
         shown = rows.withColumns(
             {
-                "_block": F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), start, width),
-                "_ended": size < F.lit(start + width),
+                "block": F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), start, width),
+                "ended": F.octet_length(F.coalesce(F.col(text), F.lit(""))) < F.lit(start + width),
             }
         )
-        keys = ["_group", "_block", "_ended"]
-        best = F.max(F.struct(F.col(id_column).alias("id"), (-F.col("_row")).alias("row")))
-        counts = shown.groupBy(keys).agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
-        counts = staged(counts.where("group_size > 1").withColumn("_next", F.monotonically_increasing_id()), "groups")
+        keys = ["group", "block", "ended"]
+        mark = F.struct(F.col(key).alias("id"), (-F.col("row")).alias("row"))
+        counts = shown.groupBy(keys).agg(F.count(F.lit(1)).alias("group_size"), F.max(mark).alias("best"))
+        counts = staged(counts.where("group_size > 1").withColumn("next", F.monotonically_increasing_id()), "groups")
         joined = shown.join(counts.hint("shuffle_hash"), keys, "left")
         single = F.col("group_size").isNull()
-        own = F.struct(F.col(id_column).alias("id"), (-F.col("_row")).alias("row"))
         result = joined.withColumns(
             {
-                "keep_id": F.when(single, F.col(id_column)).otherwise(F.col("_best.id")),
-                "kept": single | F.col("_best").eqNullSafe(own),
+                "keep_id": F.when(single, F.col(key)).otherwise(F.col("best.id")),
+                "kept": single | F.col("best").eqNullSafe(mark),
                 "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
-                "_open": ~single & ~F.col("_ended"),
+                "open": ~single & ~F.col("ended"),
             }
-        ).withColumn("_group", F.col("_next"))
-        if text not in columns:  # decided rows need their text no more
-            result = result.withColumn(text, F.when(F.col("_open"), F.col(text)))
-        state = dict.fromkeys([*columns, id_column, text, "_row", "_group", "keep_id", "group_size", "kept", "_open"])
-        result = staged(result.select(*state), "split")  # one write serves the decided rows and the next round
-        done.append(result.where("not _open").select(*columns, "keep_id", "group_size", "kept"))
-        rows = result.where("_open").select(*dict.fromkeys([*columns, id_column, text, "_row", "_group"]))
+        ).withColumn("group", F.col("next"))
+        if not carried:  # decided rows need their text no more
+            result = result.withColumn(text, F.when(F.col("open"), F.col(text)))
+        result = result.select(*at.values(), "row", "group", "keep_id", "group_size", "kept", "open")
+        result = staged(result, "split")  # one write serves the decided rows and the next round
+        done.append(result.where("not open").select(*own, "keep_id", "group_size", "kept"))
+        rows = result.where("open").select(*at.values(), "row", "group")
         if rows.isEmpty():
             return functools.reduce(DataFrame.unionAll, done)
         start, width = start + width, width * growth

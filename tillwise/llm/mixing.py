@@ -186,10 +186,13 @@ def copies(rate: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """The documents, all columns, each as often as its rate says (none, once or several times)."""
+    """The documents, all columns of any name, each as often as its rate says (none, once or several times)."""
     domains = tuple(targets)
     classifier = fit_domains(docs, labels, domains)
     members = staged(members_of(docs, classifier), "members")
     fit = fit_rates(members, [targets[d] for d in domains])
-    counted = docs.withColumn("_copies", copies(fit.rate(classifier.member(F.col("text"))["posterior"])))
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    name = "copy"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    times = copies(fit.rate(classifier.member(F.col("text"))["posterior"]))
+    return docs.withColumn(name, F.explode(F.array_repeat(F.lit(1), times))).drop(name)
