@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm.exact import exact_groups
+from tillwise.llm.exact import without_copies
 from tillwise.llm.mixing import mixed
 from tillwise.llm.packing import pack_documents
-from tillwise.llm.similar import without_similar
+from tillwise.llm.simhash import without_near
 from tillwise.llm.toxicity import reject_toxic
 from tillwise.session import staged
 
@@ -24,12 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_groups(docs).where("kept").select(*docs.columns)
+    return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles of Jaccard similarity 0.8 or more, the one with the smallest doc_id stays."""
-    return without_similar(docs)
+    """Of documents linked by SimHash fingerprints within four bits, the one with the smallest doc_id stays."""
+    return without_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SimHash components, fitted models and packing are not expressible in SQL; tests compare with brute force.
+#: SimHash components, fitted models and packing are not expressible in SQL; a test compares the stages with brute force.
 ORACLE_SQL = None
 
 
