@@ -2,17 +2,22 @@
 
 import math
 import uuid
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tillwise.llm import warc
+from tests.llm.test_dedup import plain_components, plain_fingerprint
+from tests.llm.test_texts import plain_scores
+from tillwise.llm import mixing, warc
 from tillwise.llm.extract import best_containers, extract_pages, main_text, page_votes, parse
 from tillwise.llm.queries import ORACLES, QUERIES
 from tillwise.llm.topk import top_matches
-from tillwise.session import shared_folder
+from tillwise.session import shared_folder, staged
 from workloads.compare import spark_rows, sql_rows
 
 
@@ -180,6 +185,60 @@ def test_extraction_of_given_pages(spark, sf_dir):
         assert r["n_chars"] == len(r["text"])
 
 
+def plain_stages(docs):
+    """Exact and near duplicates over (doc_id, text) as the stages define them, one pair after another."""
+    last = {}
+    for i, t in docs:
+        last[t or ""] = max(i, last.get(t or "", i))
+    docs = [(i, t) for i, t in docs if last[t or ""] == i]
+    yield dict(docs)
+    prints = {i: plain_fingerprint(t) for i, t in docs}
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    root = plain_components(prints, links)
+    yield {i: t for i, t in docs if root[i] == i}
+
+
+def test_pipeline_matches_plain_stages(spark, tmp_path):
+    """Whole rows of run() on a small corpus: what each stage keeps, copies made by mixing, and every token packed."""
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 300, n))
+    texts, labels = {}, []
+    for i in range(160):
+        toxic = i % 5 == 0
+        texts[i] = f"you vile scum {word(12)} vile" if toxic else word(rng.integers(5, 60))
+        labels.append((i, int(i % 3 > 0), int(toxic)))
+    for i in range(160, 200):  # copies, near copies and more toxic texts without a label
+        base = texts[i - 120]
+        texts[i] = [base, base.upper(), f"{base} ", f"such vile scum {word(8)}"][i % 4]
+    texts |= {200: None, 201: "", 202: " "}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    sf_dir = f"file://{tmp_path}"
+    docs.repartition(3).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+
+    table = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic, _ = plain_scores(texts, {i: y for i, _, y in labels})
+    expected = {i: t for i, t in texts.items() if toxic[i] < 0.5}
+    assert sum(i % 5 == 0 and i < 160 for i in expected) <= 1 and len(expected) > 120
+    docs, steps = spark.read.parquet(f"{sf_dir}/documents.parquet"), [expected, *plain_stages(sorted(expected.items()))]
+    assert len(steps[0]) > len(steps[1]) > len(steps[2])
+    for (name, stage), want in zip(corpus_pipeline.STAGES, steps):
+        docs = staged(stage(spark, docs, sf_dir), name)
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == want, name
+    rates = {r["doc_id"]: r["copies"] for r in mixing.mixing_rates(docs, table).collect()}
+    assert set(rates) == set(steps[2])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in steps[2].items()}
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    lengths, sequences = Counter(), Counter()
+    for r in packed:
+        lengths[r["doc_id"]] += r["length"]
+        sequences[r["sequence_id"]] += r["length"]
+        assert r["doc_tokens"] == tokens[r["doc_id"]]
+    assert lengths == Counter({i: n * tokens[i] for i, n in rates.items() if n})
+    assert max(sequences.values()) <= 2048 and len(sequences) == -(-sum(lengths.values()) // 2048)
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.01"  # the smallest tables have too few toxic labels to learn from
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -198,7 +257,8 @@ def test_pipeline(spark):
 def test_pipeline_stages_with_odd_rows(spark, odd_docs, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"file://{tmp_path}/labels.parquet")
-    for docs in (odd_docs, odd_docs.limit(0)):
+    clashing = odd_docs.withColumns({c: F.lit(7) for c in ("kept", "group_size", "KEEP_ID", "found", "copy", "_row", "component_id", "rate")})
+    for docs in (odd_docs, odd_docs.limit(0), clashing):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, f"file://{tmp_path}")
             if name != "packing":
