@@ -8,8 +8,10 @@ that the host's pages mostly have and pass over; a page in which no path counts
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 
 import pyarrow as pa
@@ -23,6 +25,8 @@ from tillwise.session import staged
 PATHS = 8
 #: A winning path must hold this share of the letters of the page's own best container.
 SUBSTANTIAL = 1 / 3
+#: Open elements beyond which markup is read for its text only; letters of a path beyond which its digest stands for it.
+DEPTH, PATH_LENGTH = 512, 400
 #: A child container that holds this share of its parent's text is the better container.
 DOMINANT = 0.8
 
@@ -53,17 +57,19 @@ COMMENTS = set("comment comments commentlist disqus replies reply respond".split
 #: A marked container stays if its main or article holds this share of the page's letters, or if it holds more than half of them itself.
 ENCLOSED, MOST = 0.25, 0.5
 
+# Quotes count after an equals sign only, and nothing is tried twice: a token is read in time linear in its length.
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?", re.S
+    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<[!?][^>]*+>?|</[^a-zA-Z][^>]*+>?", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "mark", "parts", "children", "parent")
+    __slots__ = ("tag", "path", "dropped", "mark", "parts", "children", "parent", "depth")
 
     def __init__(self, tag: str, path: str, dropped: bool, mark: str, parent: Element | None):
         self.tag, self.path, self.dropped, self.mark, self.parent = tag, path, dropped, mark, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # text and child elements in page order
         self.children: list[Element] = []
 
@@ -100,15 +106,30 @@ def describe(tag: str, attributes: str) -> tuple[str, bool, str]:
     return step, bad, mark
 
 
+def path_of(parent: str, step: str) -> str:
+    """The parent's path and one step; a long path is told by its digest, so that deep pages stay small."""
+    path = f"{parent}>{step}" if parent else step
+    return path if len(path) <= PATH_LENGTH else "~" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def parse(page: str) -> Element:
     """Tree of a page. Markup that breaks off, overlaps or never closes is read as browsers mostly do."""
     root = Element("", "", False, "", None)
     at, now, end = 0, root, len(page)
+    is_open: Counter = Counter()  # open elements by tag, so that an end without a beginning is passed over at once
+    deep: list[str] = []  # open tags beyond DEPTH
+    deep_open: Counter = Counter()
 
     def text(raw: str) -> None:
         if raw:
             now.parts.append(html.unescape(raw))
 
+    def leave(outer: Element) -> None:
+        nonlocal now
+        while now is not outer:
+            is_open[now.tag] -= 1
+            now = now.parent
+
     while at < end:
         match = TOKEN.search(page, at)
         if match is None:
@@ -119,25 +140,37 @@ def parse(page: str) -> Element:
         if match[2] is None:
             continue
         tag = match[2].lower()
+        if deep:
+            if match[1] and deep_open[tag]:
+                while deep_open[tag] and (inner := deep.pop()) != tag:
+                    deep_open[inner] -= 1
+                deep_open[tag] -= 1
+            if match[1] and (deep or not is_open[tag]) or not match[1] and tag not in RAW:
+                now.parts.append(" " if tag in BLOCKS else "")
+                if not match[1] and tag not in VOID:
+                    deep.append(tag)
+                    deep_open[tag] += 1
+                continue
         if match[1]:
-            if tag == "p" and not any(e.tag == "p" for e in _open(now)):
+            if tag == "p" and not is_open[tag]:
                 now.parts.append(" ")
+            if not is_open[tag]:
+                continue
             target = now
-            while target is not root and target.tag != tag:
+            while target.tag != tag:
                 # Inline ends don't close blocks they were not opened in.
                 if target.tag in CONTAINERS and tag not in BLOCKS:
-                    target = root
                     break
                 target = target.parent
-            if target is not root:
-                now = target.parent
+            else:
+                leave(target.parent)
             continue
-        if tag in CLOSES_P:
-            now = _close(now, {"p"}, CONTAINERS | {"li", "button"})
-        if tag in SIBLINGS:
-            now = _close(now, SIBLINGS[tag], SCOPES[tag])
+        if tag in CLOSES_P and is_open["p"]:
+            leave(_close(now, {"p"}, CONTAINERS | {"li", "button"}))
+        if tag in SIBLINGS and any(is_open[t] for t in SIBLINGS[tag]):
+            leave(_close(now, SIBLINGS[tag], SCOPES[tag]))
         step, bad, mark = describe(tag, match[3])
-        child = Element(tag, f"{now.path}>{step}" if now.path else step, bad or now.dropped, mark, now)
+        child = Element(tag, path_of(now.path, step), bad or now.dropped, mark, now)
         now.parts.append(child)
         now.children.append(child)
         if tag in VOID or match[3].endswith("/") and tag not in BLOCKS | RAW:
@@ -148,7 +181,12 @@ def parse(page: str) -> Element:
                 break  # the rest of the page belongs to it
             at = page.find(">", close.start()) + 1 or end
             continue
+        if child.depth >= DEPTH:
+            deep.append(tag)
+            deep_open[tag] += 1
+            continue
         now = child
+        is_open[tag] += 1
     drop_marked(root)
     return root
 
@@ -328,16 +366,17 @@ def host_paths(pages: DataFrame, most: int = PATHS) -> DataFrame:
     return top.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), asides.alias("asides"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, most: int = PATHS) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     The whole html is read; null counts as empty. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
     comments are left out by element and by class, id and role; a name in class, id or role counts as a whole or by its leading word, and
     not where it marks a container of the article or of most of the page's text. Character references are decoded, white space within a block
     becomes one space, blocks are joined by one. Pages without url or host vote among themselves. Repeated rows and null ids
-    each give a row and a vote; extra columns are ignored; an empty table gives no rows.
+    each give a row and a vote; extra columns are ignored; an empty table gives no rows. Broken tags, odd quotes and deep nesting
+    are read in time linear in the page; below DEPTH open elements only text, blocks and raw elements are told apart.
     """
-    winners = staged(host_paths(pages), "hosts")
+    winners = staged(host_paths(pages, most), "hosts")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths", "asides")
     texts = joined.mapInArrow(_texts, "page_id long, url string, text string")
