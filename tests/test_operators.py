@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import dates
 from tillwise.functions.numeric import lgamma
 from tillwise.operators import (
-    basket, customer, encoding, evaluate, forecast, inventory, marketing, ordering, panel as panels, pricing, profile, regress, routing,
+    basket, clean, customer, encoding, evaluate, forecast, inventory, marketing, ordering, panel as panels, pricing, profile, regress, routing,
 )
 from tillwise.plans import demand, value
 
@@ -358,3 +358,31 @@ def test_fallback_order(spark):
     df = spark.createDataFrame([(1.0, None, 3.0), (None, None, 3.0), (None, 2.0, 3.0)], "AutoARIMA double, Prophet double, ColdStart double")
     got = [(r.pred, r.method_used) for r in forecast.with_fallback(df, ["AutoARIMA", "Prophet", "ColdStart"]).collect()]
     assert got == [(1.0, "AutoARIMA"), (3.0, "ColdStart"), (2.0, "Prophet")]
+
+
+def test_full_buckets_are_cut_until_they_are_small(spark, monkeypatch):
+    """Values that share every first bucket, repeated values, infinities, null keys: cut in rounds, exact all the same."""
+    monkeypatch.setattr(ordering, "FULL", 5)
+    rng = np.random.default_rng(4)
+    rows = [("near", 1e9 + float(v)) for v in rng.integers(0, 3000, 3000)] + [("same", 3.5)] * 500
+    rows += [(None, float(v)) for v in rng.normal(0, 1e-7, 200)] + [("wide", v) for v in (float("-inf"), -1e300, 0.0, 5e-324, 1e300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r.k: list(r)[1:] for r in ordering.quantiles(df, "v", probs, ["k"]).collect()}
+    for k in ("near", "same", None):
+        assert got[k] == pytest.approx(list(np.quantile([v for name, v in rows if name == k], probs)), rel=1e-12), k
+    assert got["wide"][2] == 0.0 and got["wide"][4] == 1e300
+
+
+def test_quantiles_without_keys_run_no_job_early(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bounds", "bounds")
+    try:
+        df = spark.createDataFrame([(float(v),) for v in range(1001)], "v double")
+        trimmed = clean.trim_tails(df, "v", 0.01, 0.99)
+        assert len(tracker.getJobIdsForGroup("bounds")) == 0
+        assert sorted(r.v for r in trimmed.collect()) == [float(v) for v in range(10, 991)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert clean.trim_tails(df.limit(0), "v").collect() == []
+    assert clean.trim_top(df, "v", 0.5).count() == 501

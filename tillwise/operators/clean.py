@@ -137,18 +137,16 @@ def trailing_days(df: DataFrame, column: str, days: int = 365) -> DataFrame:
 def trim_tails(df: DataFrame, column: str, low: float | None = 0.005, high: float | None = 0.995) -> DataFrame:
     """Keep values between two exact quantiles (inclusive); ``None`` leaves a side open.
 
-    Like ``approxQuantile``, this runs a job for the two numbers; they enter the
-    plan as literals, so the scan can skip row groups outside them.
+    The bounds are one scalar subquery over the same rows: no job runs while the plan is built.
     """
-    probs = [p for p in (low, high) if p is not None]
-    bounds = list(quantiles(df, column, probs).first() or [])
-    value = F.col(column)
-    if not bounds or bounds[0] is None:
-        return df.filter(F.lit(False))
+    probs = {name: p for name, p in (("low", low), ("high", high)) if p is not None}
+    if not probs:
+        return df
+    bounds = quantiles(df, column, list(probs.values()), names=list(probs)).select(F.struct(*probs)).scalar()
     if low is not None:
-        df = df.filter(value >= bounds[0])
+        df = df.filter(F.col(column) >= bounds["low"])
     if high is not None:
-        df = df.filter(value <= bounds[-1])
+        df = df.filter(F.col(column) <= bounds["high"])
     return df
 
 

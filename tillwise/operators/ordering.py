@@ -1,24 +1,69 @@
 """Exact order statistics and global row numbers that never sort everything in one task.
 
-Both operators split a global (or per-key) ordering into buckets that respect
-the order, count the buckets, and only then rank rows inside a bucket. The
-window that runs over bucket counts sees one row per bucket; row-level windows
-are partitioned by bucket, so a key that owns a third of the table is spread.
+Quantiles are selected by histograms: a scan counts rows per bucket of values, later ones re-read
+only the buckets that hold a wanted rank. Row numbers split a global ordering into blocks that
+respect the order and rank rows inside a block. A window over counts sees one row per bucket;
+row-level windows are partitioned by bucket, so a key that owns a third of the table is spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Resolution of the logarithmic value buckets: neighbours differ by 1/4096.
-_BUCKETS_PER_LOG = 4096.0
+from tillwise.session import staged
 
+# Resolution of the logarithmic first buckets, per key and over everything; splits of a full bucket, rows that make one full.
+_PER_LOG, _PER_LOG_OVERALL = 64.0, 4096.0
+_SPLITS = 1024
+FULL = 1 << 20
 
-def _value_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a double; depends on the value alone."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_BUCKETS_PER_LOG)).cast("long")
+
+def _wanted(probs: Sequence[float]) -> Column:
+    """Ranks on both sides of each quantile's place ``h`` among n values."""
+    ends = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        ends += [F.struct(F.lit(i).alias("i"), h.alias("h"), end(h).cast("long").alias("rank")) for end in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*ends))
+
+
+def _holding(counts: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Buckets (lo, hi, c rows) that hold a wanted rank, with these ranks and the number of values before the bucket.
+
+    Within ``by`` the buckets are ordered by value; ``start`` values lie before the first.
+    """
+    upto = W.partitionBy(*by).orderBy("lo").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counts.withColumn("before", F.col("start") + F.sum("c").over(upto) - F.col("c")).withColumn("ranks", _wanted(probs))
+    inside = F.filter("ranks", lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c")))
+    return placed.withColumn("ranks", inside).filter(F.size("ranks") > 0)
+
+
+def _first_hits(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """The first buckets that hold a wanted rank: keys, lo, hi, c, before and n, the number of all values."""
+    value = F.col("v")
+    bucket = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_PER_LOG if keys else _PER_LOG_OVERALL)).cast("long")
+    counts = rows.groupBy(*keys, bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    total = F.sum("c").over(W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    counts = counts.withColumns({"n": total, "start": F.lit(0).cast("long")})
+    return _holding(counts, keys, probs).select(*keys, "lo", "hi", "c", "before", "n")
+
+
+def _rows_in(rows: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, v) that lie in one of the buckets, with the bucket's base, top, start and n.
+
+    With keys the buckets are a written table: its size is known when the rows meet it, so it is broadcast while small
+    and shuffled beyond. Without keys there are at most two per quantile, which reach the scan as one scalar subquery.
+    """
+    inside = (F.col("v") >= F.col("base")) & (F.col("v") <= F.col("top"))
+    if not keys:
+        few = hits.agg(F.collect_list(F.struct("lo", "hi", "before", "n"))).scalar()
+        return rows.select("v", F.inline(few).alias("base", "top", "start", "n")).filter(inside)
+    own = hits.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("lo").alias("base"), F.col("hi").alias("top"), F.col("before").alias("start"), "n")
+    match = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, inside)
+    return rows.join(own, match).select(*keys, "v", "base", "top", "start", "n")
 
 
 def quantiles(
@@ -30,78 +75,29 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per key (one row without keys); NULL and NaN are left out.
 
-    Equal values are counted first (with map-side combine), so work after the
-    scan grows with distinct values. Ranks are located through bucket counts
-    and only the buckets holding a wanted rank are ordered.
+    The first scan counts rows per key and bucket of values, combined before the shuffle. Only rows of buckets that hold a
+    wanted rank are read again, and counted value by value. With keys, the buckets found are written by a job that runs
+    while the plan is built, and one of more than ``FULL`` rows is first cut in parts, as often as need be. Without keys
+    nothing runs early, and finer buckets are read in two scans.
     """
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     value = F.col(value) if isinstance(value, str) else value
-    counted = (
-        df.select(*keys, value.cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _value_bucket(F.col("_v")))
-    )
-    over_keys = W.partitionBy(*keys)
-    upto = over_keys.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = over_keys.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    buckets = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"))
-        .withColumn("_before", F.sum("_bc").over(upto) - F.col("_bc"))
-        .withColumn("_n", F.sum("_bc").over(everything))
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(p)) * (F.col("_n") - 1)).alias("h"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    hits = (
-        buckets.withColumn("_w", F.explode(wanted))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_w.h"), F.ceil("_w.h")))))
-        .filter(
-            (F.col("_rank") >= F.col("_before"))
-            & (F.col("_rank") < F.col("_before") + F.col("_bc"))
-        )
-        .select(*keys, "_b", "_before", F.col("_w.i").alias("_i"), F.col("_w.h").alias("_h"), "_rank")
-    )
-    # Only the few buckets holding a wanted rank are ordered, one sort per bucket and rank.
-    inside = (
-        W.partitionBy(*keys, "_b", "_i", "_rank").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    match = F.col("_b") == F.col("_hb")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    wanted_buckets = hits.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_hb"),
-        "_i",
-        "_h",
-        "_rank",
-        (F.col("_rank") - F.col("_before")).alias("_at"),
-    )
-    points = (
-        counted.join(wanted_buckets, match)
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
-    )
-    interpolated = (
-        points.groupBy(*keys, "_i")
-        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_h").alias("_h"))
-        .withColumn(
-            "_q",
-            F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h")),
-        )
-    )
-    return interpolated.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
-    )
+    rows = df.select(*keys, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    hits = _first_hits(rows, keys, probs)
+    if keys:
+        hits = staged(hits, "buckets")
+        while not hits.filter((F.col("lo") < F.col("hi")) & (F.col("c") > FULL)).isEmpty():
+            share = F.coalesce(F.try_divide(F.col("v") - F.col("base"), F.col("top") - F.col("base")), F.lit(0.0))
+            part = F.least(F.floor(share * _SPLITS), F.lit(_SPLITS - 1)).alias("part")
+            counts = _rows_in(rows, hits, keys).groupBy(*keys, "base", "start", "n", part)
+            counts = counts.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            hits = staged(_holding(counts, [*keys, "base"], probs).select(*keys, "lo", "hi", "c", "before", "n"), "buckets")
+    counts = _rows_in(rows, hits, keys).groupBy(*keys, "base", "start", "n", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("lo", F.col("v"))
+    points = _holding(counts, [*keys, "base"], probs).select(*keys, "v", F.inline("ranks"))
+    ends = points.groupBy(*keys, "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("h").alias("h"))
+    between = ends.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h")))
+    return between.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
 def medians(df: DataFrame, values: dict[str, Column | str], keys: Sequence[str] = ()) -> DataFrame:
@@ -114,25 +110,10 @@ def medians(df: DataFrame, values: dict[str, Column | str], keys: Sequence[str]
             row = df.sparkSession.range(1) if result is None else result
             result = row.withColumn(name, one)
         return result.drop("id")
-    stacked = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("m"),
-                        (F.col(v) if isinstance(v, str) else v).cast("double").alias("v"),
-                    )
-                    for name, v in values.items()
-                ]
-            )
-        ).alias("_s"),
-    ).select(*keys, F.col("_s.m").alias("_m"), F.col("_s.v").alias("_value"))
-    long = quantiles(stacked, "_value", [0.5], keys=[*keys, "_m"], names=["_q"])
-    return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_m") == name, F.col("_q"))).alias(name) for name in values]
-    )
-
+    entries = [F.struct(F.lit(name).alias("m"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("v")) for name, v in values.items()]
+    stacked = df.select(*keys, F.inline(F.array(*entries)))
+    long = quantiles(stacked, "v", [0.5], keys=[*keys, "m"], names=["q"])
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("m") == name, F.col("q"))).alias(name) for name in values])
 
 def mode_value(df: DataFrame, column: str) -> Column:
     """Most frequent value (smallest on ties) as a scalar subquery."""

@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
-from tillwise.operators.ordering import medians
+from tillwise.operators.ordering import medians, quantiles
 from tillwise.session import cut_lineage
 
 ITEM = "CategoryName"
@@ -88,19 +88,33 @@ def fit_promo(df: DataFrame, ridge: float = 0.6, min_rows: int = 5) -> DataFrame
     return sums.groupBy(ITEM).applyInPandas(fit, f"{ITEM} string, event string, intercept double, slope double")
 
 
+def price_medians(df: DataFrame) -> DataFrame:
+    """Per category and event: adjusted_price, and the category's unit_cost, orig_price, orig_qty and orig_profit.
+
+    All medians are selected together, so the facts are read twice however many there are.
+    """
+    def entry(name: str, value: Column, per_event: bool = False, when: Column | None = None) -> Column:
+        value = value.cast("double") if when is None else F.when(when, value.cast("double"))
+        event = F.col("event") if per_event else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("m"), event.alias("e"), value.alias("v"))
+
+    plain = F.col("event") == BASE_EVENT
+    base = {"orig_price": "ProductPrice", "orig_qty": "OrderQuantity", "orig_profit": "profit"}
+    entries = [entry("adjusted_price", F.col("ProductPrice"), True, F.col("event").isNotNull()), entry("unit_cost", unit_cost())]
+    entries += [entry(n, F.col(c), when=plain) for n, c in base.items()]
+    long = quantiles(df.select(ITEM, F.inline(F.array(*entries))), "v", [0.5], [ITEM, "m", "e"], ["q"])
+    whole = [F.max(F.when(F.col("m") == n, F.col("q"))).alias(n) for n in ("unit_cost", *base)]
+    by_event = F.collect_list(F.when(F.col("m") == "adjusted_price", F.struct(F.col("e").alias("event"), F.col("q").alias("adjusted_price"))))
+    return long.groupBy(ITEM).agg(*whole, by_event.alias("events")).select(ITEM, "unit_cost", *base, F.inline("events"))
+
+
 def performance_table(df: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected quantity, revenue and profit per category and event next to the baseline.
 
     ``expected`` is (category, event, intercept, slope). No Promo sorts first.
     """
     q = F.col("intercept") + F.col("slope") * F.col("adjusted_price")
-    rows = (
-        event_prices(df)
-        .join(expected, [ITEM, "event"])
-        .join(unit_costs(df), ITEM)
-        .join(baseline(df), ITEM, "left")
-        .withColumn("exp_qty", q)
-    )
+    rows = price_medians(df).filter(F.col("unit_cost").isNotNull()).join(expected, [ITEM, "event"]).withColumn("exp_qty", q)
     return rows.select(
         ITEM, "orig_price", "orig_qty", "orig_profit", "adjusted_price", "exp_qty",
         (F.col("adjusted_price") * F.col("exp_qty")).alias("exp_revenue"),
