@@ -1,6 +1,7 @@
 """Properties and brute-force checks of operators without a SQL oracle."""
 
 import datetime as dt
+import itertools
 import math
 from collections import Counter
 
@@ -218,10 +219,44 @@ def test_roi_is_ordered_exactly_and_rounded_half_even(spark):
     assert [r.channel for r in rows] == ["b", "a", "c"] and [r.roi for r in rows] == [1.0, 1.0, 0.12]
 
 
-def test_rules_refuse_very_large_itemsets(spark):
-    sets = spark.createDataFrame([([f"i{k:02d}" for k in range(21)], 5, 0.5)], "items array<string>, freq long, support double")
-    with pytest.raises(Exception, match="at most 20 items"):
-        basket.rules(sets).collect()
+def plain_rules(supports, min_lift, min_confidence):
+    out = {}
+    for items, s in supports.items():
+        for mask in range(1, 2 ** len(items) - 1):
+            left = tuple(x for i, x in enumerate(items) if mask >> i & 1)
+            right = tuple(x for x in items if x not in left)
+            confidence = s / supports[left]
+            if confidence >= min_confidence and confidence / supports[right] >= min_lift:
+                out[left, right] = (round(confidence, 9), round(confidence / supports[right], 9))
+    return out
+
+
+@pytest.mark.parametrize("min_lift,min_confidence", [(0.0, 0.0), (1.05, 0.6), (0.0, 0.95)])
+def test_rules_match_all_splits(spark, min_lift, min_confidence):
+    rng = np.random.default_rng(8)
+    orders = [frozenset(x for x in "abcdefg" if rng.random() < 0.55) | (frozenset("xy") if rng.random() < 0.3 else frozenset()) for _ in range(300)]
+    names = sorted({x for o in orders for x in o})
+    supports = {}
+    for n in range(1, len(names) + 1):
+        for items in itertools.combinations(names, n):
+            share = sum(o.issuperset(items) for o in orders) / len(orders)
+            if share >= 0.08:
+                supports[items] = share
+    sets = spark.createDataFrame([(list(reversed(k)), v) for k, v in supports.items()], "items array<string>, support double")
+    got = {(tuple(r.antecedents), tuple(r.consequents)): (round(r.confidence, 9), round(r.lift, 9)) for r in basket.rules(sets, min_lift, min_confidence).collect()}
+    assert got == plain_rules(supports, min_lift, min_confidence)
+    assert len(got) > 20 and max(map(len, supports)) >= 4
+
+
+def test_rules_of_a_set_of_25_items(spark):
+    """All but two items make the two others likely; consequents that are weak are never grown."""
+    items = [f"i{k:02d}" for k in range(25)]
+    rest = lambda *gone: [x for x in items if x not in gone]
+    rows = [(items, 0.3), (rest("i00", "i01"), 0.35)]
+    rows += [(rest(x), 0.31 if x in ("i00", "i01") else 0.9) for x in items] + [([x], 0.95) for x in items] + [(["i00", "i01"], 0.5)]
+    sets = spark.createDataFrame(rows, "items array<string>, support double")
+    got = basket.rules(sets, 0.0, 0.8).filter(F.size("antecedents") + F.size("consequents") == 25).collect()
+    assert {tuple(r.consequents): round(r.confidence, 4) for r in got} == {("i00",): 0.9677, ("i01",): 0.9677, ("i00", "i01"): 0.8571}
 
 
 def test_channel_plan_weights(spark):

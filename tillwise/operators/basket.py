@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
-from tillwise.session import cut_lineage
-
-# Largest itemset whose splits are listed: about a million rows from one row.
-MAX_RULE_ITEMS = 20
+from tillwise.session import cut_lineage, staged
 
 
 def baskets(lines: DataFrame, order: str = "OrderNumber", item: str = "SubcategoryName", min_support: float | None = None) -> DataFrame:
@@ -62,41 +60,37 @@ def pair_matrix(itemsets: DataFrame) -> DataFrame:
     )
 
 
-def rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
-    """All antecedent/consequent splits of every itemset with their lift.
+def rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float = 0.0) -> DataFrame:
+    """Antecedent/consequent splits of every itemset that reach both bounds.
 
-    A split is a bit mask over the itemset; both sides are looked up in the
-    itemset table, which holds every subset of a frequent set. An itemset of n items
-    has 2^n - 2 splits; more than ``MAX_RULE_ITEMS`` items raise an error.
+    Consequents grow by one item per round. Moving an item from the antecedent to the consequent can only lower the
+    confidence, so a consequent is formed from two of its parts that reached ``min_confidence``, and a long itemset costs
+    what its strong rules do. A row is one consequent of one itemset: no task holds all splits of a set. Supports are
+    looked up in the itemset table, which holds every subset of a frequent set.
     """
-    too_many = F.raise_error(F.lit(f"rules need itemsets of at most {MAX_RULE_ITEMS} items; raise the support"))
-    items = F.when(F.size("items") > MAX_RULE_ITEMS, too_many.cast("array<string>")).otherwise(F.col("items"))
-    sized = itemsets.filter(F.size("items") >= 2).withColumn("items", items)
-    splits = sized.select(
-        "items",
-        F.col("support").alias("support"),
-        F.explode(
-            F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("items")).cast("long") - 2)
-        ).alias("mask"),
-    )
-
-    def side(bit: int) -> Column:
-        return F.filter(
-            "items",
-            lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)), F.lit(2)) == bit,
-        )
-
-    splits = splits.withColumn("antecedents", side(1)).withColumn("consequents", side(0))
-    known = itemsets.select("items", "support")
-    left = known.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
-    right = known.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
-    scored = (
-        splits.join(left, "antecedents")
-        .join(right, "consequents")
-        .withColumn("confidence", ratio(F.col("support"), F.col("antecedent_support")))
-        .withColumn("lift", ratio(F.col("confidence"), F.col("consequent_support")))
-    )
-    return scored.filter(F.col("lift") >= min_lift).select(
+    known = staged(itemsets.select(F.array_sort("items").alias("items"), "support").withColumn("id", F.monotonically_increasing_id()), "itemsets")
+    antecedent = known.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        split = candidates.withColumn("antecedents", F.array_except("items", "consequents")).join(antecedent, "antecedents")
+        split = split.withColumn("confidence", ratio(F.col("support"), F.col("antecedent_support")))
+        return staged(split.filter(F.col("confidence") >= min_confidence), "rules")
+
+    sized = known.filter(F.size("items") >= 2)
+    level = scored(sized.select("id", "items", "support", F.explode("items").alias("last")).withColumn("consequents", F.array("last")))
+    found, size = [level], 1
+    while not level.filter(F.size("items") > size + 1).isEmpty():
+        # Two consequents that differ in their last item only; items are sorted, so each union arises once.
+        grow = level.filter(F.size("items") > size + 1).withColumn("head", F.slice("consequents", 1, size - 1))
+        other = grow.select("id", "head", F.col("last").alias("next"))
+        pairs = grow.select("id", "items", "support", "head", "consequents", "last").join(other, ["id", "head"]).filter("last < next")
+        level = scored(pairs.select("id", "items", "support", F.col("next").alias("last"), F.concat("consequents", F.array("next")).alias("consequents")))
+        found.append(level)
+        size += 1
+    consequent = known.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
+    every = reduce(DataFrame.unionByName, found).join(consequent, "consequents")
+    every = every.withColumn("lift", ratio(F.col("confidence"), F.col("consequent_support")))
+    return every.filter(F.col("lift") >= min_lift).select(
         "antecedents", "consequents", "antecedent_support", "consequent_support", "support", "confidence", "lift"
     )
 

@@ -278,7 +278,7 @@ def _(t: Tables):
 
 @query("association_rules", "SELECT ant, con, round(sa, 8) AS sa, round(sc, 8) AS sc, round(s, 8) AS s, round(confidence, 8) AS confidence, round(lift, 8) AS lift FROM rl WHERE lift >= 1")
 def _(t: Tables):
-    df = basket.rules(cut_lineage(item_sets(t)))
+    df = basket.rules(item_sets(t))
     return df.select(
         F.array_join("antecedents", ",").alias("ant"), F.array_join("consequents", ",").alias("con"), F.round("antecedent_support", 8).alias("sa"),
         F.round("consequent_support", 8).alias("sc"), F.round("support", 8).alias("s"), F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"),
@@ -291,7 +291,7 @@ def _(t: Tables):
          SELECT *, row_number() OVER (PARTITION BY itemset ORDER BY round(lift, 9) DESC, round(confidence, 9) DESC, ant) AS r FROM rl WHERE confidence > 0.05 AND lift > 0.9) x WHERE r = 1""",
 )
 def _(t: Tables):
-    df = basket.significant_rules(basket.rules(cut_lineage(item_sets(t)), 0.0), 0.05, 0.9, digits=None)
+    df = basket.significant_rules(basket.rules(item_sets(t), 0.0, 0.05), 0.05, 0.9, digits=None)
     return df.select("antecedents", "consequents", F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"))
 
 
