@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import dates
 from tillwise.functions.numeric import lgamma
 from tillwise.operators import (
-    basket, clean, customer, encoding, evaluate, forecast, inventory, marketing, ordering, panel as panels, pricing, profile, regress, routing,
+    basket, clean, customer, encoding, evaluate, forecast, impute, inventory, marketing, ordering, panel as panels, pricing, profile, regress, routing,
 )
 from tillwise.plans import demand, value
 
@@ -344,6 +344,57 @@ def test_imputation_keeps_observed_cells(spark):
         assert out[k].c == pytest.approx(3 * a - 2 * b + 1 if c is None else c, abs=1e-3)
 
 
+def plain_chained(rows, rounds, tol, ridge=1e-6):
+    """Row by row: fill with means, then regress each incomplete column on all others, in turn."""
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+    gap = np.isnan(x)
+    top = np.nanmax(np.abs(x))
+    x = np.where(gap, np.nanmean(x, axis=0), x)
+    for _ in range(rounds):
+        before = x.copy()
+        for c in sorted((c for c in range(x.shape[1]) if gap[:, c].any()), key=lambda c: gap[:, c].sum()):
+            design = np.column_stack([np.ones(len(x)), np.delete(x, c, axis=1)])
+            seen = design[~gap[:, c]]
+            gram = seen.T @ seen
+            scale = np.sqrt(np.diag(gram))
+            beta = np.linalg.solve(gram / np.outer(scale, scale) + ridge * np.eye(len(gram)), seen.T @ x[~gap[:, c], c] / scale) / scale
+            x[gap[:, c], c] = design[gap[:, c]] @ beta
+        if np.abs(x - before).max() < tol * top:
+            break
+    return x
+
+
+@pytest.mark.parametrize("tol", [1e-3, 1e-9])
+def test_imputation_matches_row_by_row_rounds(spark, tol):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 4)) + 0.3 * rng.normal(size=(400, 4)) + [5, 0, -3, 100]
+    lost = rng.random((400, 4)) < [0.0, 0.3, 0.1, 0.2]
+    rows = [[None if gone else float(v) for v, gone in zip(r, g)] for r, g in zip(base, lost)]
+    df = spark.createDataFrame([(i, *r, "x", i) for i, r in enumerate(rows)], "id int, a double, b double, c double, d double, _pattern string, _fill int").repartition(5)
+    model = impute.fit_imputation(df, ["a", "b", "c", "d"], rounds=12, tol=tol)
+    assert model.targets == ["c", "d", "b"] and len(model.fills) == 7
+    filled = model.apply(df)
+    assert filled.columns == df.columns
+    got = {r.id: [r.a, r.b, r.c, r.d] for r in filled.collect()}
+    expected = plain_chained(rows, 12, tol)
+    assert np.allclose([got[i] for i in range(400)], expected, rtol=1e-7, atol=1e-7)
+    facts = {r.target: r for r in impute.equation_check(df, filled, model, ["id"]).collect()}
+    assert {t: r.filled for t, r in facts.items()} == {c: int(lost[:, "abcd".index(c)].sum()) for c in "bcd"}
+    assert all(r.changed == 0 and r.misfit < max(tol, 1e-6) * 2 and r.residual < 1e-2 for r in facts.values())
+
+
+def test_imputation_of_odd_tables(spark):
+    schema = "id int, a double, b double, c double"
+    df = spark.createDataFrame([(1, 1.0, None, None), (2, 2.0, 5.0, None), (3, float("nan"), 7.0, None), (4, None, None, None)], schema)
+    rows = impute.fit_imputation(df, ["a", "b", "c"]).apply(df).collect()
+    assert all(None not in r and r.c == 0 and not any(math.isnan(v) for v in r[1:]) for r in rows)
+    whole = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], schema)
+    model = impute.fit_imputation(whole, ["a", "b", "c"])
+    assert model.targets == [] and model.converged and model.apply(whole).collect() == whole.collect()
+    assert impute.equation_check(whole, whole, model, ["id"]).collect() == []
+    assert impute.fit_imputation(whole.limit(0), ["a", "b", "c"]).apply(whole.limit(0)).collect() == []
+
+
 def test_segments_carry_meaning(spark):
     groups = {0: (1, 900, 50), 1: (5, 700, 900), 2: (2, 100, 800), 3: (5, 700, 60)}
     rows = [(s * 100 + j, s, f + j % 2, r + j, float(m + j)) for s, (f, r, m) in groups.items() for j in range(30)]

@@ -16,6 +16,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tillwise.functions.numeric import lgamma, ratio
+from tillwise.operators.impute import fit_imputation
 from tillwise.operators.ordering import medians
 from tillwise.session import cut_lineage
 
@@ -459,53 +460,11 @@ IMPUTE_COLUMNS = (
 
 
 def impute_chained(df: DataFrame, columns: Sequence[str] = IMPUTE_COLUMNS, rounds: int = 10, tol: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
-    """Fill gaps by regressing each incomplete column on the others, in rounds.
-
-    Gaps start at the column mean. One aggregate per column and round gives the
-    cross products (the driver sees k x k numbers, never rows); each round ends
-    in a checkpoint. Observed cells never change. Stops when the largest change
-    is below ``tol`` times the largest observed value.
-    """
-    names = list(columns)
-    stats = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in names],
-        *[F.avg(c).alias(f"m_{c}") for c in names],
-        F.max(F.greatest(*[F.abs(F.col(c)).cast("double") for c in names])).alias("top"),
-    ).first()
-    gaps = sorted([c for c in names if stats[f"n_{c}"] > 0], key=lambda c: stats[f"n_{c}"])
-    work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in gaps})
-    work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"] or 0.0)) for c in names})
-    if not gaps:
-        return work
-    work = cut_lineage(work)
-    limit = tol * (stats["top"] or 1.0)
-    for _ in range(rounds):
-        before = {c: f"_old_{c}" for c in gaps}
-        work = work.withColumns({old: F.col(c) for c, old in before.items()})
-        for target in gaps:
-            x = [F.lit(1.0)] + [F.col(c) for c in names if c != target]
-            k = len(x)
-            seen = work.filter(~F.col(f"_gap_{target}"))
-            row = seen.agg(
-                F.array(*[F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)]).alias("xtx"),
-                F.array(*[F.sum(xi * F.col(target)) for xi in x]).alias("xty"),
-            ).first()
-            gram = np.zeros((k, k))
-            gram[np.triu_indices(k)] = row["xtx"]
-            gram = gram + np.triu(gram, 1).T
-            scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-            lhs = gram / np.outer(scale, scale) + ridge * np.eye(k)
-            beta = np.linalg.solve(lhs, np.array(row["xty"]) / scale) / scale
-            guess = F.lit(0.0)
-            for weight, xi in zip(beta, x):
-                guess = guess + F.lit(float(weight)) * xi
-            work = work.withColumn(target, F.when(F.col(f"_gap_{target}"), guess).otherwise(F.col(target)))
-        work = cut_lineage(work)
-        change = work.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(o)) for c, o in before.items()], F.lit(0.0)))).first()[0]
-        work = work.drop(*before.values())
-        if change is None or change < limit:
-            break
-    return work.drop(*[f"_gap_{c}" for c in gaps])
+    """Fill gaps by regressing each incomplete column on the others, in rounds; see ``impute``. Observed cells never change."""
+    model = fit_imputation(df, columns, rounds, tol, ridge)
+    if not model.converged:
+        warnings.warn(f"imputation still changed by {model.change:g} after {model.rounds} rounds", stacklevel=2)
+    return model.apply(df)
 
 
 def financial_columns(df: DataFrame) -> DataFrame:

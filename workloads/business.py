@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.operators import basket, clean, customer, joins, marketing, pricing, regress
+from tillwise.operators import basket, clean, customer, impute, joins, marketing, pricing, regress
 from tillwise.plans import value
 from tillwise.session import cut_lineage
 from workloads import forecasting  # noqa: F401  defines oracle fragments used below
@@ -455,6 +455,23 @@ def _(t: Tables):
     return customer.impute_chained(customer.combine(scored, groups["whales"]))
 
 
+_MODELLED = ("prob_alive", "pred_purchases_90d", "exp_avg_profit", "CLV_90d")
+
+
+@query(
+    "imputation_equations",
+    "SELECT target, (SELECT count(*) FROM flag WHERE hf OR hm) AS filled, 0 AS changed, 0.0 AS misfit, 0.0 AS residual, true AS converged FROM (VALUES "
+    + ", ".join(f"('{c}')" for c in _MODELLED) + ") AS x(target)",
+)
+def _(t: Tables):
+    groups = customer.outlier_groups(cut_lineage(summary(t)), MANY, RICH)
+    scored = customer.score(groups["core"], FREQ, SPEND)
+    people = cut_lineage(customer.combine(scored, groups["whales"]))
+    model = impute.fit_imputation(people, customer.IMPUTE_COLUMNS, rounds=2000, tol=1e-6)
+    facts = impute.equation_check(people, model.apply(people), model, [customer.ID])
+    return _rounded(_rounded(facts, ("misfit",), 2), ("residual",), 4).withColumn("converged", F.lit(model.converged))
+
+
 @query("customer_value_plan")
 def _(t: Tables):
     people = t.raw_customers.withColumn("BirthDate", F.try_to_date("BirthDate"))
