@@ -423,6 +423,23 @@ def test_demand_curve_and_promo_model(spark):
     assert low < 67.5 < high
 
 
+def test_expectile_levels_are_fitted_together(spark):
+    """All levels at once: ordered curves, zero equations, shares of weight on both sides; a few categories, one of them hot."""
+    rng = np.random.default_rng(3)
+    rows = [("Hot" if i % 10 else "Cold", float(10 + i % 40), float(100 - 2 * (i % 40) + rng.gamma(2, 10)), "No Promo") for i in range(3000)]
+    rows += [("One", 5.0, 7.0, "No Promo"), ("Null", None, 1.0, "No Promo"), (None, 1.0, 1.0, "No Promo"), ("Hot", 1.0, 1e6, "Sale")]
+    df = spark.createDataFrame(rows, "CategoryName string, ProductPrice double, OrderQuantity double, event string").repartition(4)
+    curves = pricing.fit_expectile_curves(df, (0.1, 0.5, 0.9)).cache()
+    assert curves.count() == 9 and all(r.converged and r.rounds < 100 for r in curves.collect())
+    facts = pricing.curve_equations(df, curves).collect()
+    assert all(r.residual < 1e-7 for r in facts) and {r["rows"] for r in facts if r.CategoryName == "Cold"} == {300}
+    at = {(r.CategoryName, r.level): r.y for r in curves.select("CategoryName", "level", pricing.demand_at(F.lit(25.0)).alias("y")).collect()}
+    assert at["Hot", 0.1] + 5 < at["Hot", 0.5] < at["Hot", 0.9] - 5
+    spoiled = curves.withColumn("coefficients", F.transform("coefficients", lambda x: x * 1.01))
+    assert all(r.residual > 1e-4 for r in pricing.curve_equations(df, spoiled).collect() if r.CategoryName != "One")
+    assert pricing.fit_expectile_curves(df.limit(0)).collect() == []
+
+
 def test_partial_autocorrelation_of_an_ar1(spark):
     acf = spark.createDataFrame([(k, 0.6**k) for k in range(6)], "lag int, acf double")
     got = [r.pacf for r in profile.partial_autocorrelation(acf, 4).orderBy("lag").collect()]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
 from tillwise.operators.ordering import medians, quantiles
-from tillwise.session import cut_lineage
+from tillwise.session import staged
 
 ITEM = "CategoryName"
 BASE_EVENT = "No Promo"
@@ -143,32 +143,57 @@ def _place(price: Column, lo: Column, hi: Column, pieces: int) -> tuple[Column,
     return piece, u - piece
 
 
-def fit_demand_curves(
-    df: DataFrame, expectile: float = 0.5, splines: int = 20, penalty: float = 0.6, rounds: int = 10,
-    event: str | None = BASE_EVENT,
-) -> DataFrame:
-    """Penalised cubic spline of quantity over price per category.
+LEVELS = (0.025, 0.5, 0.975)
+
+
+def _smoothing(splines: int, penalty: float) -> np.ndarray:
+    difference = np.diff(np.eye(splines), n=2, axis=0)
+    return penalty * difference.T @ difference + 1e-9 * np.eye(splines)
+
+
+def _placed(df: DataFrame, splines: int, event: str | None) -> DataFrame:
+    """Equal (category, price, quantity) rows merged, with their spline piece ``m``, basis weights, lo and hi.
 
-    Each row touches four neighbouring basis functions, so a category is
-    reduced to one row of 15 sums per spline piece before it is solved. Other
-    expectiles repeat the fit with asymmetric weights; the small coefficient
-    table is checkpointed between rounds.
+    The categories' price bounds come as one map: facts are neither joined nor shuffled on their few categories.
     """
-    pieces = splines - 3
     rows = df if event is None else df.filter(F.col("event") == event)
     rows = rows.select(
         ITEM, F.col("ProductPrice").cast("double").alias("p"), F.col("OrderQuantity").cast("double").alias("q")
     ).na.drop()
-    bounds = rows.groupBy(ITEM).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    # Equal (category, price, quantity) rows are merged once, before any join or round.
-    merged = rows.groupBy(ITEM, "p", "q").agg(F.count(F.lit(1)).cast("double").alias("c")).join(bounds, ITEM)
-    piece, t = _place(F.col("p"), F.col("lo"), F.col("hi"), pieces)
-    placed = merged.withColumn("m", piece).withColumn("t", t)
-    for i, w in enumerate(_cubic_weights(F.col("t"))):
-        placed = placed.withColumn(f"w{i}", w)
+    merged = staged(rows.groupBy(ITEM, "p", "q").agg(F.count(F.lit(1)).cast("double").alias("c")), "merged")
+    ends = merged.groupBy(ITEM).agg(F.struct(F.min("p").alias("lo"), F.max("p").alias("hi")).alias("ends"))
+    bounds = ends.agg(F.map_from_entries(F.collect_list(F.struct(ITEM, "ends")))).scalar()
+    placed = merged.withColumn("ends", F.try_element_at(bounds, F.col(ITEM))).select(ITEM, "p", "q", "c", "ends.lo", "ends.hi")
+    piece, t = _place(F.col("p"), F.col("lo"), F.col("hi"), splines - 3)
+    placed = placed.withColumn("m", piece).withColumn("t", t)
+    return placed.withColumns({f"w{i}": w for i, w in enumerate(_cubic_weights(F.col("t")))})
+
+
+def _weighted(placed: DataFrame, curves: DataFrame) -> DataFrame:
+    """Each row once per level, with the level's fit and its weight on the side of the fit it lies on."""
+    state = curves.groupBy(ITEM).agg(F.collect_list(F.struct("level", "coefficients")).alias("levels"))
+    by_item = state.agg(F.map_from_entries(F.collect_list(F.struct(ITEM, "levels")))).scalar()
+    rows = placed.withColumn("levels", F.try_element_at(by_item, F.col(ITEM))).select(*placed.columns, F.inline("levels"))
+    fitted = F.lit(0.0)
+    for i in range(4):
+        fitted = fitted + F.get("coefficients", F.col("m") + i) * F.col(f"w{i}")
+    side = F.when(F.col("q") > F.col("fitted"), F.col("level")).otherwise(1 - F.col("level")) * 2
+    return rows.withColumn("fitted", fitted).withColumn("weight", F.col("c") * side)
+
+
+def fit_expectile_curves(
+    df: DataFrame, levels: Sequence[float] = LEVELS, splines: int = 20, penalty: float = 0.6, rounds: int = 100,
+    tol: float = 1e-9, event: str | None = BASE_EVENT,
+) -> DataFrame:
+    """Penalised cubic splines of quantity over price: one per category and expectile level.
 
-    difference = np.diff(np.eye(splines), n=2, axis=0)
-    smooth = penalty * difference.T @ difference + 1e-9 * np.eye(splines)
+    Each row touches four neighbouring basis functions, so a category and level is reduced to one row of sums per spline
+    piece before it is solved. All levels share one state: a round weighs every row by the side of each level's curve
+    it lies on and solves all curves again, until none moves by more than ``tol`` of its size. Result: category, level,
+    coefficients, lo, hi, rounds, change (relative, of the last round) and converged.
+    """
+    placed = staged(_placed(df, splines, event), "placed")
+    smooth = _smoothing(splines, penalty)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = np.zeros((splines, splines)), np.zeros(splines)
@@ -179,26 +204,50 @@ def fit_demand_curves(
             a[m : m + 4, m : m + 4] += block + np.triu(block, 1).T
             b[m : m + 4] += row.xy
         beta = np.linalg.lstsq(a + smooth, b, rcond=None)[0]
-        return pd.DataFrame({ITEM: [pdf[ITEM].iloc[0]], "coefficients": [beta.tolist()]})
+        return pd.DataFrame({ITEM: [pdf[ITEM].iloc[0]], "level": [pdf["level"].iloc[0]], "coefficients": [beta.tolist()], "lo": [pdf["lo"].iloc[0]], "hi": [pdf["hi"].iloc[0]]})
 
     def solve(weighted: DataFrame) -> DataFrame:
         w = [F.col(f"w{i}") for i in range(4)]
-        sums = weighted.groupBy(ITEM, "m").agg(
-            F.array(*[F.sum(F.col("c") * w[i] * w[j]) for i in range(4) for j in range(i, 4)]).alias("xx"),
-            F.array(*[F.sum(F.col("c") * wi * F.col("q")) for wi in w]).alias("xy"),
+        sums = weighted.groupBy(ITEM, "level", "m", "lo", "hi").agg(
+            F.array(*[F.sum(F.col("weight") * w[i] * w[j]) for i in range(4) for j in range(i, 4)]).alias("xx"),
+            F.array(*[F.sum(F.col("weight") * wi * F.col("q")) for wi in w]).alias("xy"),
         )
-        return sums.groupBy(ITEM).applyInPandas(fit, f"{ITEM} string, coefficients array<double>")
-
-    curves = solve(placed)
-    if expectile != 0.5:
-        for _ in range(rounds):
-            curves = cut_lineage(curves)
-            fitted = F.lit(0.0)
-            for i in range(4):
-                fitted = fitted + F.get("coefficients", F.col("m") + i) * F.col(f"w{i}")
-            side = F.when(F.col("q") > fitted, F.lit(2 * expectile)).otherwise(F.lit(2 * (1 - expectile)))
-            curves = solve(placed.join(curves, ITEM).withColumn("c", F.col("c") * side).drop("coefficients"))
-    return curves.join(bounds, ITEM)
+        return sums.groupBy(ITEM, "level").applyInPandas(fit, f"{ITEM} string, level double, coefficients array<double>, lo double, hi double")
+
+    start = placed.withColumn("weight", F.col("c")).select("*", F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level"))
+    curves = staged(solve(start), "curves")
+    change, done = 0.0, 0
+    if any(v != 0.5 for v in levels):
+        for done in range(1, rounds + 1):
+            now = staged(solve(_weighted(placed, curves)), "curves")
+            old = curves.select(ITEM, "level", F.col("coefficients").alias("old"))
+            size = F.greatest(F.array_max(F.transform("coefficients", F.abs)), F.lit(1.0))
+            moved = F.array_max(F.zip_with("coefficients", "old", lambda x, y: F.abs(x - y))) / size
+            change = now.join(old, [ITEM, "level"]).agg(F.max(moved)).first()[0] or 0.0
+            curves = now
+            if change <= tol:
+                break
+    return curves.withColumns({"rounds": F.lit(done), "change": F.lit(float(change)), "converged": F.lit(change <= tol)})
+
+
+def curve_equations(df: DataFrame, curves: DataFrame, splines: int = 20, penalty: float = 0.6, event: str | None = BASE_EVENT) -> DataFrame:
+    """category, level, rows and residual: the largest penalised, side-weighted normal equation of the curve, as a share
+    of the curve's weighted quantities. Zero if and only if the curve is the expectile."""
+    weighted = _weighted(_placed(df, splines, event), curves.select(ITEM, "level", "coefficients"))
+    parts = [F.struct((F.col("m") + i).alias("j"), (F.col("weight") * F.col(f"w{i}") * (F.col("q") - F.col("fitted"))).alias("g")) for i in range(4)]
+    sums = weighted.select(ITEM, "level", F.inline(F.array(*parts))).groupBy(ITEM, "level", "j").agg(F.sum("g").alias("g"))
+    pull = F.aggregate(F.zip_with(F.get(F.lit(_smoothing(splines, penalty).tolist()), F.col("j")), F.col("coefficients"), lambda s, b: s * b), F.lit(0.0), lambda a, x: a + x)
+    worst = sums.join(curves.select(ITEM, "level", "coefficients"), [ITEM, "level"]).groupBy(ITEM, "level").agg(F.max(F.abs(F.col("g") - pull)).alias("worst"))
+    sizes = weighted.groupBy(ITEM, "level").agg(F.sum("c").cast("long").alias("rows"), F.sum(F.col("weight") * F.abs("q")).alias("size"))
+    return worst.join(sizes, [ITEM, "level"]).select(ITEM, "level", "rows", (F.col("worst") / F.greatest("size", F.lit(1.0))).alias("residual"))
+
+
+def fit_demand_curves(
+    df: DataFrame, expectile: float = 0.5, splines: int = 20, penalty: float = 0.6, rounds: int = 100,
+    event: str | None = BASE_EVENT,
+) -> DataFrame:
+    """One level of ``fit_expectile_curves``: category, coefficients, lo, hi."""
+    return fit_expectile_curves(df, [expectile], splines, penalty, rounds, event=event).select(ITEM, "coefficients", "lo", "hi")
 
 
 def demand_at(price: Column, splines: int = 20) -> Column:

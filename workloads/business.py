@@ -295,6 +295,16 @@ def _(t: Tables):
     return df.select("antecedents", "consequents", F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"))
 
 
+@query(
+    "basket_plan",
+    """SELECT replace(ant, ',', ', ') AS antecedents, replace(con, ',', ', ') AS consequents, round_even(sa, 2) AS antecedent_support, round_even(sc, 2) AS consequent_support,
+              round_even(s, 2) AS support, round_even(confidence, 2) AS confidence, round_even(lift, 2) AS lift FROM (
+         SELECT *, row_number() OVER (PARTITION BY itemset ORDER BY round(lift, 9) DESC, round(confidence, 9) DESC, ant) AS r FROM rl WHERE confidence > 0.04 AND lift > 1) x WHERE r = 1""",
+)
+def _(t: Tables):
+    return value.basket_plan(t.sales, t.products, t.subcategories, min_confidence=0.04)["significant"]
+
+
 # --- customers -------------------------------------------------------------
 
 
@@ -678,6 +688,34 @@ def _(t: Tables):
     return pricing.price_grid(t.price_events).join(curves, "CategoryName").select("CategoryName", "point", "ProductPrice", pricing.demand_at(F.col("ProductPrice")).alias("quantity"))
 
 
+@query(
+    "expectile_equations",
+    """SELECT CategoryName, level, count(*) AS rows, 0.0 AS residual, true AS converged FROM price_events, (VALUES (0.025), (0.5), (0.975)) AS l(level)
+       WHERE event = 'No Promo' AND ProductPrice IS NOT NULL AND OrderQuantity IS NOT NULL AND CategoryName IS NOT NULL GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    curves = cut_lineage(pricing.fit_expectile_curves(t.price_events))
+    facts = pricing.curve_equations(t.price_events, curves).join(curves.select("CategoryName", "level", "converged"), ["CategoryName", "level"])
+    return _rounded(facts, ("residual",), 6)
+
+
+PARTS["pline"] = """SELECT CategoryName, e[i] AS event, m[1][len(e) + 3] + m[i + 2][len(e) + 3] AS intercept, m[2][len(e) + 3] AS slope
+    FROM (SELECT CategoryName, e, m, unnest(range(1, len(e) + 1)) AS i FROM psolved JOIN plist USING (CategoryName)) x"""
+
+
+@query(
+    "performance_report",
+    """SELECT CategoryName, event, round(orig_price, 2) AS orig_price, orig_qty, round(adjusted_price, 2) AS adjusted_price, format('{:.4e}', q) AS exp_qty,
+              format('{:.4e}', adjusted_price * q) AS exp_revenue, format('{:.4e}', (adjusted_price - unit_cost) * q) AS exp_profit
+       FROM (SELECT e.*, intercept + slope * adjusted_price AS q FROM
+         (SELECT CategoryName, event, quantile_cont(ProductPrice, 0.5) AS adjusted_price FROM price_events GROUP BY 1, 2) e JOIN pline USING (CategoryName, event)) x
+       JOIN pbase USING (CategoryName) JOIN pcost USING (CategoryName)""",
+)
+def _(t: Tables):
+    df = value.price_plan(t.price_events)["performance"].drop("orig_profit")
+    return _digits(_rounded(df, ("orig_price", "adjusted_price"), 2), ("exp_qty", "exp_revenue", "exp_profit"))
+
+
 @query("demand_curve_upper")
 def _(t: Tables):
     return pricing.fit_demand_curves(t.price_events, 0.975)
