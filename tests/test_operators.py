@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.functions import dates
-from tillwise.functions.numeric import lgamma
+from tillwise.functions.numeric import digamma, lgamma, trigamma
 from tillwise.operators import (
-    basket, clean, customer, encoding, evaluate, forecast, impute, inventory, marketing, ordering, panel as panels, pricing, profile, regress, routing,
+    basket, clean, customer, encoding, evaluate, forecast, impute, inventory, lifetime, marketing, ordering, panel as panels, pricing, profile, regress, routing,
 )
 from tillwise.plans import demand, value
 
@@ -331,6 +331,65 @@ def test_purchase_models_improve_and_score(spark):
     assert scored[0] >= 0 and scored[1] <= 1 and scored[2] > 0 and scored[3] == 0
 
 
+def test_polygammas(spark):
+    zs = [1e-2, 0.3, 1.0, 2.5, 40.0, 900.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select(digamma(F.col("z")), trigamma(F.col("z"))).collect()
+    for z, (first, second) in zip(zs, rows):
+        h = 1e-4 * z
+        assert first == pytest.approx((math.lgamma(z + h) - math.lgamma(z - h)) / (2 * h), rel=1e-5, abs=1e-6)
+        exact = sum(1 / (z + k) ** 2 for k in range(4000)) + 1 / (z + 3999.5)
+        assert second == pytest.approx(exact, rel=1e-6)
+
+
+def plain_frequency_loss(rows, point, penalty):
+    r, alpha, a, b = point
+    g, total = math.lgamma, 0.0
+    for x, tx, t in rows:
+        alive, gone = -(r + x) * math.log(alpha + t), math.log(a) - math.log(b + max(x, 1) - 1) - (r + x) * math.log(alpha + tx)
+        tail = np.logaddexp(alive, gone) if x else alive
+        total += g(r + x) - g(r) + r * math.log(alpha) + g(a + b) + g(b + x) - g(b) - g(a + b + x) + tail
+    return -total / len(rows) + penalty * sum(v * v for v in point)
+
+
+def plain_spend_loss(rows, point, penalty):
+    p, q, v = point
+    g = math.lgamma
+    total = sum(g(p * x + q) - g(p * x) - g(q) + q * math.log(v) + (p * x - 1) * math.log(m) + p * x * math.log(x) - (p * x + q) * math.log(x * m + v) for x, m in rows)
+    return -total / len(rows) + penalty * sum(w * w for w in point)
+
+
+def test_likelihood_derivatives_and_optimum(spark):
+    """Gradient and Hessian columns against differences of a plain loss; the fit ends where the slope is zero."""
+    rng = np.random.default_rng(6)
+    rows = [(int(x), float(tx), float(tx + e)) for x, tx, e in zip(rng.poisson(1.5, 80), rng.uniform(0.5, 5, 80), rng.uniform(0.1, 5, 80))]
+    rows = [(x, tx if x else 0.0, t) for x, tx, t in rows] + [(3, 2.0, 2.0)]
+    spends = [(int(x), float(m)) for x, m in zip(rng.integers(1, 6, 60), rng.gamma(3, 4, 60))]
+    one = spark.createDataFrame([(float(x), tx, t, 1.0) for x, tx, t in rows], "x double, tx double, t double, weight double").cache()
+    two = spark.createDataFrame([(float(x), m, 1.0) for x, m in spends], "x double, m double, weight double").cache()
+    for table, terms, loss, data, point in (
+        (one, lifetime.frequency_terms, plain_frequency_loss, rows, [0.8, 3.0, 0.7, 2.2]),
+        (two, lifetime.spend_terms, plain_spend_loss, spends, [1.4, 2.3, 5.0]),
+    ):
+        at, x = lifetime.penalised(table, terms, 0.05), np.log(point)
+        value, gradient, hessian = at(x)
+        assert value == pytest.approx(loss(data, point, 0.05), rel=1e-10)
+        h = 1e-4
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i] += h
+            down[i] -= h
+            assert gradient[i] == pytest.approx((loss(data, np.exp(up), 0.05) - loss(data, np.exp(down), 0.05)) / (2 * h), rel=1e-5, abs=1e-6)
+            assert hessian[i] == pytest.approx((at(up)[1] - at(down)[1]) / (2 * h), rel=1e-4, abs=1e-5)
+        found, rounds, slope, converged = lifetime.newton(at, [0.0] * len(x), 50)
+        assert converged and slope < 1e-6 and rounds < 30
+        best = loss(data, np.exp(found), 0.05)
+        for _ in range(30):
+            assert loss(data, np.exp(found + 0.05 * rng.normal(size=len(x))), 0.05) > best
+    _, rounds, slope, converged = lifetime.newton(at, [0.0] * 3, 1)
+    assert not converged and rounds == 1
+    assert lifetime.newton(lifetime.penalised(two.limit(0), lifetime.spend_terms, 0.1), [0.0] * 3, 5)[3] is False
+
+
 def test_imputation_keeps_observed_cells(spark):
     rng = np.random.default_rng(2)
     rows = []

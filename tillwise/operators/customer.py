@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
@@ -15,8 +14,11 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tillwise.functions.numeric import lgamma, ratio
+from tillwise.functions.numeric import ratio
 from tillwise.operators.impute import fit_imputation
+from tillwise.operators.lifetime import (  # noqa: F401  part of this module's interface
+    FrequencyModel, SpendModel, fit_frequency_model, fit_spend_model, model_table,
+)
 from tillwise.operators.ordering import medians
 from tillwise.session import cut_lineage
 
@@ -168,152 +170,6 @@ def demographics(customers: DataFrame, at: str = "2017-08-01") -> DataFrame:
 
 # --- lifetime models -------------------------------------------------------
 
-@dataclass(frozen=True)
-class FrequencyModel:
-    """Beta-geometric / NBD purchase process (time unit: days)."""
-
-    r: float
-    alpha: float
-    a: float
-    b: float
-
-
-@dataclass(frozen=True)
-class SpendModel:
-    """Gamma-gamma spend per purchase."""
-
-    p: float
-    q: float
-    v: float
-
-
-def _newton(evaluate, start: Sequence[float], rounds: int = 15, tol: float = 1e-7) -> np.ndarray:
-    """Damped Newton search on a few log-parameters; warns when the rounds end before the gain does.
-
-    ``evaluate`` scores a list of points in one distributed pass; each round
-    needs one pass for the local quadratic model and one for the step lengths.
-    """
-    x = np.asarray(start, float)
-    n, h = len(x), 1e-3
-    eye = np.eye(n)
-    for _ in range(rounds):
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-        points = [x] + [x + s * h * eye[i] for i in range(n) for s in (1, -1)]
-        points += [x + s * h * (eye[i] + eye[j]) for i, j in pairs for s in (1, -1)]
-        f = evaluate(points)
-        f0, side = f[0], np.array(f[1 : 2 * n + 1]).reshape(n, 2)
-        grad = (side[:, 0] - side[:, 1]) / (2 * h)
-        hess = np.diag((side[:, 0] - 2 * f0 + side[:, 1]) / h**2)
-        cross = np.array(f[2 * n + 1 :]).reshape(-1, 2)
-        for (i, j), (up, down) in zip(pairs, cross):
-            mixed = (up + down - 2 * f0) / h**2
-            hess[i, j] = hess[j, i] = (mixed - hess[i, i] - hess[j, j]) / 2
-        vals, vecs = np.linalg.eigh(hess)
-        step = -vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-4))
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        lengths = [1.0, 0.5, 0.25, 0.1, 0.02]
-        scores = evaluate([x + t * step for t in lengths])
-        best = int(np.nanargmin(scores))
-        if not scores[best] < f0:
-            break
-        x = x + lengths[best] * step
-        if f0 - scores[best] < tol:
-            break
-    else:
-        warnings.warn(f"no convergence in {rounds} rounds, last gain {f0 - scores[best]:.3g}", stacklevel=3)
-    return x
-
-
-def _weighted_loss(table: DataFrame, names: Sequence[str], loss, penalty: float):
-    """Build an evaluator: mean weighted loss of many parameter points in one job."""
-
-    value = loss(*[F.col(f"_p.{n}") for n in names])
-    scored = (F.sum(value * F.col("weight")) / F.sum("weight")).alias("loss")
-
-    def evaluate(points: Sequence[np.ndarray]) -> list[float]:
-        params = [[float(v) for v in np.exp(p)] for p in points]
-        structs = [
-            f"named_struct('i', {i}, " + ", ".join(f"'{n}', {v!r}D" for n, v in zip(names, ps)) + ")"
-            for i, ps in enumerate(params)
-        ]
-        candidates = F.explode(F.expr(f"array({', '.join(structs)})"))
-        rows = table.withColumn("_p", candidates).groupBy(F.col("_p.i").alias("i")).agg(scored).collect()
-        by_point = {r["i"]: r["loss"] for r in rows}
-        return [
-            float(by_point[i]) + penalty * sum(v * v for v in ps) if by_point.get(i) is not None else math.inf
-            for i, ps in enumerate(params)
-        ]
-
-    return evaluate
-
-
-def fit_frequency_model(summary: DataFrame, penalty: float = 0.1, rounds: int = 15) -> FrequencyModel:
-    """Penalised maximum likelihood on distinct (frequency, recency, T) with counts.
-
-    The compressed table is bounded by the calendar, not by customers; time is
-    rescaled to at most 10 for conditioning and scaled back afterwards.
-    """
-    longest = summary.agg(F.max("T")).first()[0]
-    scale = 10.0 / longest
-    table = (
-        summary.groupBy("frequency", "recency", "T")
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        .select(
-            F.col("frequency").cast("double").alias("x"),
-            (F.col("recency") * scale).alias("tx"),
-            (F.col("T") * scale).alias("t"),
-            "weight",
-        )
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    x, tx, t = F.col("x"), F.col("tx"), F.col("t")
-
-    def loss(r: Column, alpha: Column, a: Column, b: Column) -> Column:
-        purchases = lgamma(r + x) - lgamma(r) + r * F.log(alpha)
-        dropout = lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)
-        alive = -(r + x) * F.log(alpha + t)
-        gone = F.log(a) - F.log(b + F.greatest(x, F.lit(1.0)) - 1) - (r + x) * F.log(alpha + tx)
-        top = F.greatest(alive, gone)
-        tail = F.when(x > 0, top + F.log(F.exp(alive - top) + F.exp(gone - top))).otherwise(alive)
-        return -(purchases + dropout + tail)
-
-    found = np.exp(_newton(_weighted_loss(table, ["r", "alpha", "a", "b"], loss, penalty), [0.0] * 4, rounds))
-    table.unpersist()
-    r, alpha, a, b = (float(v) for v in found)
-    return FrequencyModel(r, alpha / scale, a, b)
-
-
-def fit_spend_model(summary: DataFrame, penalty: float = 0.01, rounds: int = 15) -> SpendModel:
-    """Penalised maximum likelihood of spend on repeat buyers with positive value."""
-    table = (
-        summary.filter((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
-        .groupBy(F.col("frequency").cast("double").alias("x"), F.col("monetary_value").alias("m"))
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    x, m = F.col("x"), F.col("m")
-
-    def loss(p: Column, q: Column, v: Column) -> Column:
-        px = p * x
-        ll = (
-            lgamma(px + q) - lgamma(px) - lgamma(q) + q * F.log(v)
-            + (px - 1) * F.log(m) + px * F.log(x) - (px + q) * F.log(x * m + v)
-        )
-        return -ll
-
-    found = np.exp(_newton(_weighted_loss(table, ["p", "q", "v"], loss, penalty), [0.0] * 3, rounds))
-    table.unpersist()
-    return SpendModel(*(float(value) for value in found))
-
-
-def model_table(spark: SparkSession, frequency: FrequencyModel, spend: SpendModel, generation: int = 0) -> DataFrame:
-    """Both models as one parameter row, ready to be saved with its generation."""
-    row = (generation, *vars(frequency).values(), *vars(spend).values())
-    return spark.createDataFrame(
-        [row], "generation int, r double, alpha double, a double, b double, p double, q double, v double"
-    )
-
-
 def alive_probability(model: FrequencyModel) -> Column:
     """Chance that a customer is still active."""
     x, tx, t = F.col("frequency"), F.col("recency"), F.col("T")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.operators import basket, clean, customer, impute, joins, marketing, pricing, regress
+from tillwise.operators import basket, clean, customer, impute, joins, lifetime, marketing, pricing, regress
 from tillwise.plans import value
 from tillwise.session import cut_lineage
 from workloads import forecasting  # noqa: F401  defines oracle fragments used below
@@ -424,6 +424,19 @@ def _(t: Tables):
     return customer.model_table(t.spark, customer.fit_frequency_model(s), customer.fit_spend_model(s))
 
 
+@query(
+    "lifetime_equations",
+    """SELECT 'frequency' AS model, count(*) AS customers, 0.0 AS gradient, true AS converged FROM flag WHERE NOT hf AND NOT hm
+       UNION ALL SELECT 'spend', count(*), 0.0, true FROM flag WHERE NOT hf AND NOT hm AND monetary_value > 0""",
+)
+def _(t: Tables):
+    core = cut_lineage(customer.outlier_groups(summary(t), MANY, RICH)["core"])
+    frequency, spend = lifetime.fit_frequency_model(core), lifetime.fit_spend_model(core)
+    facts = lifetime.model_equations(core, frequency, spend)
+    ended = F.when(F.col("model") == "frequency", frequency.converged).otherwise(spend.converged)
+    return _rounded(facts, ("gradient",), 5).withColumn("converged", ended)
+
+
 PARTS["bought"] = """SELECT CustomerKey, d, (frequency + 3.8) / -0.4 * (1 - f * power((T + 95.0) / (T + 95.0 + d), frequency + 1.8))
       / (1 + 0.6 / (frequency + 3.2) * power((T + 95.0) / (recency + 95.0), frequency + 1.8)) AS b
     FROM (SELECT CustomerKey, frequency, recency, T, d, 1 + sum(exp(l)) AS f FROM (
