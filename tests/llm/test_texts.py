@@ -291,6 +291,34 @@ def test_mixing_of_documents(spark, sf_dir):
     assert np.mean(low) > np.mean(high)
 
 
+def test_omitted_domains_have_target_zero(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.mixing_rates(docs, labels, {"low": 0.3, "high": 0.7}).collect()
+    shares = {d: sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS}
+    total = sum(r["n_tokens"] for r in rows)
+    assert abs(shares["low"] / total - 0.3) < 0.02 and shares["toxic"] / total < 0.02
+
+
+def test_rates_meet_what_a_plain_gradient_meets(spark):
+    """Against plain projected gradient steps on the same misses. Targets outside of all posteriors are approached only."""
+    rng = np.random.default_rng(4)
+    for peak, targets in ((0.4, [0.2, 0.3, 0.5]), (1.0, [0.6, 0.3, 0.1]), (8.0, [0.9, 0.1, 0.0])):
+        p, tokens = rng.dirichlet([peak] * 3, 300), rng.integers(1, 200, 300)
+        members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "n_tokens long, posterior array<double>")
+        fit = mixing.fit_rates(members, targets)
+        rates = np.array([r[0] for r in members.select(fit.rate(F.col("posterior"))).collect()])
+        a, goal = (p * tokens[:, None]).T, np.array(targets) * tokens.sum()
+        plain, step = np.ones(300), 1.0 / np.linalg.norm(a, 2) ** 2
+        miss = lambda r: float(np.abs(a @ r - goal).max() / tokens.sum())
+        start = miss(plain)
+        for _ in range(20_000):
+            plain = np.maximum(0, plain - step * (a.T @ (a @ plain - goal)))
+        assert (rates >= 0).all() and abs(miss(rates) - fit.gap) < 1e-6
+        if fit.converged:
+            assert miss(rates) <= miss(plain) + 1e-4
+        assert fit.converged == (peak < 8) and miss(rates) < start
+
+
 def test_mixing_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (8, None, None), (None, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(odd_docs, labels).collect()

@@ -162,18 +162,23 @@ def members_of(docs: DataFrame, classifier: DomainClassifier, *columns: str) ->
     return docs.select(*columns, classifier.member(F.col("text")).alias("m")).select(*columns, "m.n_tokens", "m.posterior")
 
 
+def _domains(targets: Mapping[str, float]) -> tuple[str, ...]:
+    """The targets' domains, and those of the labels that they omit: a target of zero."""
+    return (*targets, *(d for d in DOMAINS if d not in targets))
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """One row per document: doc_id, source, n_tokens, p_<domain>, rate, copies, converged.
 
     ``rate`` is how often the document should be read; ``copies`` rounds it up or down by a hash of its id, so that the
     expectation holds and the choice repeats. Tokens are words at white space. Null and empty texts have no tokens, priors
-    as posteriors and a rate like others. Rows with null or repeated ids each give a row; ``source`` may be null; other columns
+    as posteriors and a rate like others. A labelled domain without a target has the target zero. Rows with null or repeated ids each give a row; ``source`` may be null; other columns
     are ignored; an empty table gives no rows.
     """
-    domains = tuple(targets)
+    domains = _domains(targets)
     classifier = fit_domains(docs, labels, domains)
     members = staged(members_of(docs, classifier, "doc_id", "source"), "members")
-    fit = fit_rates(members, [targets[d] for d in domains])
+    fit = fit_rates(members, [targets.get(d, 0.0) for d in domains])
     rate = members.withColumn("rate", fit.rate(F.col("posterior")))
     shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
     return rate.select("doc_id", "source", "n_tokens", *shares, "rate", copies(F.col("rate")).alias("copies"), F.lit(fit.converged).alias("converged"))
@@ -187,10 +192,10 @@ def copies(rate: Column) -> Column:
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """The documents, all columns of any name, each as often as its rate says (none, once or several times)."""
-    domains = tuple(targets)
+    domains = _domains(targets)
     classifier = fit_domains(docs, labels, domains)
     members = staged(members_of(docs, classifier), "members")
-    fit = fit_rates(members, [targets[d] for d in domains])
+    fit = fit_rates(members, [targets.get(d, 0.0) for d in domains])
     name = "copy"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
