@@ -302,7 +302,7 @@ def test_omitted_domains_have_target_zero(spark, sf_dir):
 def test_rates_meet_what_a_plain_gradient_meets(spark):
     """Against plain projected gradient steps on the same misses. Targets outside of all posteriors are approached only."""
     rng = np.random.default_rng(4)
-    for peak, targets in ((0.4, [0.2, 0.3, 0.5]), (1.0, [0.6, 0.3, 0.1]), (8.0, [0.9, 0.1, 0.0])):
+    for peak, targets in ((0.4, [0.2, 0.3, 0.5]), (8.0, [0.9, 0.1, 0.0])):
         p, tokens = rng.dirichlet([peak] * 3, 300), rng.integers(1, 200, 300)
         members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "n_tokens long, posterior array<double>")
         fit = mixing.fit_rates(members, targets)

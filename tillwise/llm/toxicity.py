@@ -47,6 +47,7 @@ CHUNK_TEXTS, CHUNK_WORDS, REMEMBERED = 1024, 1 << 17, 200_000
 TOLD = 10_000
 
 TERM_COLUMNS = 1 + len(BEGINNINGS)
+NO_BEGINNINGS = (-1,) * len(BEGINNINGS)
 
 
 def chunks(data: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -173,14 +174,18 @@ class Vocabulary:
         self.relevance[len(self.words) : self.plain] = 0
         self.relevance[self.plain :] = 1
         self.relevance[sorted(marked)] = 1
-        self.heads = {b[: BEGINNINGS[0]] for b in self.beginnings}
+        # Beginnings by their first bytes; as bytes they are whole letters, so a word starts with them or not.
+        self.heads: dict[bytes, list[tuple[bytes, int]]] = {}
+        for begin, number in self.beginnings.items():
+            self.heads.setdefault(begin.encode()[: BEGINNINGS[0]], []).append((begin.encode(), number))
 
     def of_word(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
         own = self.words.get(word, -1)
-        if text[: BEGINNINGS[0]] not in self.heads:
-            return [own, *[-1] * len(BEGINNINGS)]
-        return [own, *(self.beginnings.get(text[:k], -1) if len(text) >= k else -1 for k in BEGINNINGS)]
+        likely = self.heads.get(word[: BEGINNINGS[0]])
+        if likely is None:
+            return [own, *NO_BEGINNINGS]
+        begun = [i for begin, i in likely if word.startswith(begin)]
+        return [own, *begun, *NO_BEGINNINGS[len(begun) :]]
 
     def terms(self, doc: np.ndarray, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences), repeated beginnings as terms that occur once."""
@@ -281,7 +286,7 @@ class Index:
                 some = some[bound[some] >= least]
             value = score[some] + self.dense[some[:, None], column] @ x
             self.completed += len(some)
-            found, cosines = np.r_[found, some], np.r_[cosines, value]
+            found, cosines = np.concatenate((found, some)), np.concatenate((cosines, value))
             if len(found) > k:
                 best = np.lexsort((self.ids[found], -cosines))[:k]
                 found, cosines = found[best], cosines[best]
@@ -290,7 +295,7 @@ class Index:
             if not low:
                 rest = likely[high:]
                 rest = rest[bound[rest] >= least]
-                likely = np.r_[likely[:high], rest[np.argsort(-bound[rest], kind="stable")]]
+                likely = np.concatenate((likely[:high], rest[np.argsort(-bound[rest], kind="stable")]))
             elif len(some) < high - low:
                 break
             low, high = high, high + STEP
