@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillwise.functions import dates
 from tillwise.functions.numeric import ratio
-from tillwise.operators.ordering import quantiles
+from tillwise.operators.ordering import global_index, quantiles
+from tillwise.session import staged
 
 
 def schema_report(
@@ -189,18 +192,65 @@ def pct_change(df: DataFrame, keys: Sequence[str], order: str, value: str, name:
     return df.withColumn(name, ratio(F.col(value), before) - 1)
 
 
-def correlation_matrix(matrix: DataFrame, item: str, value: str, key: str = "month") -> DataFrame:
-    """Pearson correlation of every pair of the chosen few items over ``key``.
+def correlation_matrix(
+    matrix: DataFrame, item: str, value: str, key: str = "month", block: int = 256, chunk: int = 4096
+) -> DataFrame:
+    """Pearson correlation of every pair of items over the ``key`` values both have.
 
-    The input holds one row per (key, item) for a handful of items; each key's
-    values travel as one short array and the pairs are index pairs of it.
+    Values of the same (key, item) are added; rows with a NULL key, item or value take no part, and a pair without spread
+    has a NULL correlation. Items are numbered and cut into blocks, keys into chunks. A group of the grid holds two blocks
+    and one chunk, at most ``2 * block * chunk`` values, and sums their cross products; sums of the chunks are added. Values
+    are centred by item first, which leaves correlations as they are and keeps the sums accurate.
     """
-    rows = matrix.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(item, value))).alias("v"))
-    left = rows.select(key, "v", F.explode("v").alias("a"))
-    both = left.select(key, "a", F.explode("v").alias("b"))
-    return both.groupBy(
-        F.col(f"a.{item}").alias("item_a"), F.col(f"b.{item}").alias("item_b")
-    ).agg(F.corr(f"a.{value}", f"b.{value}").alias("correlation"))
+    cells = matrix.select(F.col(key).alias("_key"), F.col(item).alias("_item"), F.col(value).cast("double").alias("v"))
+    cells = cells.filter(F.col("_key").isNotNull() & F.col("_item").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    cells = staged(cells.groupBy("_key", "_item").agg(F.sum("v").alias("v")), "cells")
+    means = cells.groupBy("_item").agg(F.avg("v").alias("_mean"))
+    items = staged(global_index(means, F.pmod(F.xxhash64("_item"), F.lit(1024)), ["_item"], "i"), "items")
+    keys = global_index(cells.select("_key").distinct(), F.pmod(F.xxhash64("_key"), F.lit(1024)), ["_key"], "k")
+    placed = cells.join(items, "_item").join(keys, "_key").select(
+        F.floor(F.col("k") / chunk).alias("chunk"), F.floor(F.col("i") / block).alias("block"), (F.col("k") % chunk).cast("int").alias("k"),
+        (F.col("i") % block).cast("int").alias("i"), (F.col("v") - F.col("_mean")).alias("v"),
+    )
+    last = items.agg(F.floor(F.max("i") / block)).scalar()
+    # A cell goes to the groups of its block with every block; the smaller block of a group is p.
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    grid = other.select("chunk", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "k", "i", "v")
+
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def dense(cells: pd.DataFrame, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = int(cells["i"].max()) + 1
+        values, present = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+        at = np.searchsorted(rows, cells["k"].to_numpy()), cells["i"].to_numpy()
+        values[at], present[at] = cells["v"].to_numpy(), 1.0
+        return values, present
+
+    def products(group: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        a, b = (cells[cells["block"] == g] for g in group[1:])
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in ("a", "b", *names)})
+        rows = np.unique(cells["k"])
+        (x, m), (y, o) = dense(a, rows), dense(b, rows)
+        sums = {"n": m.T @ o, "x": x.T @ o, "y": m.T @ y, "xx": (x * x).T @ o, "yy": m.T @ (y * y), "xy": x.T @ y}
+        i, j = np.nonzero(sums["n"])
+        if group[1] == group[2]:
+            i, j = i[i <= j], j[i <= j]
+        ids = {"a": group[1] * block + i, "b": group[2] * block + j}
+        return pd.DataFrame({**ids, **{c: sums[c][i, j] for c in names}})
+
+    parts = grid.groupBy("chunk", "p", "q").applyInPandas(products, "a long, b long, " + ", ".join(f"{c} double" for c in names))
+    n, x, y, xx, yy, xy = (F.sum(c) for c in names)
+    # Sums of squares that cancel down to rounding are no spread.
+    spread_x, spread_y = xx - x * x / n, yy - y * y / n
+    real = (spread_x > xx * 1e-12) & (spread_y > yy * 1e-12)
+    share = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (xy - x * y / n) / F.sqrt(spread_x * spread_y)))
+    pairs = parts.groupBy("a", "b").agg(F.when(real, share).alias("correlation"))
+    both = pairs.select("correlation", F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))))
+    named_a = items.select(F.col("i").alias("a"), F.col("_item").alias("item_a"))
+    named_b = items.select(F.col("i").alias("b"), F.col("_item").alias("item_b"))
+    return both.join(named_a, "a").join(named_b, "b").select("item_a", "item_b", "correlation")
 
 
 def autocorrelation(daily: DataFrame, lags: int, day: str = "day", value: str = "units") -> DataFrame:
