@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,6 +517,61 @@ def test_boosted_model_and_folds(tiny_panel):
     assert {r.feature for r in rows} == {"lag_1", "lag_7"} and max(r.rmse_increase for r in rows) > 0
 
 
+def test_expanding_fits_equal_each_fold_apart(spark, tiny_panel):
+    table = panels.feature_table(tiny_panel, log_target=False).withColumn("one", F.lit(1.0)).cache()
+    features = ["one", "is_weekend", "lag_1"]
+    folds = panels.time_folds(table, 3).toPandas()
+    got = evaluate.expanding_fits(panels.time_blocks(table, 3), features, "OrderQuantity", [0.0, 2.0]).collect()
+    assert {(r.fold, r.ridge) for r in got} == {(k, x) for k in (1, 2, 3) for x in (0.0, 2.0)}
+    for r in got:
+        part = folds[folds.fold == r.fold]
+        (x, y), (tx, ty) = ((p[features].to_numpy(float), p.OrderQuantity.to_numpy(float)) for _, p in sorted(part.groupby("role"), reverse=True))
+        beta = np.linalg.solve(x.T @ x + r.ridge * np.eye(3), x.T @ y)
+        assert r.coefficients == pytest.approx(beta.tolist(), abs=1e-7) and (r.n_train, r.n_test) == (len(x), len(tx))
+        assert r.rmse == pytest.approx(np.sqrt(np.mean((ty - tx @ beta) ** 2)), rel=1e-7)
+    assert evaluate.expanding_fits(panels.time_blocks(table.limit(0), 3), features, "OrderQuantity").collect() == []
+    assert [r.block for r in panels.time_blocks(table.limit(2), 3).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_permuted_is_a_bijection(spark, n):
+    def order(seed):
+        return [r.p for r in spark.range(n).select("id", ordering.permuted(F.col("id"), F.lit(n).cast("long"), seed).alias("p")).orderBy("id").collect()]
+
+    assert sorted(order(3)) == list(range(n)) and order(3) == order(3)
+    assert n < 7 or order(3) != order(4)
+    assert n < 1000 or abs(np.corrcoef(order(3), np.arange(n))[0, 1]) < 0.15
+
+
+def test_donors_number_the_rows_once(spark):
+    df = spark.createDataFrame([(i, i * 2.0, f"s{i}") for i in range(50)], "k int, v double, s string")
+    paired = ordering.with_donors(df, ["k"], ["v", "s"], 11, repeats=2)
+    assert str(paired._jdf.queryExecution().optimizedPlan()).count("Window") == 0
+    rows = paired.collect()
+    for repeat in (1, 2):
+        some = [r for r in rows if r._repeat == repeat]
+        assert sorted(r.k for r in some) == list(range(50)) and sorted(r._donor.v for r in some) == [i * 2.0 for i in range(50)]
+        assert all(r._donor.s == f"s{int(r._donor.v / 2)}" for r in some)
+    assert ordering.with_donors(df.limit(0), ["k"], ["v"], 11).collect() == []
+
+
+def test_correlation_of_many_items_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    wide = pd.DataFrame(rng.normal(1e6, 3.0, (23, 30)), columns=[f"i{j}" for j in range(30)])
+    wide["i4"], wide.index.name = 7.0, "month"
+    long = wide.reset_index().melt("month", var_name="item", value_name="units")
+    long = long[rng.random(len(long)) > 0.15]
+    long = pd.concat([long, pd.DataFrame({"month": [99], "item": ["lone"], "units": [1.0]})])
+    df = spark.createDataFrame(long).union(spark.createDataFrame([(None, "i1", 1.0), (1, None, 1.0), (200, "i1", None)], "month long, item string, units double"))
+    got = {(r.item_a, r.item_b): r.correlation for r in profile.correlation_matrix(df, "item", "units", block=8, chunk=5).collect()}
+    assert len(got) == 30 * 30 + 1
+    expected = long.pivot(index="month", columns="item", values="units").corr(min_periods=2)
+    for (a, b), value in got.items():
+        e = expected.loc[a, b]
+        assert value is None if np.isnan(e) else value == pytest.approx(e, abs=1e-9)
+    assert profile.correlation_matrix(df.limit(0), "item", "units").collect() == []
+
+
 def test_fallback_order(spark):
     df = spark.createDataFrame([(1.0, None, 3.0), (None, None, 3.0), (None, 2.0, 3.0)], "AutoARIMA double, Prophet double, ColdStart double")
     got = [(r.pred, r.method_used) for r in forecast.with_fallback(df, ["AutoARIMA", "Prophet", "ColdStart"]).collect()]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
-from tillwise.operators.ordering import medians, shuffled_partner
+from tillwise.operators.ordering import medians, with_donors
 from tillwise.operators.panel import DAY, ITEM
+from tillwise.operators.regress import kernels, moments
 
 
 def error_metrics(scored: DataFrame, keys: Sequence[str] = (), actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -87,7 +90,7 @@ def demand_model(train: DataFrame, features: Sequence[str], target: str, loss: s
 
 
 def cross_validate(
-    folds: DataFrame,
+    blocks: DataFrame,
     features: Sequence[str],
     target: str,
     grid: Sequence[dict],
@@ -96,28 +99,62 @@ def cross_validate(
 ) -> DataFrame:
     """Mean RMSE in real units of each parameter set over expanding time folds.
 
-    ``folds`` carries (fold, role). The loops run over a few folds and parameter
-    sets; every fit and score is itself a distributed job. Returns one row per
-    parameter set, best first.
+    ``blocks`` carries the block of :func:`tillwise.operators.panel.time_blocks`: fold ``k`` is a filter on it. The loops run
+    over a few folds and parameter sets; every fit and score is itself a distributed job. Returns one row per parameter
+    set, best first.
     """
-    spark = folds.sparkSession
-    numbers = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    folds = folds.persist()
+    spark = blocks.sparkSession
+    blocks = blocks.persist()
+    splits = blocks.agg(F.max("block")).first()[0] or 0
     results = []
     for i, params in enumerate(grid):
         total = 0.0
-        for k in numbers:
-            part = folds.filter(F.col("fold") == k)
-            model = demand_model(part.filter(F.col("role") == "train"), features, target, loss, **params)
-            scored = model.transform(part.filter(F.col("role") == "test"))
+        for k in range(1, splits + 1):
+            model = demand_model(blocks.filter(F.col("block") < k), features, target, loss, **params)
+            scored = model.transform(blocks.filter(F.col("block") == k))
             real = (lambda c: F.expm1(c)) if log_target else (lambda c: c)
             error = real(F.col(target)) - real(F.col("pred"))
             total += scored.agg(F.sqrt(F.avg(error * error))).first()[0]
-        results.append((i, str(sorted(params.items())), total / len(numbers)))
-    folds.unpersist()
+        results.append((i, str(sorted(params.items())), total / splits if splits else None))
+    blocks.unpersist()
     return spark.createDataFrame(results, "candidate int, params string, rmse double").orderBy("rmse")
 
 
+def expanding_fits(blocks: DataFrame, features: Sequence[str], target: str, ridges: Sequence[float] = (0.0,)) -> DataFrame:
+    """Least squares of every expanding fold and ridge penalty from one scan of the rows.
+
+    ``blocks`` carries the block of :func:`tillwise.operators.panel.time_blocks`. Each block is reduced to its cross products; the
+    running sum before a block is what its fold trains on, and the block's own products give the squared error there.
+    Returns (fold, ridge, n_train, n_test, coefficients, rmse), a row per fold and penalty; ``features`` must include a
+    constant column if wanted, which is penalised like the others. Rows with a NULL feature or target take no part, and
+    a fold without training or test rows is left out.
+    """
+    k, ridges = len(features), [float(r) for r in ridges]
+    gram = moments(blocks, ["block"], features, target)
+    sums = F.concat("xtx", "xty", F.array("yy", F.col("n").cast("double")))
+    long = gram.select("block", F.posexplode(sums).alias("pos", "own"))
+    earlier = W.partitionBy("pos").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    cell = F.struct("pos", "before", "own")
+    folds = long.withColumn("before", F.sum("own").over(earlier)).filter((F.col("block") > 0) & F.col("before").isNotNull())
+    folds = folds.groupBy(F.col("block").alias("fold")).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    unpack, answer = kernels()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        triangle = k * (k + 1) // 2
+        for batch in batches:
+            rows = []
+            for fold, before, own in batch.itertuples(index=False, name=None):
+                (a, b), (test_a, test_b) = ((unpack(v[:triangle], k), np.asarray(v[triangle:-2], float)) for v in (before, own))
+                for ridge in ridges:
+                    beta = answer(a + ridge * np.eye(k), b)
+                    sse = max(float(own[-2] - 2 * beta @ test_b + beta @ test_a @ beta), 0.0)
+                    rows.append((fold, ridge, int(before[-1]), int(own[-1]), beta.tolist(), (sse / own[-1]) ** 0.5))
+            yield pd.DataFrame(rows, columns=["fold", "ridge", "n_train", "n_test", "coefficients", "rmse"])
+
+    schema = "fold int, ridge double, n_train long, n_test long, coefficients array<double>, rmse double"
+    return folds.select("fold", "c.before", "c.own").mapInPandas(run, schema)
+
+
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, values)]
@@ -132,23 +169,22 @@ def permutation_importance(
     keys: Sequence[str] = (DAY, ITEM),
     log_target: bool = True,
     seed: int = 7,
+    repeats: int = 1,
 ) -> DataFrame:
-    """How much RMSE grows when one feature's values are shuffled across rows."""
-    real = (lambda c: F.expm1(c)) if log_target else (lambda c: c)
-
-    def rmse(df: DataFrame, label: str) -> DataFrame:
-        error = real(F.col(target)) - real(F.col("pred"))
-        return model.transform(df).agg(F.sqrt(F.avg(error * error)).alias("rmse")).withColumn("feature", F.lit(label))
+    """How much RMSE grows, on average over ``repeats``, when one feature's values are permuted across rows.
 
+    All features share one numbering, one permutation per repeat and one join: a row meets its donor, is scored as it is and
+    once with each feature taken from the donor. The model scores one table, and one aggregate gives all errors.
+    """
+    features = list(features)
+    real = (lambda c: F.expm1(c)) if log_target else (lambda c: c)
     narrow = data.select(*keys, target, *[f for f in features if f not in keys])
-    scores = rmse(narrow, "")
-    for i, f in enumerate(features):
-        scores = scores.unionByName(rmse(shuffled_partner(narrow, keys, f, seed + 2 * i), f))
-    # One row per feature: the unshuffled row gives the reference level.
-    base = F.max(F.when(F.col("feature") == "", F.col("rmse")))
-    packed = scores.agg(base.alias("base"), F.collect_list(F.struct("feature", "rmse")).alias("all"))
-    return (
-        packed.select("base", F.explode("all").alias("s"))
-        .filter(F.col("s.feature") != "")
-        .select("s.feature", (F.col("s.rmse") - F.col("base")).alias("rmse_increase"))
-    )
+    paired = with_donors(narrow, keys, features, seed, repeats).select(target, "_repeat", F.struct(*features).alias("_own"), "_donor")
+    variants = [F.col("_own").withField("_feature", F.lit(""))]
+    variants += [F.col("_own").withField(f, F.col("_donor")[f]).withField("_feature", F.lit(f)) for f in features]
+    scored = model.transform(paired.select(target, "_repeat", F.inline(F.array(*variants))))
+    error = real(F.col(target)) - real(F.col("pred"))
+    rmse = scored.groupBy("_feature", "_repeat").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    base = rmse.filter(F.col("_feature") == "").agg(F.avg("rmse")).scalar()
+    grown = rmse.filter(F.col("_feature") != "").groupBy(F.col("_feature").alias("feature"))
+    return grown.agg((F.avg("rmse") - base).alias("rmse_increase"))

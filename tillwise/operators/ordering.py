@@ -157,22 +157,41 @@ def global_index(
     )
 
 
-def shuffled_partner(df: DataFrame, key: Sequence[str], column: str, seed: int, blocks: int = 1024) -> DataFrame:
-    """Replace ``column`` by the same values in a random but repeatable order.
+def permuted(number: Column, n: Column, seed: int | Column, rounds: int = 64) -> Column:
+    """The place of ``number`` in a keyed permutation of 0 .. n-1, computed from the number alone.
+
+    Each round pairs x with (k - x) mod n and, by a hash of the pair, swaps both or neither: a bijection for every n and
+    seed, so that no table of the permutation and no walk back into the range is needed. ``n`` is no scalar subquery.
+    """
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(seed, r), n) - x, n)
+        chosen = F.xxhash64(seed, r, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1
+        return F.when(chosen, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), number.cast("long"), swap)
 
-    Rows are numbered in two independent hash orders and paired by number, a
-    full permutation without a single-task sort.
+
+def with_donors(df: DataFrame, key: Sequence[str], columns: Sequence[str], seed: int, repeats: int = 1, blocks: int = 1024) -> DataFrame:
+    """Each row ``repeats`` times, with ``columns`` of another row in the struct ``_donor`` and the number of the ``_repeat``.
+
+    Rows are numbered once, in a hash order of ``key``, and written; a keyed permutation of the numbers per repeat names the
+    donors, so every row gives its values exactly once in each repeat. One join serves all columns.
     """
-    order_a = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    order_b = F.xxhash64(F.lit(seed + 1), *[F.col(k) for k in key])
-    left = global_index(df, F.pmod(order_a, F.lit(blocks)), [order_a, *key], "_slot")
-    right = global_index(
-        df.select(*key, F.col(column).alias("_donor")),
-        F.pmod(order_b, F.lit(blocks)),
-        [order_b, *key],
-        "_slot",
-    ).select("_slot", "_donor")
-    return left.join(right, "_slot").withColumn(column, F.col("_donor")).drop("_slot", "_donor")
+    order = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    numbered = staged(global_index(df, F.pmod(order, F.lit(blocks)), [order, *key], "_slot"), "numbered")
+    n = F.lit(max(numbered.count(), 1)).cast("long")
+    takers = numbered.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    takers = takers.withColumn("_from", permuted(F.col("_slot"), n, F.lit(seed) + F.col("_repeat"))).drop("_slot")
+    givers = numbered.select(F.col("_slot").alias("_from"), F.struct(*columns).alias("_donor"))
+    return takers.join(givers, "_from").drop("_from")
+
+
+def shuffled_partner(df: DataFrame, key: Sequence[str], column: str, seed: int, blocks: int = 1024) -> DataFrame:
+    """Replace ``column`` by the same values in a random but repeatable order."""
+    paired = with_donors(df, key, [column], seed, blocks=blocks)
+    return paired.withColumn(column, F.col("_donor")[column]).drop("_donor", "_repeat")
 
 
 def top_groups(df: DataFrame, key: str, value: Column | str, n: int) -> DataFrame:

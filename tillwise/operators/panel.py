@@ -131,23 +131,24 @@ def split_last_months(df: DataFrame, months: int = 3, day: str = DAY) -> DataFra
     return df.filter(F.col(day) >= F.add_months(df.agg(F.max(day)).scalar(), -months))
 
 
-def time_folds(df: DataFrame, splits: int, day: str = DAY) -> DataFrame:
-    """Expanding-window folds in date order: rows tagged (fold, role).
+def time_blocks(df: DataFrame, splits: int, day: str = DAY) -> DataFrame:
+    """Rows in date order cut into ``splits`` equal blocks numbered from 1, after a block 0 that takes the leading rest.
 
-    Fold ``i`` tests on the i-th of ``splits`` equal blocks after the first and
-    trains on everything before it; leading rows that do not divide evenly
-    belong to the first block.
+    Expanding fold ``i`` tests on block ``i`` and trains on all before it, so the blocks stand for all folds without a copy of
+    a row per fold.
     """
     n = df.agg(F.count(F.lit(1))).scalar()
     size = F.floor(n / F.lit(splits + 1))
-    numbered = global_index(df, day, [ITEM])
-    first_test = n - size * F.lit(splits)
-    folds = numbered.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    start = first_test + (F.col("fold") - 1) * size
-    return folds.withColumn(
-        "role",
-        F.when(F.col("row_index") < start, "train").when(F.col("row_index") < start + size, "test"),
-    ).filter(F.col("role").isNotNull())
+    past = F.col("row_index") - (n - size * F.lit(splits))
+    block = F.when(past < 0, F.lit(0).cast("long")).otherwise(F.floor(past / size) + 1)
+    return global_index(df, day, [ITEM]).withColumn("block", F.coalesce(block, F.lit(0).cast("long")).cast("int"))
+
+
+def time_folds(df: DataFrame, splits: int, day: str = DAY) -> DataFrame:
+    """Expanding-window folds in date order: rows tagged (fold, role), a copy of a row for each fold that uses it."""
+    blocks = time_blocks(df, splits, day)
+    folds = blocks.withColumn("fold", F.explode(F.sequence(F.greatest("block", F.lit(1)), F.lit(splits))))
+    return folds.withColumn("role", F.when(F.col("block") < F.col("fold"), "train").otherwise("test")).drop("block")
 
 
 def _by_item(day: str = DAY) -> W:

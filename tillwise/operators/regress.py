@@ -35,7 +35,7 @@ def moments(
     )
 
 
-def _kernels():
+def kernels():
     """Small dense helpers, built as closures so that tasks need no local import."""
 
     def unpack(flat, k: int) -> np.ndarray:
@@ -65,7 +65,7 @@ def solve(gram: DataFrame, keys: Sequence[str], k: int, ridge: Sequence[float] |
         ]
     )
     keys = list(keys)
-    unpack, answer = _kernels()
+    unpack, answer = kernels()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +121,7 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     k = len(features)
     gram = moments(df.withColumn("_y", F.lit(0.0)), [], features, "_y")
     schema = "feature string, vif double"
-    unpack, _ = _kernels()
+    unpack, _ = kernels()
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -844,14 +844,42 @@ MODEL_FEATURES = [
 
 @query("boosted_model_search")
 def _(t: Tables):
-    folds = written(panels.time_folds(panels.feature_table(written(panel_a(t))), 3))
-    return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"maxDepth": 3}, {"maxDepth": 4}])
+    blocks = written(panels.time_blocks(panels.feature_table(written(panel_a(t))), 3))
+    return evaluate.cross_validate(blocks, MODEL_FEATURES, "OrderQuantity", [{"maxDepth": 3}, {"maxDepth": 4}])
 
 
 @query("poisson_model_search")
 def _(t: Tables):
-    folds = written(panels.time_folds(panels.feature_table(written(panel_a(t)), log_target=False), 3))
-    return evaluate.cross_validate(folds, MODEL_FEATURES, "OrderQuantity", [{"regParam": 0.0}, {"regParam": 0.1}], "poisson", False)
+    blocks = written(panels.time_blocks(panels.feature_table(written(panel_a(t)), log_target=False), 3))
+    return evaluate.cross_validate(blocks, MODEL_FEATURES, "OrderQuantity", [{"regParam": 0.0}, {"regParam": 0.1}], "poisson", False)
+
+
+# Each fold is fitted apart, on its own rows, and scored row by row.
+FOLD_FEATURES, FOLD_RIDGES = ["one", "is_weekend", "lag_1", "lag_7"], (0.0, 10.0)
+PARTS["foldx"] = """SELECT i, n, CAST(OrderQuantity AS DOUBLE) AS y, [1.0::DOUBLE, CASE WHEN isodow(OrderDate) >= 6 THEN 1.0 ELSE 0.0 END,
+      CAST(coalesce(lag(OrderQuantity, 1) OVER w, 0) AS DOUBLE), CAST(coalesce(lag(OrderQuantity, 7) OVER w, 0) AS DOUBLE)] AS x
+    FROM numbered WINDOW w AS (PARTITION BY SubcategoryName ORDER BY OrderDate)"""
+PARTS["foldrows"] = """SELECT fold, x, y, i < n - (n // 6) * (6 - fold) AS train
+    FROM foldx, (SELECT unnest(generate_series(1, 5)) AS fold) f WHERE i < n - (n // 6) * (5 - fold)"""
+PARTS["foldaug"] = """SELECT fold, ridge, list(row ORDER BY i) AS m FROM (SELECT fold, ridge, i, list_append(list(g ORDER BY j), any_value(b)) AS row FROM (
+      SELECT fold, ridge, i, j, g + CASE WHEN i = j THEN ridge ELSE 0.0 END AS g, b FROM (
+        SELECT fold, i, j, sum(x[i] * x[j]) AS g, sum(x[i] * y) AS b FROM foldrows, (SELECT unnest(range(1, 5)) AS i) a, (SELECT unnest(range(1, 5)) AS j) c
+        WHERE train GROUP BY 1, 2, 3) s, (SELECT unnest([0.0::DOUBLE, 10.0::DOUBLE]) AS ridge) r) t GROUP BY 1, 2, 3) u GROUP BY 1, 2"""
+PARTS["foldsolved"] = solved("foldaug", "fold, ridge")
+
+
+@query(
+    "expanding_fits",
+    """SELECT s.fold, ridge, count(*) FILTER (WHERE train) AS n_train, count(*) FILTER (WHERE NOT train) AS n_test,
+         round(any_value(m[1][5]), 6) AS one, round(any_value(m[2][5]), 6) AS is_weekend, round(any_value(m[3][5]), 6) AS lag_1, round(any_value(m[4][5]), 6) AS lag_7,
+         round(sqrt(avg(power(y - x[1] * m[1][5] - x[2] * m[2][5] - x[3] * m[3][5] - x[4] * m[4][5], 2)) FILTER (WHERE NOT train)), 6) AS rmse
+       FROM foldrows r JOIN foldsolved s ON r.fold = s.fold GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    table = panels.feature_table(written(panel_a(t)), log_target=False).withColumn("one", F.lit(1.0))
+    fits = evaluate.expanding_fits(panels.time_blocks(table, 5), FOLD_FEATURES, "OrderQuantity", FOLD_RIDGES)
+    named = [F.get("coefficients", F.lit(i)).alias(f) for i, f in enumerate(FOLD_FEATURES)]
+    return _rounded(fits.select("fold", "ridge", "n_train", "n_test", *named, "rmse"), (*FOLD_FEATURES, "rmse"))
 
 
 @query("feature_importance")
