@@ -5,10 +5,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise import schemas
 from tillwise.operators import forecast, profile
-from tillwise.sources import documents, models, tables
+from tillwise.sources import documents, keyed, models, tables
 
 
 def test_csv_round_trip_with_na_tokens_and_latin1(spark, tmp_path):
@@ -80,3 +81,56 @@ def test_model_generations(spark, tmp_path):
     assert models.has_model(spark, path)
     assert models.load_model_table(spark, path).first().c == 2.0
     assert models.load_model_table(spark, path, 1).first().c == 1.0
+
+
+def test_unpublished_generations_are_never_read(spark, tmp_path):
+    path = f"{tmp_path}/m"
+
+    def table(c):
+        return spark.createDataFrame([("a", c)], "k string, c double")
+
+    def broken():
+        raise RuntimeError("fit failed")
+
+    with pytest.raises(LookupError):
+        models.load_model_table(spark, path)
+    table(9.0).write.parquet(f"{path}/data/half")
+    assert not models.has_model(spark, path)
+    with pytest.raises(RuntimeError):
+        models.table_or_train(spark, path, broken)
+    assert not models.has_model(spark, path) and models.generations(spark, path).collect() == []
+    assert models.table_or_train(spark, path, lambda: table(1.0)).first().c == 1.0
+    assert models.table_or_train(spark, path, broken).first().c == 1.0
+    before = models.load_model_table(spark, path, 1)
+    models.save_model_table(table(1.5), path, 1)
+    models.save_model_table(table(3.0).withColumn("extra", F.lit(1)), path, 3)
+    assert before.first().c == 1.0 and models.load_model_table(spark, path, 1).first().c == 1.5
+    assert models.load_model_table(spark, path).first().asDict() == {"k": "a", "c": 3.0, "extra": 1, "generation": 3}
+    assert not models.has_model(spark, path, "pipeline")
+    with pytest.raises(LookupError):
+        models.load_model_table(spark, path, 2)
+
+
+def test_one_document_read_by_several_tasks(spark, tmp_path):
+    value = T.StructType().add("a", "string").add("b", T.ArrayType(T.IntegerType())).add("c", T.MapType(T.StringType(), T.StringType()))
+    schema = T.MapType(T.StringType(), value)
+    doc = {
+        f'k"{i}, \\ {{é': {"a": 'x,"]}\\' * (i % 7) + "\n", "b": list(range(i % 5)), "c": {"u": "{[,", 'v\\"': "日本"}} for i in range(40)
+    }
+    doc["long"] = {"a": "z," * 1500, "b": [], "c": {}}
+    (tmp_path / "in").mkdir()
+    bodies = [json.dumps(doc, ensure_ascii=False), json.dumps(doc, indent=4) + "\n", " {}\n", "", '{"one": {"a": null}}', '\ufeff{"two": {"a": ","}}']
+    for i, body in enumerate(bodies):
+        (tmp_path / "in" / f"{i}.json").write_text(body, encoding="utf-8")
+    expected = [(k, v.get("a"), v.get("b"), v.get("c")) for d in (doc, doc, {"one": {"a": None}}, {"two": {"a": ","}}) for k, v in d.items()]
+    sizes = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        for size, limit in (("1m", 100), ("701b", 1000), ("701b", 0)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert size == "1m" or spark.read.option("lineSep", ",").text(f"{tmp_path}/in/0.json").rdd.getNumPartitions() > 5
+            got = [(r.key, r.a, r.b, r.c) for r in keyed.read_keyed_split(spark, f"{tmp_path}/in", schema, limit).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, expected)), size
+    finally:
+        for c, v in sizes.items():
+            spark.conf.set(c, v)
