@@ -307,6 +307,49 @@ def test_rules_enumerate_all_splits_with_a_hot_order(spark):
     assert len(strong) == 4
 
 
+def _all_sets(baskets, least):
+    from itertools import combinations
+
+    counts = {}
+    for b in baskets:
+        for k in range(1, len(b) + 1):
+            for s in combinations(sorted(b), k):
+                counts[s] = counts.get(s, 0) + 1
+    return {s: c for s, c in counts.items() if c >= least}
+
+
+@pytest.mark.parametrize("rows_per_item", [0, 1, 32])
+def test_itemsets_of_every_size_whichever_way_they_are_counted(spark, monkeypatch, rows_per_item):
+    monkeypatch.setattr(basket, "_ROWS_PER_ITEM", rows_per_item)
+    rng = np.random.default_rng(5)
+    made = [[x for x in "ABCDEFG" if rng.random() < 0.55] for _ in range(120)] + [[], []]
+    df = spark.createDataFrame([(b,) for b in made] + [(None,)], "items array<string>")
+    got = basket.frequent_itemsets(df, 0.1).collect()
+    assert {tuple(r["items"]): r.freq for r in got} == _all_sets(made, 13) and len(got) == len({tuple(r["items"]) for r in got})
+    assert max(len(r["items"]) for r in got) > 3 and all(r.support == r.freq / 123 for r in got)
+
+
+def test_small_itemsets_are_not_mined(spark, monkeypatch):
+    """Pairs of many short baskets are counted in one pass; no tree of every basket is built."""
+    monkeypatch.setattr(basket, "FPGrowth", None)
+    df = spark.createDataFrame([([a, b],) for a in "ABC" for b in "DEF"] * 5, "items array<string>")
+    got = {tuple(r["items"]): r.freq for r in basket.frequent_itemsets(df, 0.1).collect()}
+    assert len(got) == 15 and got[("A", "D")] == 5 and got[("F",)] == 15
+
+
+def test_baskets_read_the_lines_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    lines = spark.createDataFrame([("o1", "A"), ("o1", "B"), ("o2", "A"), ("o3", None)], "OrderNumber string, SubcategoryName string").coalesce(1)
+    got = basket.baskets(lines.mapInPandas(counted, lines.schema), min_support=0.6).collect()
+    assert {(r.OrderNumber, tuple(r["items"])) for r in got} == {("o1", ("A",)), ("o2", ("A",))}
+    assert reads.value == 1
+
+
 def test_purchase_models_improve_and_score(spark):
     rng = np.random.default_rng(11)
     rows = []

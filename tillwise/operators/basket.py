@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillwise.functions.numeric import ratio
-from tillwise.session import cut_lineage, staged
+from tillwise.session import staged
 
 
 def baskets(lines: DataFrame, order: str = "OrderNumber", item: str = "SubcategoryName", min_support: float | None = None) -> DataFrame:
@@ -22,28 +23,92 @@ def baskets(lines: DataFrame, order: str = "OrderNumber", item: str = "Subcatego
     """
     pairs = lines.filter(F.col(order).isNotNull() & F.col(item).isNotNull()).select(order, item).distinct()
     if min_support is not None:
-        total = pairs.select(F.count_distinct(order)).scalar()
+        # Written once: the number of orders, the counts of items and the baskets all read it.
+        pairs = staged(pairs, "pairs")
+        total = pairs.select(F.count_distinct(order)).first()[0]
         frequent = (
-            pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= total * min_support)
+            pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= F.lit(total) * min_support)
         )
-        pairs = pairs.join(frequent.select(item, F.lit(True).alias("_keep")), item, "left")
+        # A written table has a known size, so the few frequent items do not cost a shuffle of all pairs.
+        frequent = staged(frequent.select(item, F.lit(True).alias("_keep")), "frequent")
+        pairs = pairs.join(frequent, item, "left")
         kept = F.when(F.col("_keep"), F.col(item))
     else:
         kept = F.col(item)
     return pairs.groupBy(order).agg(F.array_sort(F.collect_set(kept)).alias("items"))
 
 
+# Sets of up to three items are counted one by one if that gives no more rows than so many per item of a basket, and per basket.
+_COUNTED, _ROWS_PER_ITEM, _ROWS_PER_BASKET = 3, 32, 1 << 20
+
+
+def _subsets(basket: DataFrame, size: int, known: DataFrame | None = None) -> DataFrame:
+    """All sets of ``size`` items of every basket as columns i0, i1, ...; ``known`` holds the frequent sets of one item less."""
+    names = [f"i{k}" for k in range(size)]
+    rows = basket.select(F.col("items").alias("rest"))
+    for k, name in enumerate(names):
+        if known is not None and k == size - 1:
+            match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.get("known", F.lit(i))) for i, c in enumerate(names[:k])])
+            rows = rows.join(known.select(F.col("items").alias("known")), match, "left_semi")
+        rows = rows.select(*names[:k], "rest", F.posexplode("rest").alias("at", name))
+        rows = rows.select(*names[: k + 1], F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+    return rows.select(*names)
+
+
 def frequent_itemsets(basket: DataFrame, min_support: float = 0.01, partitions: int | None = None) -> DataFrame:
-    """(items, freq, support) of every itemset reaching ``min_support`` (parallel FP-growth)."""
-    basket = cut_lineage(basket)
-    miner = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
+    """(items, freq, support) of every itemset reaching ``min_support``.
+
+    Small sets are counted directly, combined before the shuffle, as long as baskets are short enough for that; larger ones
+    are found by parallel FP-growth over the items that occur in a frequent set of the largest size counted. A larger
+    frequent set holds no other item, so nothing is lost, and without such sets there is nothing left to mine.
+    """
+    basket = staged(basket.select(F.array_sort("items").alias("items")), "baskets")
+    n = F.size("items").cast("double")
+    # Sets of k items of all baskets, and of the largest one.
+    ways = [reduce(lambda a, b: a * b, [(n - i) / (i + 1) for i in range(k)]) for k in range(1, _COUNTED + 1)]
+    facts = basket.agg(
+        F.count(F.lit(1)).alias("total"), F.count("items").alias("filled"),
+        F.count_if(F.size(F.array_distinct("items")) < F.size("items")).alias("repeated"),
+        F.array(*[F.sum(F.when(F.size("items") > 0, w)) for w in ways]).alias("ways"), F.array(*[F.max(w) for w in ways]).alias("most"),
+    ).first()
+    if facts["repeated"]:
+        raise ValueError(f"{facts['repeated']} baskets hold an item more than once")
+    least = math.ceil(min_support * facts["filled"])
+    counted = 0
+    if facts["filled"] and facts["ways"][0] is not None:
+        fits = [w <= _ROWS_PER_ITEM * facts["ways"][0] and m <= _ROWS_PER_BASKET for w, m in zip(facts["ways"], facts["most"])]
+        counted = fits.index(False) if False in fits else _COUNTED
+    found, level = [], None
+    for size in range(1, counted + 1):
+        names = [f"i{k}" for k in range(size)]
+        counts = _subsets(basket, size, level).groupBy(*names).agg(F.count(F.lit(1)).alias("freq"))
+        level = staged(counts.filter(F.col("freq") >= least).select(F.array(*names).alias("items"), "freq"), f"sets{size}")
+        found.append(level)
+        if level.isEmpty():
+            break
+    else:
+        found.append(_grown(basket, level, counted, least, facts["filled"], partitions))
+    return reduce(DataFrame.unionByName, found).select(
+        F.array_sort("items").alias("items"), "freq", ratio(F.col("freq"), F.lit(facts["total"])).alias("support")
+    )
+
+
+def _grown(basket: DataFrame, level: DataFrame | None, counted: int, least: int, filled: int, partitions: int | None) -> DataFrame:
+    """(items, freq) of the sets of more than ``counted`` items that occur ``least`` times, by FP-growth."""
+    rows, n = basket.filter(F.col("items").isNotNull()), filled
+    if level is not None:
+        useful = level.select(F.explode("items").alias("item")).agg(F.collect_set("item")).scalar()
+        rows = staged(rows.select(F.array_intersect("items", useful).alias("items")).filter(F.size("items") > counted), "baskets")
+        n = rows.count()
+    empty = basket.select("items", F.lit(0).cast("long").alias("freq")).limit(0)
+    if n < max(least, 1):
+        return empty
+    # Half a basket below the bound, as the miner rounds up.
+    miner = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.0) / n, minConfidence=1.0)
     if partitions is not None:
         miner = miner.setNumPartitions(partitions)
-    found = miner.fit(basket).freqItemsets
-    total = basket.agg(F.count(F.lit(1))).scalar()
-    return found.select(
-        F.array_sort("items").alias("items"), "freq", ratio(F.col("freq"), total).alias("support")
-    )
+    sets = miner.fit(rows).freqItemsets
+    return staged(sets.filter((F.size("items") > counted) & (F.col("freq") >= least)), "grown")
 
 
 def of_size(itemsets: DataFrame, n: int, top: int | None = None) -> DataFrame:
