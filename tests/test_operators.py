@@ -350,6 +350,35 @@ def test_baskets_read_the_lines_once(spark):
     assert reads.value == 1
 
 
+def _counting(df, reads):
+    """``df`` computed by a task that adds one to ``reads`` each time."""
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    return df.coalesce(1).mapInPandas(counted, df.schema)
+
+
+def test_panels_compute_the_daily_totals_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    items = spark.createDataFrame([("A",), ("B",)], "SubcategoryName string")
+    sold = spark.sql("SELECT DATE'2020-01-01' AS OrderDate, 'A' AS SubcategoryName, 3L AS OrderQuantity, DATE'2019-12-01' AS StockDate UNION ALL SELECT DATE'2020-01-03', 'B', 2L, NULL")
+    got = panels.sales_panel(_counting(sold, reads), items).collect()
+    assert len(got) == 6 and sum(r.OrderQuantity for r in got) == 5 and reads.value == 1
+    reads = spark.sparkContext.accumulator(0)
+    gathered = spark.sql("SELECT DATE'2020-01-01' AS ReturnDate, 3 AS ReturnQuantity, 'A' AS SubcategoryName, DATE'2020-01-01' AS OrderDate, 4 AS OrderQuantity UNION ALL SELECT DATE'2020-01-04', 1, 'B', DATE'2020-01-04', 5")
+    got = panels.returns_panel(_counting(gathered, reads), items).collect()
+    assert len(got) == 8 and sum(r.ReturnQuantity for r in got) == 4 and reads.value == 1
+
+
+def test_metric_summary_computes_the_metrics_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    metrics = spark.createDataFrame([(f"i{k}", float(k), 10.0 * k) for k in range(5)] + [("n", None, 1.0)], "SubcategoryName string, rmse double, smape double")
+    got = {r.metric: tuple(r)[1:] for r in evaluate.metric_summary(_counting(metrics, reads), ["rmse", "smape"]).collect()}
+    assert got == {"rmse": (2.0, 2.0, 0.0, 4.0), "smape": (pytest.approx(101 / 6), 15.0, 0.0, 40.0)} and reads.value == 1
+
+
 def test_purchase_models_improve_and_score(spark):
     rng = np.random.default_rng(11)
     rows = []

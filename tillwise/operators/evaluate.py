@@ -15,6 +15,7 @@ from tillwise.functions.numeric import ratio
 from tillwise.operators.ordering import medians, with_donors
 from tillwise.operators.panel import DAY, ITEM
 from tillwise.operators.regress import kernels, moments
+from tillwise.session import staged
 
 
 def error_metrics(scored: DataFrame, keys: Sequence[str] = (), actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -46,6 +47,8 @@ def metric_summary(metrics: DataFrame, columns: Sequence[str], keys: Sequence[st
         *keys,
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns])).alias("s"),
     ).select(*keys, "s.metric", "s.v")
+    # One value per item and metric, read by every scan of the medians: written once.
+    long = staged(long, "metrics")
     by = [*keys, "metric"]
     middle = medians(long, {"median": "v"}, by)
     return long.groupBy(*by).agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).join(
