@@ -515,6 +515,34 @@ def test_imputation_matches_row_by_row_rounds(spark, tol):
     assert all(r.changed == 0 and r.misfit < max(tol, 1e-6) * 2 and r.residual < 1e-2 for r in facts.values())
 
 
+def test_open_rounds_are_settled_together(spark, monkeypatch):
+    """Rounds that the moments leave open take few scans, and stop where a scan each would."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(2000, 1)) @ rng.normal(size=(1, 3)) + 0.25 * rng.normal(size=(2000, 3))
+    lost = rng.random((2000, 3)) < [0.6, 0.6, 0.0]
+    rows = [[None if gone else float(v) for v, gone in zip(r, g)] for r, g in zip(base, lost)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    scans, scan = [], impute._largest_changes
+    monkeypatch.setattr(impute, "_largest_changes", lambda rows, deltas, k: scans.append(len(deltas)) or scan(rows, deltas, k))
+    models = []
+    for cells in (1, 1 << 20):
+        monkeypatch.setattr(impute, "_CELLS", cells)
+        models.append(impute.fit_imputation(df, ["a", "b", "c"], rounds=200, tol=1e-6))
+        scans.append(None)
+    one, many = models
+    assert one.converged and many.converged and one.rounds == many.rounds and one.change == pytest.approx(many.change)
+    assert all(np.array_equal(one.fills[p], many.fills[p]) for p in one.fills) and one.equations.keys() == many.equations.keys()
+    alone = scans.index(None)
+    assert alone >= 4 and len(scans) - 2 - alone <= 2
+
+
+def test_purchase_summary_reads_the_history_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    history = spark.sql("SELECT DATE'2020-01-01' AS OrderDate, 1 AS CustomerKey, 2.0D AS Profit UNION ALL SELECT DATE'2020-01-05', 1, 4.0D UNION ALL SELECT DATE'2020-01-09', 2, 1.0D")
+    got = {tuple(r) for r in customer.purchase_summary(_counting(history, reads)).collect()}
+    assert got == {(1, 1, 4, 8, 4.0), (2, 0, 0, 0, 0.0)} and reads.value == 1
+
+
 def test_imputation_of_odd_tables(spark):
     schema = "id int, a double, b double, c double"
     df = spark.createDataFrame([(1, 1.0, None, None), (2, 2.0, 5.0, None), (3, float("nan"), 7.0, None), (4, None, None, None)], schema)

@@ -20,7 +20,7 @@ from tillwise.operators.lifetime import (  # noqa: F401  part of this module's i
     FrequencyModel, SpendModel, fit_frequency_model, fit_spend_model, model_table,
 )
 from tillwise.operators.ordering import medians
-from tillwise.session import cut_lineage
+from tillwise.session import staged
 
 ID = "CustomerKey"
 
@@ -42,8 +42,11 @@ def purchase_summary(history: DataFrame, end: Column | None = None) -> DataFrame
     Lines are first added up per customer and day, so a customer with a huge
     number of lines contributes one row per active day.
     """
-    last = end if end is not None else history.agg(F.max("OrderDate")).scalar()
     days = history.groupBy(ID, "OrderDate").agg(F.sum("Profit").alias("z"))
+    if end is None:
+        # The last day and the customers both read the days, so the lines behind them are joined once.
+        days = staged(days, "days")
+    last = end if end is not None else days.agg(F.max("OrderDate")).scalar()
     per = days.groupBy(ID).agg(
         F.count(F.lit(1)).alias("days"),
         F.min("OrderDate").alias("first"),

@@ -9,14 +9,18 @@ works on k x k matrices only, complete rows are read once, and rows with gaps me
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillwise.session import staged
 
+# Doubles held at once, by the driver for rounds that wait and by a task for one block of rows.
+_CELLS = 1 << 20
+
 
 def _values(columns: Sequence[str]) -> list[Column]:
     """The columns as doubles; NaN counts as missing."""
@@ -78,7 +82,7 @@ def fit_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 10, tol:
 
     Columns take turns by their number of gaps; a regression uses the rows in which its column is observed, the other gaps
     as filled so far, and a ridge relative to each column's scale. One aggregate per pattern gives all moments, one small
-    aggregate over the rows with gaps a round's largest change where the moments leave it open. Stops when that is below ``tol`` times the largest observed
+    scan of the rows with gaps the largest changes of several rounds where the moments leave them open. Stops when that is below ``tol`` times the largest observed
     value. Patterns are as many as occur, at most 2 to the number of incomplete columns. A column without any value
     becomes 0; no rows or no gaps give no fills.
     """
@@ -115,6 +119,10 @@ def fit_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 10, tol:
     open_rows = staged(rows.filter(F.col("pattern").contains("1")), "gaps")
     limit = tol * (max(r["top"] for r in moments) or 1.0)
     result = Imputation(names, [names[i - 1] for i in order], {}, {}, converged=False)
+    # Rounds that the moments leave open wait and are settled together: rounds go on without the rows, and the first one
+    # below the limit counts. What waits stays small, so very many patterns are settled round by round.
+    room = max(1, min(64, _CELLS // (len(lacks) * k * k)))
+    waiting, together = [], min(8, room)
     for result.rounds in range(1, rounds + 1):
         before = {p: m.copy() for p, m in matrices.items() if lacks[p]}
         for target in order:
@@ -132,21 +140,53 @@ def fit_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 10, tol:
         # Sums of squared changes bound the largest one from both sides; rows are asked only if that leaves it open.
         squares = {p: np.maximum(np.einsum("ci,ij,cj->c", d, sums[p], d), 0.0).max() for p, d in deltas.items()}
         least, most = max(math.sqrt(v / sums[p][0, 0]) for p, v in squares.items()), math.sqrt(max(squares.values()))
+        sure = most < limit and least < limit
         if least >= limit:
             result.change = least
-        elif most < limit:
+        elif sure:
             result.change = most
         else:
-            moved = _by_pattern(df.sparkSession, deltas, "pattern", "moved")
-            change = F.max(F.array_max(F.transform("moved", lambda w: F.abs(_dot(w, F.col("z"))))))
-            result.change = open_rows.join(moved, "pattern").agg(change).first()[0] or 0.0
-        if result.change < limit:
+            waiting.append((result.rounds, deltas, {p: matrices[p].copy() for p in before}, dict(result.equations)))
+        if waiting and (sure or result.rounds == rounds or len(waiting) >= together):
+            changes = _largest_changes(open_rows, [w[1] for w in waiting], k)
+            settled = next((i for i, c in enumerate(changes) if c < limit), None)
+            if settled is not None:
+                result.rounds, _, result.fills, result.equations = waiting[settled]
+                result.change, result.converged = changes[settled], True
+                return result
+            if waiting[-1][0] == result.rounds:
+                result.change = changes[-1]
+            waiting, together = [], min(2 * together, room)
+        if sure:
             result.converged = True
             break
     result.fills = {p: matrices[p] for p in before}
     return result
 
 
+def _largest_changes(rows: DataFrame, deltas: Sequence[dict[str, np.ndarray]], k: int) -> list[float]:
+    """The largest change of a cell in each of several rounds, in one scan of ``rows`` (pattern, z of ``k`` values)."""
+    stacked = {p: np.concatenate([d[p] for d in deltas]).T for p in deltas[0]}
+    rounds = len(deltas)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros(rounds)
+        for batch in batches:
+            patterns = batch.column("pattern").dictionary_encode()
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            codes = patterns.indices.to_numpy(zero_copy_only=False)
+            for code, p in enumerate(patterns.dictionary.to_pylist()):
+                mine, step = z[codes == code], max(1, _CELLS // stacked[p].shape[1])
+                for at in range(0, len(mine), step):
+                    moved = np.abs(mine[at : at + step] @ stacked[p]).max(axis=0)
+                    top = np.maximum(top, moved.reshape(rounds, -1).max(axis=1))
+        yield pa.RecordBatch.from_pydict({"round": pa.array(range(rounds), pa.int32()), "change": pa.array(top, pa.float64())})
+
+    found = rows.select("pattern", "z").mapInArrow(run, "round int, change double").groupBy("round").agg(F.max("change").alias("change"))
+    by_round = {r["round"]: r["change"] for r in found.collect()}
+    return [by_round.get(i, 0.0) for i in range(rounds)]
+
+
 def equation_check(df: DataFrame, filled: DataFrame, model: Imputation, keys: Sequence[str]) -> DataFrame:
     """Per incomplete column: target, filled (cells), changed (observed cells that are not as before), misfit and residual.
 
